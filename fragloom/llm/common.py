@@ -41,14 +41,14 @@ def remainder(doc_id, n: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``per_class`` labelled documents of each class.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable, per_class: tuple[int, int]) -> DataFrame:
+    """(doc_id, text, y) of at most per_class[y] labelled documents of each class y.
 
     Taken in the order of a hash of doc_id, so the sample is the same for any partitioning. Only the ids and
-    labels are ordered; at most ``per_class`` ids of each class are then broadcast to the scan of the texts.
+    labels are ordered; at most so many ids are then broadcast to the scan of the texts.
     """
     ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & usable).distinct()
-    parts = [ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    parts = [ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[y]) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 

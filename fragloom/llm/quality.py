@@ -47,7 +47,7 @@ def gather(sample: DataFrame, scale_rows: int) -> tuple[list[tuple[np.ndarray, n
 
 def train(documents: DataFrame, labels: DataFrame, label: str, usable, per_class: int = SAMPLE_PER_CLASS, threshold: float = 0.3) -> QualityModel:
     """Learn ``label`` (0/1) from a bounded sample of the labelled documents for which ``usable`` holds."""
-    rows, y = gather(common.labelled_sample(documents, labels, label, usable, per_class), 2 * per_class)
+    rows, y = gather(common.labelled_sample(documents, labels, label, usable, (per_class, per_class)), 2 * per_class)
     if len(set(y)) < 2:
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
         return QualityModel(np.zeros((features.SIZE, 1), np.float32), float(np.log(share / (1 - share))), threshold)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .langid import op8_language_id
+from .mixing import op10_mixing
 from .quality import op1_quality_classifier
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_toxicity": op3_toxicity,
+    "op8_language_id": op8_language_id,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}
