@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,12 +66,11 @@ def components(edges: DataFrame, what: str = "components", max_rounds: int = 60)
     seen = None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        large = _join_low(both, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = _join_low(large, large.groupBy("u").agg(F.min("v").alias("m"))).select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct()
         after = written(small, what)
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         delete(e)
         e = after
         if now == seen:
@@ -78,3 +79,58 @@ def components(edges: DataFrame, what: str = "components", max_rounds: int = 60)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _join_low(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """rows joined with (u, m) on u. A second key makes Spark deal out both sides anew, so that it can split a hot u."""
+    again = F.xxhash64("u")
+    return rows.withColumn("again", again).join(low.withColumn("again", again), ["u", "again"])
+
+
+def group_runs(batches, keys: list[str]):
+    """Record batches sorted by ``keys`` -> tables that hold whole groups, several in one where they are small.
+
+    Returns (table, starts): starts are the rows at which groups begin.
+    """
+    kept: list[pa.RecordBatch] = []
+    for b in [*batches, None] if isinstance(batches, list) else _then_none(batches):
+        if b is not None and not b.num_rows:
+            continue
+        if b is None:
+            if kept:
+                t = pa.Table.from_batches(kept).combine_chunks()
+                yield t, _starts(t, keys)
+            return
+        t = pa.Table.from_batches([*kept, b]).combine_chunks()
+        starts = _starts(t, keys)
+        if len(starts) > 1:
+            yield t.slice(0, int(starts[-1])), starts[:-1]
+        kept = t.slice(int(starts[-1])).combine_chunks().to_batches()
+
+
+def _then_none(batches):
+    yield from batches
+    yield None
+
+
+def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    change = np.zeros(t.num_rows, bool)
+    change[:1] = True
+    for k in keys:
+        x = t.column(k).to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(change)
+
+
+def local_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest reachable number of each of 0..n-1 under the links a-b, within one task."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from .decontam import OP6_SQL, op6_benchmark_decontamination
 from .langid import op8_language_id
 from .mixing import op10_mixing
 from .quality import op1_quality_classifier
+from .simhash import op4_simhash_near_dedup
+from .substring import OP2_SQL, op2_substring_dedup
 from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_language_id": op8_language_id,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op6_benchmark_decontamination": OP6_SQL,
+}
