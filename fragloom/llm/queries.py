@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import OP6_SQL, op6_benchmark_decontamination
 from .embeddings import OP7_SQL, op7_embedding_near_dedup
 from .langid import op8_language_id
+from .lines import op9_line_dedup
 from .mixing import op10_mixing
 from .quality import op1_quality_classifier
 from .simhash import op4_simhash_near_dedup
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_language_id": op8_language_id,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
