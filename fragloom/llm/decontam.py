@@ -106,6 +106,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -
     return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+    """The documents, with all their columns, without a word inside a benchmark window."""
+    found = hits(documents, benchmark, n).select(F.col("key.doc_id").alias("hit_id"), F.col("key.h").alias("hit_h")).distinct()
+    here = (F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id"))) & (F.xxhash64("text") == F.col("hit_h"))
+    return documents.join(found, here, "left_anti")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows."""
     documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))

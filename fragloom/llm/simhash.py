@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from . import common
 from . import textcols as tc
@@ -229,6 +230,27 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The documents, with all their columns, that stand first in their component, by doc_id. Of repeated rows one stays; rows without doc_id all stay."""
+    names = documents.columns
+    schema = StructType(documents.schema.fields[:]).add("simhash fp", LongType())
+
+    def run(batches):
+        for b in tc.chunks(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fingerprints_of(b.column("text"), shingle).view(np.int64))], [*names, "simhash fp"])
+
+    marked = common.written(documents.mapInArrow(run, schema), "simhash-documents")
+    fp, id_ = F.col("simhash fp"), F.col("doc_id").cast("long")
+    classes = common.written(marked.where("doc_id IS NOT NULL").groupBy(fp.alias("fp")).agg(F.min(id_).alias("id")), "simhash-classes")
+    reached = common.components(linked(classes, radius), "simhash-links").select(F.col("node").alias("id"), "component")
+    heads = classes.join(reached, "id", "left").where("component IS NULL OR component = id").select("fp", "id")
+    first = marked.where("doc_id IS NOT NULL").join(heads, (fp == F.col("fp")) & (id_ == F.col("id")), "left_semi")
+    twice = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        first = first.dropDuplicates(["doc_id", "simhash fp"])
+    return first.unionByName(marked.where("doc_id IS NULL")).select(*names)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

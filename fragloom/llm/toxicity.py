@@ -204,6 +204,15 @@ def train(documents: DataFrame, labels: DataFrame, label: str, usable, per_class
     return fit([r["text"] for r in got], np.array([r["y"] for r in got], np.int64), threshold)
 
 
+def scores(texts: pa.Array, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The score of each text, the marginal of each word, and the offsets of the texts."""
+    words, at = tc.split_words(texts)
+    code, distinct = tc.coded(words)
+    e = model.weights[spelled(distinct)].sum(axis=1, dtype=np.float64)[code] if len(code) else np.zeros(0)
+    p = marginals(e, at, model.trans)
+    return 1 / (1 + np.exp(-np.clip(_top_two(p, at) @ model.curve, -30, 30))), p, at
+
+
 def tag(documents: DataFrame, model: ToxicityModel, cutoff: float = 0.5) -> DataFrame:
     """(doc_id, score, predicted, spans) of every document; spans: character offsets of the words tagged toxic."""
     held = documents.sparkSession.sparkContext.broadcast(model)
@@ -211,11 +220,7 @@ def tag(documents: DataFrame, model: ToxicityModel, cutoff: float = 0.5) -> Data
     def run(batches):
         model = held.value
         for b in tc.chunks(batches):
-            words, at = tc.split_words(b.column("text"))
-            code, distinct = tc.coded(words)
-            e = model.weights[spelled(distinct)].sum(axis=1, dtype=np.float64)[code] if len(code) else np.zeros(0)
-            p = marginals(e, at, model.trans)
-            s = 1 / (1 + np.exp(-np.clip(_top_two(p, at) @ model.curve, -30, 30)))
+            s, p, at = scores(b.column("text"), model)
             hits = np.flatnonzero(p >= cutoff)
             spans: list[list[dict]] = [[] for _ in range(b.num_rows)]
             for i in np.unique(np.searchsorted(at, hits, side="right") - 1):
@@ -229,6 +234,18 @@ def tag(documents: DataFrame, model: ToxicityModel, cutoff: float = 0.5) -> Data
     return tc.map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
 
 
+def accepted(documents: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The documents, with all their columns, whose score is under the threshold."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = held.value
+        for b in tc.chunks(batches):
+            yield b.filter(pa.array(scores(b.column("text"), model)[0] < model.threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; labels are learnt where crc32(doc_id) mod 3 is not 1."""
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
