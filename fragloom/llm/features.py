@@ -50,15 +50,16 @@ def positions(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         base += 1 << bits
 
 
-def dots(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """The sparse dot product of each text with each column of ``weights`` (SIZE x k)."""
-    k = weights.shape[1]
-    out = np.zeros((len(texts), k))
+def dots(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sparse dot product of each text with each column of ``weights`` (SIZE x k), and the words of each text."""
+    out = np.zeros((len(texts), weights.shape[1]))
+    words = None
     for where, at in positions(texts):
-        n = np.maximum(np.diff(at), 1)
-        for j in range(k):
-            out[:, j] += SCALE * tc.segment_sum(weights[:, j][where], at) / n
-    return out
+        n = np.diff(at)
+        words = n if words is None else words
+        total = np.concatenate([np.zeros((1, weights.shape[1])), np.cumsum(weights[where], axis=0, dtype=np.float64)])
+        out += SCALE * (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)[:, None]
+    return out, words
 
 
 def sparse(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:

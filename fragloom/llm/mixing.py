@@ -5,9 +5,9 @@ document, p its posterior and r its rate, the expected tokens of a domain are S
 
     1/2 |S/T - target|^2 + l2/2 sum(t/T (r - 1)^2),   r >= floor (0 by default),
 
-by accelerated projected gradient. In the metric of the penalty the gradient of a document is p.(S/T - target) + l2 (r - 1), so
-one step needs only the sums S of the rates before: a small vector. Rates never leave the executors; every round is one pass
-over (tokens, posterior) with a pre-aggregated sum.
+by projected gradient with Barzilai-Borwein steps. In the metric of the penalty the gradient of a document is p.(S/T - target) + l2 (r - 1), so
+one step needs only the sums S of the rates before, and its length only the sum of their squared changes: a small vector. Rates never leave the executors; every round is one pass
+over a compact table (tokens, posterior) with a pre-aggregated sum.
 
 Defined results: a null or empty text has no tokens and a rate of its own but weighs nothing; repeated rows are documents of
 their own; an empty table gives no rows; other columns are passed by. A domain that no document has cannot be met; the rest is fitted
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from . import common, features, quality
 from . import textcols as tc
@@ -30,8 +31,8 @@ from . import textcols as tc
 DOMAINS = ("clean", "low", "toxic")
 TARGET = (0.95, 0.04, 0.01)
 SAMPLE_PER_CLASS = 1000
-ROUNDS = 80
-L2 = 0.02
+ROUNDS = 40
+L2 = 0.005
 
 
 def domain_of(quality_label, toxic_label):
@@ -69,74 +70,68 @@ def posteriors(documents: DataFrame, model: DomainModel) -> DataFrame:
     def run(batches):
         weights, bias = held.value
         for b in tc.chunks(batches):
-            m = features.dots(b.column("text"), weights) + bias
+            m, words = features.dots(b.column("text"), weights)
+            m += bias
             e = np.exp(m - m.max(axis=1, keepdims=True))
             p = e / e.sum(axis=1, keepdims=True)
-            _, at = tc.split_words(b.column("text"))
             post = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(np.diff(at)), post], ["doc", "tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(words), post], ["doc", "tokens", "posterior"])
 
     return tc.map_arrow(taken, run, f"doc {taken.schema['doc'].dataType.simpleString()}, tokens long, posterior array<double>")
 
 
-def rates_after(posterior: np.ndarray, steps: list[np.ndarray], momenta: list[float], floor: float, l2: float, eta: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents after the given gradients (S/T - target at each look-ahead point), and their look-ahead."""
-    r = np.ones(len(posterior))
-    ahead = r.copy()
-    for g, beta in zip(steps, momenta):
-        new = np.maximum(floor, ahead - eta * (posterior @ g + l2 * (ahead - 1)))
-        r, ahead = new, new + beta * (new - r)
-    return r, ahead
+def rates_after(posterior: np.ndarray, steps: list[tuple[np.ndarray, float]], floor: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents after the given steps (S/T - target, length), and the rates before the last one."""
+    r = before = np.ones(len(posterior))
+    for g, eta in steps:
+        r, before = np.maximum(floor, r - eta * (posterior @ g + l2 * (r - 1))), r
+    return r, before
 
 
-def fit(table: DataFrame, target: tuple[float, ...] = TARGET, floor: float = 0.0, l2: float = L2, rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[list[np.ndarray], list[float], float, np.ndarray]:
-    """Projected-gradient rounds over ``table`` (tokens, posterior); returns what ``rates_after`` needs and the shares reached."""
+def fit(table: DataFrame, target: tuple[float, ...] = TARGET, floor: float = 0.0, l2: float = L2, rounds: int = ROUNDS, tolerance: float = 1e-5) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
+    """Projected-gradient rounds over ``table`` (tokens, posterior); returns the steps for ``rates_after`` and the shares reached."""
     k = len(target)
     total = float(table.agg(F.sum("tokens")).first()[0] or 0)
-    steps: list[np.ndarray] = []
-    momenta: list[float] = []
-    eta = 1 / (1 + l2)
-    share, before, theta = np.zeros(k), None, 1.0
+    steps: list[tuple[np.ndarray, float]] = []
+    share, last = np.zeros(k), None
     for _ in range(rounds if total else 0):
-        held_steps, held_momenta = list(steps), list(momenta)
+        held = list(steps)
 
         def run(batches):
-            s = np.zeros(k)
+            s = np.zeros(k + 1)
             for b in batches:
                 p = b.column("posterior").flatten().to_numpy().reshape(b.num_rows, k)
-                _, ahead = rates_after(p, held_steps, held_momenta, floor, l2, eta)
-                s += (ahead * b.column("tokens").to_numpy()) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(s)], ["domain", "tokens"])
-
-        sums = tc.map_arrow(table.select("tokens", "posterior"), run, "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("s")).collect()
-        share = np.zeros(k)
-        for r in sums:
-            share[r["domain"]] = r["s"] / total
-        g = share - np.array(target)
-        after = (1 + np.sqrt(1 + 4 * theta * theta)) / 2
-        steps.append(g)
-        momenta.append((theta - 1) / after)
-        theta = after
-        if before is not None and np.abs(g - before).max() < tolerance:
+                r, before = rates_after(p, held, floor, l2)
+                t = b.column("tokens").to_numpy()
+                s[:k] += (r * t) @ p
+                s[k] += t @ (r - before) ** 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + 1, dtype=np.int32)), pa.array(s)], ["part", "s"])
+
+        sums = np.zeros(k + 1)
+        for row in tc.map_arrow(table.select("tokens", "posterior"), run, "part int, s double").groupBy("part").agg(F.sum("s").alias("s")).collect():
+            sums[row["part"]] = row["s"] / total
+        share, moved = sums[:k], sums[k]
+        if last is not None and moved < tolerance**2:
             break
-        before = g
-    return steps, momenta, eta, share
+        # the gradient changed by p.(share - last) + l2 (change), so these sums give the Barzilai-Borwein length
+        eta = 1 / (1 + l2) if last is None else moved / (((share - last) ** 2).sum() + l2 * moved)
+        steps.append((share - np.array(target), float(np.clip(eta, 0.1, 1 / l2))))
+        last = share
+    return steps, share
 
 
 def with_rates(table: DataFrame, fitted, floor: float = 0.0, l2: float = L2) -> DataFrame:
     """The table with the column rate."""
-    steps, momenta, eta, _ = fitted
+    steps, _ = fitted
     names = table.columns
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 p = b.column("posterior").flatten().to_numpy().reshape(b.num_rows, -1)
-                r, _ = rates_after(p, steps, momenta, floor, l2, eta)
+                r, _ = rates_after(p, steps, floor, l2)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], [*names, "rate"])
 
-    from pyspark.sql.types import DoubleType, StructType
-
     schema = StructType(table.schema.fields[:]).add("rate", DoubleType())
     return table.mapInArrow(run, schema)
 
@@ -150,12 +145,18 @@ def copies(rate, key):
 def mixed(documents: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, floor: float = 0.0) -> DataFrame:
     """doc (all columns of the document), tokens, posterior, rate, copies."""
     table = common.written(posteriors(documents, train(documents, labels)), "mixing")
-    fitted = fit(table, target, floor)
+    fitted = fit(common.written(table.select("tokens", "posterior"), "mixing-fit"), target, floor)
     return with_rates(table, fitted, floor).withColumn("copies", copies(F.col("rate"), F.col("doc.doc_id")))
 
 
+def taken(documents: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, floor: float = 0.0) -> DataFrame:
+    """The documents, with all their columns, each as often as its rate says."""
+    out = mixed(documents, labels, target, floor).where("copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, domain posterior, fitted rate and rounded number of copies."""
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    out = mixed(documents.select("doc_id", "text").withColumn("text", F.col("text")), labels)
+    out = mixed(documents.select("doc_id", "text"), labels)
     return out.select(F.col("doc.doc_id").alias("doc_id"), "tokens", *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")

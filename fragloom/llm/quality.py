@@ -64,7 +64,7 @@ def score(documents: DataFrame, model: QualityModel) -> DataFrame:
     def run(batches):
         weights, bias = held.value
         for b in tc.chunks(batches):
-            s = 1 / (1 + np.exp(-np.clip(features.dots(b.column("text"), weights)[:, 0] + bias, -35, 35)))
+            s = 1 / (1 + np.exp(-np.clip(features.dots(b.column("text"), weights)[0][:, 0] + bias, -35, 35)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return tc.map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, predicted int")
