@@ -87,7 +87,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFra
     anchors = written(anchors, "decontam-anchors")
     found = phrase_matches(postings(corpus, anchors.select("term").distinct(), n, small), anchors, small)
     items = F.broadcast(wanted) if small else wanted
-    return found.join(items, "phrase").select("key", "item_id", "start", F.size("phrase").alias("len"))
+    return written(found.join(items, "phrase").select("key", "item_id", "start", F.size("phrase").alias("len")), "decontam-hits")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
