@@ -158,15 +158,15 @@ def _merged(spark, d):
     return merge.mirrored_sum(merge.interpolated(merge.grid(_ranges(m)), m))
 
 
-@query(T.sql("ps", "tm", body="SELECT pair_id, side, translation_id, round(score, 6) AS score, ty + 0 AS ty, tx + 0 AS tx FROM tm"))
+@query(T.sql("ps", "tm", body="SELECT pair_id, side, translation_id, round(score, 9) AS score, ty + 0 AS ty, tx + 0 AS tx FROM tm"))
 def mean_by_translation(spark, d):
-    return _means(spark, d).select("pair_id", "side", "translation_id", F.round("score", 6).alias("score"), r("ty", 6).alias("ty"), r("tx", 6).alias("tx"))
+    return _means(spark, d).select("pair_id", "side", "translation_id", F.round("score", 9).alias("score"), r("ty", 6).alias("ty"), r("tx", 6).alias("tx"))
 
 
-@query(T.sql("ps", "tm", body="SELECT pair_id, side, round(coalesce(max(score), 0), 6) AS best FROM (SELECT DISTINCT s_suppkey % 20 AS pair_id, s AS side FROM supplier, (VALUES ('recto'), ('verso')) v(s)) LEFT JOIN tm USING (pair_id, side) GROUP BY ALL"))
+@query(T.sql("ps", "tm", body="SELECT pair_id, side, round(coalesce(max(score), 0), 9) AS best FROM (SELECT DISTINCT s_suppkey % 20 AS pair_id, s AS side FROM supplier, (VALUES ('recto'), ('verso')) v(s)) LEFT JOIN tm USING (pair_id, side) GROUP BY ALL"))
 def best_per_pair(spark, d):
     every = T.table(spark, d, "supplier").select((F.col("s_suppkey") % 20).alias("pair_id")).distinct().withColumn("side", F.explode(F.array(F.lit("recto"), F.lit("verso"))))
-    return merge.best_per_pair(_means(spark, d), every).select("pair_id", "side", F.round("best", 6).alias("best"))
+    return merge.best_per_pair(_means(spark, d), every).select("pair_id", "side", F.round("best", 9).alias("best"))
 
 
 @query(T.sql("ps", "tm", "bd", body="SELECT pair_id, ny, nx, round(y0, 5) + 0 AS y0, round(y1, 5) + 0 AS y1, round(x0, 5) + 0 AS x0, round(x1, 5) + 0 AS x1 FROM bd"))
@@ -215,19 +215,19 @@ def topk_cells(spark, d):
 # --- reports
 
 
-@query(T.sql("ps", "tm", body="SELECT name_a, name_b, round(score, 6) AS score FROM (WITH b AS (SELECT (pair_id // 5)::BIGINT AS a, (4 + pair_id % 5)::BIGINT AS b, max(score) AS score FROM tm GROUP BY pair_id), n AS (SELECT a AS name FROM b UNION SELECT b FROM b) SELECT a AS name_a, b AS name_b, score FROM b WHERE a <> b UNION ALL SELECT b, a, score FROM b WHERE a <> b UNION ALL SELECT name, name, 1.0::DOUBLE FROM n)"))
+@query(T.sql("ps", "tm", body="SELECT name_a, name_b, round(score, 9) AS score FROM (WITH b AS (SELECT (pair_id // 5)::BIGINT AS a, (4 + pair_id % 5)::BIGINT AS b, max(score) AS score FROM tm GROUP BY pair_id), n AS (SELECT a AS name FROM b UNION SELECT b FROM b) SELECT a AS name_a, b AS name_b, score FROM b WHERE a <> b UNION ALL SELECT b, a, score FROM b WHERE a <> b UNION ALL SELECT name, name, 1.0::DOUBLE FROM n)"))
 def score_matrix(spark, d):
     best = _means(spark, d).groupBy("pair_id").agg(F.max("score").alias("score"))
     named = best.select(F.expr("pair_id div 5").alias("a"), (4 + F.col("pair_id") % 5).alias("b"), "score")
-    return report.score_matrix(named).select("name_a", "name_b", F.round("score", 6).alias("score"))
+    return report.score_matrix(named).select("name_a", "name_b", F.round("score", 9).alias("score"))
 
 
 _PROFILE = "SELECT pair_id, side, translation_id, CASE WHEN side = 'verso' THEN -1 ELSE 1 END * degrees(atan2(tx, ty)) AS angle, score FROM tm"
 
 
-@query(T.sql("ps", "tm", body=f"SELECT pair_id, side, translation_id, round(angle, 4) + 0 AS angle, round(sum(score) OVER (PARTITION BY pair_id, side ORDER BY angle, translation_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 4) AS smooth FROM ({_PROFILE})"))
+@query(T.sql("ps", "tm", body=f"SELECT pair_id, side, translation_id, round(angle, 4) + 0 AS angle, round(sum(score) OVER (PARTITION BY pair_id, side ORDER BY angle, translation_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 9) AS smooth FROM ({_PROFILE})"))
 def angle_profile(spark, d):
-    return report.angle_profile(_means(spark, d), ["pair_id", "side"]).select("pair_id", "side", "translation_id", r("angle").alias("angle"), F.round("smooth", 4).alias("smooth"))
+    return report.angle_profile(_means(spark, d), ["pair_id", "side"]).select("pair_id", "side", "translation_id", r("angle").alias("angle"), F.round("smooth", 9).alias("smooth"))
 
 
 ANGLES = [float(a) for a in range(-180, 166, 15)]
