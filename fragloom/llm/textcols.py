@@ -13,23 +13,39 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Bytes of text that one step of a kernel takes at most (one text may be longer).
-CHUNK_BYTES = 8 << 20
+#: Bytes of text that one step of a kernel takes at most (one text may be longer). A kernel takes up to fifty times that for a moment.
+CHUNK_BYTES = 4 << 20
 
 MASK64 = (1 << 64) - 1
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each piece holds about ``limit`` bytes of ``column``."""
+    """Record batches put together or cut so that each holds about ``limit`` bytes of ``column``."""
+    kept: list[pa.RecordBatch] = []
+    held = 0
+    free = pa.default_memory_pool().release_unused
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        piece = np.cumsum(size.astype(np.int64) + 16) // limit
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+        piece = (held + np.cumsum(size)) // limit
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                yield batch.slice(a, b - a)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if k:
+                yield _one(kept)
+                kept, held = [], 0
+                free()
+            kept.append(batch.slice(a, b - a))
+            held += int(size[a:b].sum())
+        if held >= limit:
+            yield _one(kept)
+            kept, held = [], 0
+    if kept:
+        yield _one(kept)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def as_text(column: pa.Array) -> pa.Array:
@@ -106,6 +122,13 @@ def grams(h: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return out, at
 
 
-def map_arrow(df, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str):
-    """``mapInArrow``; kept in one place so that every kernel gets the same options."""
+#: Rows that Spark puts into one Arrow batch. Ten thousand whole texts, Spark's default, would take several times this memory outside the heap.
+ROWS_PER_BATCH = 1000
+
+
+def map_arrow(df, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema):
+    """``mapInArrow`` with batches of at most ROWS_PER_BATCH rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS_PER_BATCH:
+        conf.set(key, ROWS_PER_BATCH)
     return df.mapInArrow(fn, schema)

@@ -11,7 +11,7 @@ names the files that count, so lost or repeated tasks leave only unused files. F
 hdfs, s3 and gs paths, in the folder that driver and executors share.
 
 Defined results: a null or empty text is one id, the end id; a null doc_id sorts first; repeated rows are records of their own, in the order of
-their texts; an empty table gives no records; other columns are passed by. Texts are encoded whole; memory is bounded by the longest one and a memo of MEMO pieces.
+their texts; an empty table gives no records; other columns are passed by. Texts are encoded whole; memory is bounded by CHUNK_BYTES and the longest one.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from . import textcols as tc
 
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces of text whose ids a worker remembers, at most.
-MEMO = 300_000
+#: Bytes of text whose distinct words are encoded together.
+CHUNK_BYTES = 16 << 20
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 META = struct.Struct("<qBB")
@@ -78,63 +78,93 @@ def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
     return (doc_id if flags & 1 else None), np.frombuffer(payload, f"<u{wide}", offset=META.size).astype("<u4")
 
 
+#: A word of letters alone and the signs that follow it; no apostrophes, which take letters with them.
+WORD_AND_SIGNS = r"^(?P<core>\p{L}+)(?P<signs>[^\s\p{L}\p{N}\p{M}\p{Z}\p{C}']+)$"
+
+
 class Encoder:
-    """Ids of texts. A text without odd white space is cut before each space: no token of a byte-level vocabulary spans that
-    place, so pieces are encoded once, remembered, and put together by array operations."""
+    """Ids of texts. A text without odd white space is cut before each space, and words from the signs after them: no token of a byte-level
+    vocabulary spans these places. So the distinct parts of many texts are encoded once, and put together by array operations.
+
+    The parts are encoded many in one string; as every token stands for a known number of bytes, its ids fall apart again at the parts' ends.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces as little-endian u32."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [p for p in pieces if p not in self.memo]
-        for p, ids in zip(new, self.encode(new)):
-            self.memo[p] = ids.astype("<u4").tobytes()
-        return [self.memo[p] for p in pieces]
-
-    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and the offsets of the texts."""
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+
+    def encode(self, texts: list[str], at_once: int = 16) -> list[np.ndarray]:
+        """A few texts at a time: the library's results take a hundred bytes a token."""
+        parts = (texts[k : k + at_once] for k in range(0, len(texts), at_once))
+        return [np.array(e.ids, np.uint32) for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+    def _spaced(self, words: pa.Array, block: int = 2000) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of the words, each with a space before it, and how many ids each has; both in blocks."""
+        ids_of, counts = [], []
+        for k in range(0, len(words), block):
+            part = words.slice(k, block)
+            joined = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
+            ids = self.encode([joined])[0]
+            ends, marks = np.cumsum(self.width[ids]), np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False) + 1)
+            cut = np.searchsorted(ends, marks, side="left") + 1
+            if cut[-1] != len(ids) or (ends[cut - 1] != marks).any():
+                each = self.encode([" " + w for w in part.to_pylist()])
+                ids, cut = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids_of.append(ids)
+            counts.append(np.diff(cut, prepend=0))
+        return ids_of, counts
+
+    def column(self, texts: pa.Array, step: int = 256):
+        """(first text, ids, offsets) for ``step`` texts after the other."""
         texts = tc.as_text(texts)
         odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(texts, " ")
-        flat = lists.flatten()
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         at = lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
-        first = np.zeros(len(flat), bool)
-        first[at[:-1][np.diff(at) > 0]] = True
-        code, distinct = tc.coded(flat)
-        # a piece has the space before it, but for the first of a text
-        both = code * 2 + first
-        used = np.unique(both[np.repeat(~odd, np.diff(at))])
-        names = distinct.take(pa.array(used // 2)).to_pylist()
-        blobs = self.pieces([w if k & 1 else " " + w for w, k in zip(names, used.tolist())])
-        length = np.fromiter((len(x) // 4 for x in blobs), np.int64, len(blobs))
-        begin = np.concatenate([[0], np.cumsum(length)])[:-1]
-        pool = np.frombuffer(b"".join(blobs), "<u4")
-        slot = np.searchsorted(used, both)
-        slot[slot == len(used)] = 0
-        n = length[slot] if len(length) else np.zeros(len(slot), np.int64)
-        n[np.repeat(odd, np.diff(at))] = 0
-        cut = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.arange(cut[-1]) - np.repeat(cut[:-1] - begin[slot] if len(begin) else cut[:-1], n)] if cut[-1] else np.zeros(0, np.uint32)
-        per_text = cut[at[1:]] - cut[at[:-1]]
-        if not odd.any():
-            return ids, np.concatenate([[0], np.cumsum(per_text)])
-        ends = np.concatenate([[0], np.cumsum(per_text)])
-        parts = [ids[ends[i] : ends[i + 1]] for i in range(len(texts))]
-        where = np.flatnonzero(odd)
-        for i, x in zip(where, self.encode([texts[int(i)].as_py() for i in where])):
-            parts[i] = x
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        word, distinct = tc.coded(lists.flatten())
+        split = pc.extract_regex(distinct, WORD_AND_SIGNS)
+        core = pc.struct_field(split, "core")
+        signs = pc.fill_null(pc.struct_field(split, "signs"), "")
+        core_code, cores = tc.coded(pc.coalesce(core, distinct))
+        sign_code, sign_words = tc.coded(signs)
+        # a text's first word has no space before it
+        first = at[:-1][np.diff(at) > 0]
+        starts, alike = np.unique(core_code[word[first]], return_inverse=True)
+        pool, count = self._spaced(cores)
+        for some in (sign_words, cores.take(pa.array(starts))):
+            each = self.encode(some.to_pylist())
+            pool += each
+            count.append(np.array([len(x) for x in each], np.int64))
+        pool, count = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (pool, count))
+        begin = np.cumsum(count) - count
+        slots = np.empty((len(word), 2), np.int32)
+        slots[:, 0] = core_code[word] if len(word) else 0
+        slots[:, 1] = len(cores) + sign_code[word] if len(word) else 0
+        slots[first, 0] = len(cores) + len(sign_words) + alike
+        pool = pool.astype(np.uint32)
+        place = np.concatenate([[0], np.cumsum(~odd)])
+        for i in range(0, len(texts), step):
+            j = min(i + step, len(texts))
+            here = at[place[i] : place[j] + 1]
+            s = slots[here[0] : here[-1]].ravel()
+            n = count[s]
+            cut = np.concatenate([[0], np.cumsum(n)])
+            where = np.repeat(begin[s] - cut[:-1], n)
+            where += np.arange(cut[-1])
+            ids, ends = pool[where], cut[2 * (here - here[0])]
+            if odd[i:j].any():
+                parts = []
+                for k in range(i, j):
+                    m = place[k] - place[i]
+                    parts.append(self.encode([texts[k].as_py()])[0] if odd[k] else ids[ends[m] : ends[m + 1]])
+                ids, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            yield i, ids, ends
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -175,18 +205,19 @@ def write(documents: DataFrame, folder: str, path: str | None = None, end_id: in
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec"
         out, offset, record, tokens = None, 0, 0, 0
         try:
-            for b in tc.chunks(batches):
-                ids, at = enc.column(b.column("text"))
+            for b in tc.chunks(batches, limit=CHUNK_BYTES):
                 out = out or store.open_output_stream(f"{base}/{name}")
-                doc_ids, rows, buffer = b.column("doc_id").to_pylist(), [], []
-                for i, doc_id in enumerate(doc_ids):
-                    data = frame(pack(doc_id, np.append(ids[at[i] : at[i + 1]], np.uint32(end_id))))
-                    n = int(at[i + 1] - at[i]) + 1
-                    buffer.append(data)
-                    rows.append((shard, name, record, doc_id, offset, len(data), tokens, n))
-                    offset, record, tokens = offset + len(data), record + 1, tokens + n
-                out.write(b"".join(buffer))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "file", "record", "doc_id", "offset", "bytes", "start", "n_tokens"])
+                doc_ids = b.column("doc_id").to_pylist()
+                for i, ids, at in enc.column(b.column("text")):
+                    rows, buffer = [], []
+                    for k in range(len(at) - 1):
+                        data = frame(pack(doc_ids[i + k], np.append(ids[at[k] : at[k + 1]], np.uint32(end_id))))
+                        n = int(at[k + 1] - at[k]) + 1
+                        buffer.append(data)
+                        rows.append((shard, name, record, doc_ids[i + k], offset, len(data), tokens, n))
+                        offset, record, tokens = offset + len(data), record + 1, tokens + n
+                    out.write(b"".join(buffer))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "file", "record", "doc_id", "offset", "bytes", "start", "n_tokens"])
         finally:
             if out:
                 out.close()

@@ -29,6 +29,8 @@ from . import textcols as tc
 SAMPLE_PER_CLASS = (3000, 1500)
 SAMPLE_CHARS = 30_000
 BITS = 18
+#: Bytes of text in one step of a kernel: the chain takes some forty times the memory of its words.
+CHUNK_BYTES = 2 << 20
 BLOCK = 32
 #: Spellings that a word is known by: (first or last, letters); 0 letters: the whole word.
 SPELLINGS = (("first", 0), ("first", 3), ("first", 4), ("first", 5), ("first", 6), ("last", 3), ("last", 4))
@@ -219,7 +221,7 @@ def tag(documents: DataFrame, model: ToxicityModel, cutoff: float = 0.5) -> Data
 
     def run(batches):
         model = held.value
-        for b in tc.chunks(batches):
+        for b in tc.chunks(batches, limit=CHUNK_BYTES):
             s, p, at = scores(b.column("text"), model)
             hits = np.flatnonzero(p >= cutoff)
             spans: list[list[dict]] = [[] for _ in range(b.num_rows)]
@@ -240,10 +242,10 @@ def accepted(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         model = held.value
-        for b in tc.chunks(batches):
+        for b in tc.chunks(batches, limit=CHUNK_BYTES):
             yield b.filter(pa.array(scores(b.column("text"), model)[0] < model.threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return tc.map_arrow(documents, run, documents.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
