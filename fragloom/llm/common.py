@@ -87,30 +87,30 @@ def _join_low(rows: DataFrame, low: DataFrame) -> DataFrame:
     return rows.withColumn("again", again).join(low.withColumn("again", again), ["u", "again"])
 
 
-def group_runs(batches, keys: list[str]):
-    """Record batches sorted by ``keys`` -> tables that hold whole groups, several in one where they are small.
+def group_runs(batches, keys: list[str], least: int = 50_000):
+    """Record batches sorted by ``keys`` -> tables that hold whole groups, about ``least`` rows or one group in each.
 
     Returns (table, starts): starts are the rows at which groups begin.
     """
     kept: list[pa.RecordBatch] = []
-    for b in [*batches, None] if isinstance(batches, list) else _then_none(batches):
-        if b is not None and not b.num_rows:
+    rows, wanted = 0, least
+    for b in batches:
+        if not b.num_rows:
             continue
-        if b is None:
-            if kept:
-                t = pa.Table.from_batches(kept).combine_chunks()
-                yield t, _starts(t, keys)
-            return
-        t = pa.Table.from_batches([*kept, b]).combine_chunks()
+        kept.append(b)
+        rows += b.num_rows
+        if rows < wanted:
+            continue
+        t = pa.Table.from_batches(kept).combine_chunks()
         starts = _starts(t, keys)
         if len(starts) > 1:
             yield t.slice(0, int(starts[-1])), starts[:-1]
         kept = t.slice(int(starts[-1])).combine_chunks().to_batches()
-
-
-def _then_none(batches):
-    yield from batches
-    yield None
+        rows = t.num_rows - int(starts[-1])
+        wanted = rows + least  # a group longer than that is not looked through again for each batch
+    if kept:
+        t = pa.Table.from_batches(kept).combine_chunks()
+        yield t, _starts(t, keys)
 
 
 def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:

@@ -130,7 +130,7 @@ def _with_marks(documents: DataFrame, marks: DataFrame) -> DataFrame:
 def _by_text(batches):
     """For slices of sorted texts and marks: (texts, keys, doc_ids, mark's text number, first, n, kind). Texts of one key are alike and share marks."""
     unpack = zstandard.ZstdDecompressor()
-    for big, starts in common.group_runs(batches, ["key"]):
+    for big, starts in common.group_runs(batches, ["key"], least=2000):
         ends = np.append(starts[1:], big.num_rows)
         weight = np.fromiter((len(x.as_buffer()) if x.is_valid else 8 for x in big.column("z").combine_chunks()), np.int64, big.num_rows)
         piece = np.cumsum(weight)[ends - 1] // (tc.CHUNK_BYTES // 3)
