@@ -18,10 +18,9 @@ text); an empty table gives no rows; other columns are passed by. Very long text
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,7 +185,7 @@ def _kept_rows(batches):
         before = np.concatenate([[0], np.cumsum(gone)])
         left = np.concatenate([[0], np.cumsum(~gone)])[at]
         kept = words.filter(pa.array(~gone)) if len(words) else words
-        texts_kept = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), kept), " ")
+        texts_kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), kept), " ")
         id_col = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
         yield pa.RecordBatch.from_arrays([id_col, pa.array(np.diff(at)), pa.array(before[at[1:]] - before[at[:-1]]), texts_kept], ["doc_id", "n_words", "n_removed", "text"])
 
