@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from fragloom.operators.sampling import running
 
 
 def sigmoid(x: Column) -> Column:
@@ -28,11 +29,10 @@ def accuracy(rows: DataFrame, p: Column, y: Column, cutoff: float = 0.5) -> Data
 def auroc(rows: DataFrame, score: str, y: str) -> DataFrame:
     """(auroc): exact area under the ROC curve, ties counted half; NULL if a class is missing.
 
-    Counts per distinct score come first; only they are ordered, so the window holds distinct scores rather than rows.
+    Counts per distinct score come first; only they are ordered, range by range.
     """
     each = rows.groupBy(score).agg(F.sum(y).alias("p"), F.sum(1 - F.col(y)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = each.withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    t = running(each, score, F.col("n"), "below").withColumn("won", F.col("p") * (F.col("below") + F.col("n") / 2))
     return t.agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auroc"))
 
 

@@ -126,3 +126,47 @@ def largest(labelled: DataFrame) -> DataFrame:
     """(image_id, label, n): the component with most pixels; the lowest label on ties."""
     n = labelled.groupBy("image_id", "label").agg(F.count("*").alias("n"))
     return n.groupBy("image_id").agg(F.max_by(F.struct("label", "n"), F.struct(F.col("n"), -F.col("label"))).alias("m")).select("image_id", "m.label", "m.n")
+
+
+def blit_boxes(placed: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """Pictures of one size put at floor(ty, tx) of a canvas: their columns with the source box (sy0, sy1, sx0, sx1) and the canvas box (ey0, ...); none if nothing is left."""
+    out = placed
+    for v, n, m in zip("yx", source, target):
+        at = F.floor(f"t{v}").cast("int")
+        out = out.withColumns({f"s{v}0": F.greatest(F.lit(0), -at), f"s{v}1": F.least(F.lit(n), F.lit(m) - at), f"e{v}0": F.greatest(F.lit(0), at), f"e{v}1": F.least(F.lit(m), at + n)})
+    return out.where("sy0 < sy1 AND sx0 < sx1 AND ey0 < ey1 AND ex0 < ex1")
+
+
+def _pictures(px: DataFrame, value: str, fn, columns: str) -> DataFrame:
+    """``fn(array)`` for each picture's pixels; fn gives a list of rows."""
+    import numpy as np
+    import pandas as pd
+
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((int(t["y"].max()) + 1, int(t["x"].max()) + 1), np.int64)
+        a[t["y"], t["x"]] = t[value]
+        return pd.DataFrame([(t["image_id"].iloc[0], *r) for r in fn(a)], columns=["image_id", *names])
+
+    return px.select("image_id", "y", "x", value).groupBy("image_id").applyInPandas(run, f"image_id {dict(px.dtypes)['image_id']}, {columns}")
+
+
+def opaque_boxes(px: DataFrame, least: int = 250) -> DataFrame:
+    """(image_id, y0, x0, y1, x1) of the opaque pixels that an opening by a 3 x 3 square leaves; none for a picture without."""
+    import numpy as np
+
+    from fragloom.functions import raster as kernels
+
+    def box(alpha):
+        y, x = np.nonzero(kernels.opening(alpha > least))
+        return [(int(y.min()), int(x.min()), int(y.max()), int(x.max()))] if len(y) else []
+
+    return _pictures(px, "alpha", box, "y0 int, x0 int, y1 int, x1 int")
+
+
+def traced(px: DataFrame, pad: int = 1, hole_area: int = 4) -> DataFrame:
+    """(image_id, k, y, x): the outline of each picture's largest piece."""
+    from fragloom.functions import raster as kernels
+
+    return _pictures(px, "alpha", lambda a: [(k, float(y), float(x)) for k, (y, x) in enumerate(kernels.contour_from_alpha(a, pad, hole_area))], "k int, y double, x double")

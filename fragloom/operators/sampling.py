@@ -32,12 +32,31 @@ def index_ranges(samples: DataFrame, order: list[str]) -> DataFrame:
     return n.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("first"), "n")
 
 
-def stride_sample(rows: DataFrame, order: list[str], positives: int, negatives: int) -> DataFrame:
-    """Every r-th row, r = positives // negatives, up to negatives * r. ValueError if there are fewer positives than negatives."""
+def running(rows: DataFrame, key: str, value: Column, name: str, parts: int = 64) -> DataFrame:
+    """The rows with the sum of ``value`` over all rows before them in the order of the numeric ``key`` (ties: any order within equal keys).
+
+    One window over everything would be one task. Here approximate quantiles cut the keys into ranges; each range has a window of its own and starts
+    from the sum of the ranges before it: one number for each range.
+    """
+    edges = sorted(set(rows.select(F.col(key).cast("double").alias("k")).stat.approxQuantile("k", [i / parts for i in range(1, parts)], 0.005)))
+    part = sum(((F.col(key) >= e).cast("int") for e in edges), F.lit(0))
+    t = rows.withColumns({"_part": part, "_value": value})
+    sums = {r["_part"]: r["s"] for r in t.groupBy("_part").agg(F.sum("_value").alias("s")).collect()}
+    before, start = 0, []
+    for k in range(len(edges) + 1):
+        start.append(F.lit(before))
+        before += sums.get(k, 0)
+    order = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.element_at(F.array(*[x.cast("long") for x in start]), F.col("_part") + 1)
+    return t.withColumn(name, first + F.coalesce(F.sum("_value").over(order), F.lit(0))).drop("_part", "_value")
+
+
+def stride_sample(rows: DataFrame, order: str, positives: int, negatives: int) -> DataFrame:
+    """Every r-th row in the order of a numeric key, r = positives // negatives, up to negatives * r. ValueError if there are fewer positives than negatives."""
     if negatives <= 0 or positives // negatives < 1:
         raise ValueError("there must be at least as many positives as negatives")
     r = positives // negatives
-    t = rows.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1)
+    t = running(rows, order, F.lit(1), "idx")
     return t.where((F.col("idx") % r == 0) & (F.col("idx") < negatives * r))
 
 
@@ -55,8 +74,8 @@ def partner(idx: Column, patches: Column, touches: Column) -> Column:
 
 
 def ragged(lengths: DataFrame, order: str) -> DataFrame:
-    """(order, n, first): offsets of consecutive parts of the given lengths n. One row for each part, so one window holds few rows."""
-    return lengths.select(order, "n", (F.sum("n").over(Window.orderBy(order)) - F.col("n")).alias("first"))
+    """(order, n, first): offsets of consecutive parts of the given lengths n, in the order of a numeric key."""
+    return running(lengths.select(order, "n"), order, F.col("n"), "first")
 
 
 def balanced_batches(samples: DataFrame, batch: int = 24, seed: int = 42, epoch: int = 0) -> DataFrame:

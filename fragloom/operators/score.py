@@ -45,3 +45,25 @@ def distance_score(poses: DataFrame, contacts: DataFrame, keys: list[str], radiu
     """(keys..., ty, tx, n, score): a model-free score of each pose: how close its neighbouring contacts are, on average, in 0..1."""
     d = F.hypot(F.col("py") - F.col("qy") - F.col("ty"), F.col("px") - F.col("qx") - F.col("tx"))
     return contacts.groupBy(*keys, "ty", "tx").agg(F.count("*").alias("n"), F.avg(1 - d / radius).alias("score"))
+
+
+def trained(samples: DataFrame, features: str, label: str, regularisation: float = 1e-3) -> Callable[[], Model]:
+    """A scorer's model from labelled descriptors (array<double>): logistic regression, where no deep network can be trained.
+
+    The model takes a patch's per-channel means and deviations as descriptors; see ``descriptors``.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    fit = LogisticRegression(featuresCol="v", labelCol=label, regParam=regularisation).fit(samples.select(array_to_vector(F.col(features)).alias("v"), F.col(label)))
+    w, b = fit.coefficients.toArray(), float(fit.intercept)
+
+    def make() -> Model:
+        return lambda x: descriptors(x) @ w + b
+
+    return make
+
+
+def descriptors(x: np.ndarray) -> np.ndarray:
+    """Means and deviations of each channel of patches [n, channels, side, side]."""
+    return np.concatenate([x.mean(axis=(2, 3)), x.std(axis=(2, 3))], axis=1).astype(np.float64)

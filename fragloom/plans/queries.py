@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fragloom.operators import contour, merge, metrics, pairs, palette, pose, raster, report, sampling, score
 from fragloom.sources import tables as T
@@ -142,6 +141,23 @@ def mutual_nearest(spark, d):
     return pose.mutual_nearest(side("a"), side("b"), 5.0, ["a", "b"])
 
 
+@query(T.sql("cp", "cent", "arc", "sm", "pr", "cd", body="SELECT a, b, round(sum(tay), 2) + 0 AS tay, round(sum(tbx), 2) + 0 AS tbx, round(max(ray), 3) + 0 AS ray, round(min(rbx), 3) + 0 AS rbx, sum(sy)::BIGINT AS sy, sum(sx)::BIGINT AS sx FROM (SELECT a, b, 112 - (ay + by_ + ty) / 2 AS tay, tx + 112 - (ax + bx + tx) / 2 AS tbx, -ay + 112 - (20 + s) * dy / 2 AS ray, -bx + 112 + (20 + s) * (dx - dx / 2) AS rbx, trunc(dy * s * 4)::INT + trunc(-dx * s * 3)::INT AS sy, trunc(dx * s * 4)::INT + trunc(dy * s * 3)::INT AS sx FROM (SELECT *, (ia * 7 + ib) % 5 - 2 AS s FROM cd)) GROUP BY a, b"))
+def patch_offsets(spark, d):
+    """Centring, training and texture offsets of every candidate, summed up by pair."""
+    c = _candidates(spark, d).withColumn("s", (F.col("ia") * 7 + F.col("ib")) % 5 - 2)
+    c = c.withColumns({"along": F.col("s") * 4, "across": F.col("s") * 3, "py": F.col("ay"), "px": F.col("ax"), "qy": F.col("by"), "qx": F.col("bx")})
+    t = pose.centred(c, 224).withColumnsRenamed({"tay": "cay", "tbx": "cbx", "tax": "cax", "tby": "cby"})
+    t = pose.texture_shift(pose.training_offsets(t, 224, 20.0, "s"), "along", "across")
+    return t.groupBy("a", "b").agg(r(F.sum("cay"), 2).alias("tay"), r(F.sum("cbx"), 2).alias("tbx"), r(F.max("tay"), 3).alias("ray"), r(F.min("tbx"), 3).alias("rbx"), F.sum("sy").alias("sy"), F.sum("sx").alias("sx"))
+
+
+@query(T.sql("cp", "pr", body="SELECT a, b, (ceil(greatest(p.w + q.w, p.h + q.h)) + 40)::INT AS side FROM pr JOIN (SELECT frag_id, max(y) - min(y) AS h, max(x) - min(x) AS w FROM cp GROUP BY frag_id) p ON p.frag_id = a JOIN (SELECT frag_id, max(y) - min(y) AS h, max(x) - min(x) AS w FROM cp GROUP BY frag_id) q ON q.frag_id = b"))
+def full_view(spark, d):
+    box = T.contour_point(spark, d).groupBy("frag_id").agg((F.max("y") - F.min("y")).alias("h"), (F.max("x") - F.min("x")).alias("w"))
+    side = lambda s: box.select(F.col("frag_id").alias(s), F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}"))
+    return pose.full_view_side(_pairs(spark, d).join(side("a"), "a").join(side("b"), "b"))
+
+
 # --- merging
 
 
@@ -317,9 +333,32 @@ def composite(spark, d):
     return raster.composite(px, above, ["v"])
 
 
+@query(T.sql("px", body="SELECT image_id, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM (SELECT p.image_id, p.y, p.x FROM px p JOIN (SELECT p.image_id, p.y, p.x FROM px p JOIN px q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY ALL HAVING min(q.alpha) > 250) e ON p.image_id = e.image_id AND abs(p.y - e.y) <= 1 AND abs(p.x - e.x) <= 1) GROUP BY image_id"))
+def opaque_crop(spark, d):
+    return raster.opaque_boxes(T.raster_px(spark, d))
+
+
+@query()
+def contour_trace(spark, d):
+    """Outlines of the largest pieces; tests hold the kernel against hand-made cases."""
+    return raster.traced(T.raster_px(spark, d))
+
+
+@query("SELECT event_id, sy0, sy1, sx0, sx1, ey0, ey1, ex0, ex1 FROM (SELECT event_id, greatest(0, -ty) AS sy0, least(40, 64 - ty) AS sy1, greatest(0, -tx) AS sx0, least(30, 48 - tx) AS sx1, greatest(0, ty) AS ey0, least(64, ty + 40) AS ey1, greatest(0, tx) AS ex0, least(48, tx + 30) AS ex1 FROM (SELECT event_id, floor(value - 50)::INT AS ty, floor(value / 2 - (event_id % 60))::INT AS tx FROM events)) WHERE sy0 < sy1 AND sx0 < sx1 AND ey0 < ey1 AND ex0 < ex1")
+def blit(spark, d):
+    placed = T.table(spark, d, "events").select("event_id", (F.col("value") - 50).alias("ty"), (F.col("value") / 2 - F.col("event_id") % 60).alias("tx"))
+    return raster.blit_boxes(placed, (40, 30), (64, 48)).drop("ty", "tx")
+
+
 # --- sampling
 
 
+@query("SELECT l_orderkey, n, (sum(n) OVER (ORDER BY l_orderkey) - n)::BIGINT AS first FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)")
+def ragged_offsets(spark, d):
+    n = T.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return sampling.ragged(n, "l_orderkey")
+
+
 @query(T.sql("ic", body="SELECT dir, stem, CASE WHEN multi AND rn > floor(n * 0.65::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY dir, multi ORDER BY stem) AS rn, count(*) OVER (PARTITION BY dir, multi) AS n FROM (SELECT *, contains(stem, '+') AS multi FROM ic))"))
 def train_val_split(spark, d):
     return sampling.split_images(T.image_catalog(spark, d))
@@ -329,7 +368,7 @@ def train_val_split(spark, d):
 def val_stride(spark, d):
     c = T.class_sample(spark, d)
     n = {x["class"]: x["count"] for x in c.groupBy("class").count().collect()}
-    return sampling.stride_sample(c.where(F.col("class") == "pos_synth").select("id"), ["id"], n["pos_synth"], n["neg"]).select("id", F.col("idx").cast("long").alias("idx"))
+    return sampling.stride_sample(c.where(F.col("class") == "pos_synth").select("id"), "id", n["pos_synth"], n["neg"]).select("id", F.col("idx").cast("long").alias("idx"))
 
 
 @query(T.sql("cs", body="SELECT class, count(*) AS n, count(DISTINCT batch) AS batches FROM (SELECT class, (rn - 1) // q AS batch FROM (SELECT class, row_number() OVER (PARTITION BY class ORDER BY id) AS rn, CASE WHEN class IN ('pos', 'neg') THEN 4 ELSE 8 END AS q FROM cs)) WHERE batch < (SELECT min(n // CASE WHEN class IN ('pos', 'neg') THEN 4 ELSE 8 END) FROM (SELECT class, count(*) AS n FROM cs GROUP BY class)) GROUP BY class"))
@@ -342,9 +381,8 @@ _SPACE = "p AS (SELECT s_suppkey AS patch, row_number() OVER (ORDER BY s_suppkey
 
 
 def _space(spark, d):
-    number = lambda c: F.row_number().over(Window.orderBy(c)) - 1
-    p = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("patch"), number("s_suppkey").cast("long").alias("p"))
-    t = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("touch"), number("n_nationkey").cast("long").alias("t"))
+    p = sampling.running(T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("patch")), "patch", F.lit(1), "p")
+    t = sampling.running(T.table(spark, d, "nation").select(F.col("n_nationkey").alias("touch")), "touch", F.lit(1), "t", parts=2)
     size = p.count() * t.count()
     w = T.table(spark, d, "events").groupBy((F.col("event_id") % size).alias("idx")).agg(F.count("*").alias("n"))
     return p, t, w

@@ -162,3 +162,21 @@ def test_scorer(spark):
     t = spark.createDataFrame([(i, [float(i)] * 16) for i in range(5)], "id int, p array<float>")
     got = [r[0] for r in t.select(score.scorer(lambda: lambda x: x[:, 0, 0, 0], 4, 2)(F.col("p")).alias("s")).collect()]
     assert got == pytest.approx([1 / (1 + np.exp(-i)) for i in range(5)], abs=1e-6)
+
+
+def test_trained_scorer(spark):
+    rng = np.random.default_rng(0)
+    x = rng.random((200, 4, 2, 2)).astype(np.float32)
+    y = (x[:, 3].mean(axis=(1, 2)) > 0.5).astype(int)
+    t = spark.createDataFrame([(score.descriptors(p[None])[0].tolist(), int(k), p.ravel().tolist()) for p, k in zip(x, y)], "f array<double>, y int, p array<float>")
+    make = score.trained(t, "f", "y")
+    got = t.select("y", score.scorer(make, 4, 2)(F.col("p")).alias("s")).collect()
+    assert np.mean([(r["s"] > 0.5) == (r["y"] == 1) for r in got]) > 0.95
+
+
+def test_traced(spark):
+    px = spark.createDataFrame([(1, y, x, 255 if 1 <= y <= 2 and 1 <= x <= 3 else 0) for y in range(5) for x in range(5)] + [(2, 0, 0, 0)], "image_id int, y int, x int, alpha int")
+    line = [(r["y"], r["x"]) for r in raster.traced(px).orderBy("k").collect()]
+    assert line[0] == line[-1] and len(line) == 11 and min(line)[0] == 0.5 and max(line)[0] == 2.5
+    assert raster.traced(px.where("image_id = 2")).count() == 0
+    assert tuple(raster.opaque_boxes(px).collect()) == ()

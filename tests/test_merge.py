@@ -116,11 +116,21 @@ def test_batches(spark):
 def test_stride_needs_more_positives(spark):
     t = spark.range(5)
     with pytest.raises(ValueError):
-        sampling.stride_sample(t, ["id"], 1, 2)
-    assert [r["id"] for r in sampling.stride_sample(t, ["id"], 5, 2).orderBy("id").collect()] == [0, 2]
+        sampling.stride_sample(t, "id", 1, 2)
+    assert [r["id"] for r in sampling.stride_sample(t, "id", 5, 2).orderBy("id").collect()] == [0, 2]
 
 
 def test_empty_scores(spark):
     t = spark.createDataFrame([], SCHEMA)
     sizes = spark.createDataFrame([], "pair_id long, height int, width int")
     assert all(df.count() == 0 for df in matching.merged_tables(t, sizes).values())
+
+
+def test_running_sums(spark):
+    t = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), (F.col("id") % 5).alias("v"))
+    rows = sorted(tuple(r) for r in sampling.running(t, "k", F.col("v"), "s").collect())
+    total = 0
+    for _, v, s in rows:
+        assert s == total
+        total += v
+    assert sampling.running(t.limit(0), "k", F.col("v"), "s").count() == 0
