@@ -109,6 +109,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -
 def clean(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, without a word inside a benchmark window."""
     found = hits(documents, benchmark, n).select(F.col("key.doc_id").alias("hit_id"), F.col("key.h").alias("hit_h")).distinct()
+    found = written(found, "decontam-hit-documents")  # its size is known when the join is planned: no shuffle of the texts while it is small
     here = (F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id"))) & (F.xxhash64("text") == F.col("hit_h"))
     return documents.join(found, here, "left_anti")
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from . import common, features, quality
 from . import textcols as tc
@@ -47,7 +47,10 @@ class DomainModel:
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DomainModel:
-    """Multinomial classifier on a bounded sample of the labelled documents (``per_class`` of each domain at most)."""
+    """Multinomial classifier on a bounded sample of the labelled documents (``per_class`` of each domain at most).
+
+    The sample holds the domains in other shares than the labels table, so the bias is moved by the logarithms of their ratios: posteriors follow all labels.
+    """
     tagged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("y")).distinct()
     chosen = None
     for k in range(len(DOMAINS)):
@@ -57,27 +60,36 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_C
     rows, y = quality.gather(sample, len(DOMAINS) * per_class)
     if not len(y):
         return DomainModel(np.zeros((features.SIZE, len(DOMAINS)), np.float32), np.zeros(len(DOMAINS)))
-    w, b = features.ftrl(rows, y, len(DOMAINS), epochs=4)
-    return DomainModel(w, b - np.where(np.bincount(y, minlength=len(DOMAINS)) == 0, 50.0, 0.0))
+    w, b = features.ftrl(rows, y, len(DOMAINS), epochs=6)
+    every = np.zeros(len(DOMAINS))
+    for r in tagged.groupBy("y").count().collect():
+        every[r["y"]] = r["count"]
+    seen = np.bincount(y, minlength=len(DOMAINS))
+    prior = np.log(np.maximum(every, 1e-9) / every.sum()) - np.log(np.maximum(seen, 1e-9) / seen.sum())
+    return DomainModel(w, b + np.where(seen == 0, -50.0, prior))
+
+
+def _posterior(texts: pa.Array, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The posterior over the domains and the words of each text."""
+    m, words = features.dots(texts, weights)
+    m += bias
+    e = np.exp(m - m.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True), words
 
 
-def posteriors(documents: DataFrame, model: DomainModel) -> DataFrame:
-    """All columns of the documents, with tokens (white-space words) and posterior (array)."""
+def posteriors(documents: DataFrame, model: DomainModel, keep: list[str]) -> DataFrame:
+    """The columns to keep, with tokens (white-space words) and posterior (array)."""
     held = documents.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    names = [c for c in documents.columns]
-    taken = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("text").alias("text"))
+    schema = StructType([documents.schema[c] for c in keep]).add("tokens", LongType()).add("posterior", ArrayType(DoubleType()))
 
     def run(batches):
         weights, bias = held.value
         for b in tc.chunks(batches):
-            m, words = features.dots(b.column("text"), weights)
-            m += bias
-            e = np.exp(m - m.max(axis=1, keepdims=True))
-            p = e / e.sum(axis=1, keepdims=True)
+            p, words = _posterior(b.column("text"), weights, bias)
             post = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(words), post], ["doc", "tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(words), post], [*keep, "tokens", "posterior"])
 
-    return tc.map_arrow(taken, run, f"doc {taken.schema['doc'].dataType.simpleString()}, tokens long, posterior array<double>")
+    return tc.map_arrow(documents.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
 def rates_after(posterior: np.ndarray, steps: list[tuple[np.ndarray, float]], floor: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +145,7 @@ def with_rates(table: DataFrame, fitted, floor: float = 0.0, l2: float = L2) ->
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], [*names, "rate"])
 
     schema = StructType(table.schema.fields[:]).add("rate", DoubleType())
-    return table.mapInArrow(run, schema)
+    return tc.map_arrow(table, run, schema)
 
 
 def copies(rate, key):
@@ -143,20 +155,31 @@ def copies(rate, key):
 
 
 def mixed(documents: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, floor: float = 0.0) -> DataFrame:
-    """doc (all columns of the document), tokens, posterior, rate, copies."""
-    table = common.written(posteriors(documents, train(documents, labels)), "mixing")
-    fitted = fit(common.written(table.select("tokens", "posterior"), "mixing-fit"), target, floor)
-    return with_rates(table, fitted, floor).withColumn("copies", copies(F.col("rate"), F.col("doc.doc_id")))
+    """(doc_id, tokens, posterior, rate, copies) of every document."""
+    table = common.written(posteriors(documents, train(documents, labels), ["doc_id"]), "mixing")
+    return with_rates(table, fit(table, target, floor), floor).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def taken(documents: DataFrame, labels: DataFrame, target: tuple[float, ...] = TARGET, floor: float = 0.0) -> DataFrame:
-    """The documents, with all their columns, each as often as its rate says."""
-    out = mixed(documents, labels, target, floor).where("copies > 0")
-    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    """The documents, with all their columns, each as often as its rate says. Posteriors are made again in the last pass rather than kept with the texts."""
+    model = train(documents, labels)
+    steps, _ = fit(common.written(posteriors(documents, model, []), "mixing-fit"), target, floor)
+    held = documents.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    names = documents.columns
+
+    def run(batches):
+        weights, bias = held.value
+        for b in tc.chunks(batches):
+            r, _ = rates_after(_posterior(b.column("text"), weights, bias)[0], steps, floor, L2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], [*names, "mixing rate"])
+
+    out = tc.map_arrow(documents, run, StructType(documents.schema.fields[:]).add("mixing rate", DoubleType()))
+    times = copies(F.col("mixing rate"), F.col("doc_id"))
+    return out.withColumn("mixing rate", times).where("`mixing rate` > 0").withColumn("mixing rate", F.explode(F.sequence(F.lit(1), F.col("mixing rate")))).select(*names)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, domain posterior, fitted rate and rounded number of copies."""
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = mixed(documents.select("doc_id", "text"), labels)
-    return out.select(F.col("doc.doc_id").alias("doc_id"), "tokens", *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
+    return out.select("doc_id", "tokens", *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")

@@ -64,7 +64,7 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE, seed: int = 42) ->
     words, at = tc.split_words(pc.ascii_lower(tc.as_text(texts)))
     if not len(words):
         return np.zeros(len(texts), np.uint64)
-    flat = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().encode()
+    flat = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_buffer().to_pybytes()
     length = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(length + 1)])[:-1]
     end = begin + length
@@ -74,7 +74,10 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE, seed: int = 42) ->
     first = np.arange(cut[-1]) - np.repeat(cut[:-1], n) + np.repeat(at[:-1], n)
     last = np.minimum(first + shingle - 1, np.repeat(at[1:], n) - 1)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(flat[a:b], seed) for a, b in zip(begin[first].tolist(), end[last].tolist())), np.uint64, len(first))
+    h = np.empty(len(first), np.uint64)
+    for k in range(0, len(first), 50_000):
+        span = slice(k, k + 50_000)
+        h[span] = [digest(flat[a:b], seed) for a, b in zip(begin[first[span]].tolist(), end[last[span]].tolist())]
     bits = (2 * _counts(h, cut) > n[:, None]).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
 
@@ -91,7 +94,8 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def grouped_bits(bits: np.ndarray, m: int) -> list[list[int]]:
     """m parts of about equal width; bits that correlate most stand together."""
-    c = np.abs(np.nan_to_num(np.corrcoef(bits.T))) if len(bits) > 2 else np.zeros((64, 64))
+    with np.errstate(divide="ignore", invalid="ignore"):  # a bit that all share correlates with none
+        c = np.abs(np.nan_to_num(np.corrcoef(bits.T))) if len(bits) > 2 else np.zeros((64, 64))
     np.fill_diagonal(c, 0)
     free, parts = list(range(64)), []
     for p in range(m):
@@ -231,7 +235,20 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
 
 
 def one_of_each(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The documents, with all their columns, that stand first in their component, by doc_id. Of repeated rows one stays; rows without doc_id all stay."""
+    """The documents, with all their columns, that stand first in their component, by doc_id. Of repeated rows one stays; rows without doc_id all stay.
+
+    Only ids and fingerprints are written on the way; the texts are read again and lose the rows that go by an anti-join.
+    """
+    id_ = F.col("doc_id").cast("long")
+    prints = common.written(fingerprints(documents, shingle), "simhash")
+    classes = common.written(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
+    reached = common.components(linked(classes, radius), "simhash-links").select(F.col("node").alias("id"), "component")
+    named = common.written(classes.join(reached, "id", "left").select("fp", F.coalesce("component", "id").alias("component")), "simhash-components")
+    twice = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if twice.isEmpty():
+        gone = prints.join(named, "fp").where("doc_id <> component").select(F.col("doc_id").alias("gone id"))
+        return documents.join(common.written(gone, "simhash-gone"), id_ == F.col("gone id"), "left_anti")
+    # ids are no key: rows go by id and fingerprint, and of the rows that stay under one id and fingerprint one is kept
     names = documents.columns
     schema = StructType(documents.schema.fields[:]).add("simhash fp", LongType())
 
@@ -239,16 +256,10 @@ def one_of_each(documents: DataFrame, radius: int = RADIUS, shingle: int = SHING
         for b in tc.chunks(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fingerprints_of(b.column("text"), shingle).view(np.int64))], [*names, "simhash fp"])
 
-    marked = common.written(documents.mapInArrow(run, schema), "simhash-documents")
-    fp, id_ = F.col("simhash fp"), F.col("doc_id").cast("long")
-    classes = common.written(marked.where("doc_id IS NOT NULL").groupBy(fp.alias("fp")).agg(F.min(id_).alias("id")), "simhash-classes")
-    reached = common.components(linked(classes, radius), "simhash-links").select(F.col("node").alias("id"), "component")
-    heads = classes.join(reached, "id", "left").where("component IS NULL OR component = id").select("fp", "id")
-    first = marked.where("doc_id IS NOT NULL").join(heads, (fp == F.col("fp")) & (id_ == F.col("id")), "left_semi")
-    twice = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not twice.isEmpty():
-        first = first.dropDuplicates(["doc_id", "simhash fp"])
-    return first.unionByName(marked.where("doc_id IS NULL")).select(*names)
+    marked = tc.map_arrow(documents, run, schema)
+    heads = classes.join(named.where("fp IS NOT NULL"), "fp").where("id = component").select(F.col("fp").alias("head fp"), F.col("id").alias("head id"))
+    first = marked.join(heads, (F.col("simhash fp") == F.col("head fp")) & (id_ == F.col("head id")), "left_semi").dropDuplicates(["doc_id", "simhash fp"])
+    return first.select(*names).unionByName(documents.where("doc_id IS NULL"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
