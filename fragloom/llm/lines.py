@@ -73,28 +73,31 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
 
 def _cells(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """The classes filed under each block and band, with the tiles of cells that are large."""
+    """The classes (h, sim, len and perhaps group) filed under each block and band, with the tiles of cells that are large.
+
+    A cell is named by a hash of block, value and band. Only the large cells are looked up; the table of cells itself is shuffled once, to its tasks.
+    """
     edges = [(64 * k) // (radius + 1) for k in range(radius + 2)]
     masks = F.array(*[F.lit(simhash._signed(((1 << b) - 1) & ~((1 << a) - 1))).cast("long") for a, b in zip(edges, edges[1:])])
     band = F.floor(F.log(F.col("len").cast("double")) / F.log(F.lit(BAND))).cast("int")
     reach = F.floor(F.log(F.col("len") / F.lit(similarity)) / F.log(F.lit(BAND))).cast("int")
-    cells = classes.withColumn("band", F.explode(F.sequence(band, reach))).select("h", "sim", "len", "group", "band", F.posexplode(masks).alias("block", "m"))
-    cells = cells.select("block", F.col("sim").bitwiseAND(F.col("m")).alias("value"), "band", "h", "sim", "len", "group")
-    keys = ["block", "value", "band"]
-    sizes = cells.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("again", F.xxhash64(*keys))
-    cells = cells.withColumn("again", F.xxhash64(*keys)).join(sizes, [*keys, "again"])
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("h", "block"), tiles).cast("int")
-    cells = cells.select(*keys, "h", "sim", "len", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    by = [*keys, "low", "high"]
-    return cells.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "h", "sim", "len", "group").repartition(*by).sortWithinPartitions(*by)
+    names = classes.columns
+    cells = classes.withColumn("band", F.explode(F.sequence(band, reach))).select(*names, "band", F.posexplode(masks).alias("block", "m"))
+    cells = cells.select(F.xxhash64("block", F.col("sim").bitwiseAND(F.col("m")), "band").alias("cell"), *names)
+    large = common.written(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "lines-large-cells")
+    tiles = F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int")
+    own = F.pmod(F.xxhash64("h", "cell"), tiles).cast("int")
+    cells = cells.join(large, "cell", "left").select("cell", *names, own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    tile = F.least("own", "other") * F.lit(1 << 16) + F.greatest("own", "other")
+    return cells.select("cell", tile.alias("tile"), *names).repartition("cell", "tile").sortWithinPartitions("cell", "tile")
 
 
 def _candidates(batches, radius: int, similarity: float, forest: bool):
-    for t, starts in common.group_runs(batches, ["block", "value", "band", "low", "high"]):
+    for t, starts in common.group_runs(batches, ["cell", "tile"]):
         size = np.diff(np.append(starts, t.num_rows))
         end = np.repeat(np.append(starts[1:], t.num_rows), size)
-        sim, length, h, group = (t.column(c).to_numpy() for c in ("sim", "len", "h", "group"))
+        sim, length, h = (t.column(c).to_numpy() for c in ("sim", "len", "h"))
+        group = t.column("group").to_numpy() if "group" in t.column_names else h
         sim, i = sim.view(np.uint64), np.arange(t.num_rows)
         a, b = [], []
         for d in range(1, int(size.max(initial=1))):
@@ -154,28 +157,156 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return tc.map_arrow(substring._with_marks(docs, marks), run, "h long, line string")
 
 
+#: Beyond this length few edits are looked for along diagonals before all cells are gone through.
+LONG = 1000
+#: How many edits that search goes up to.
+FEW = 48
+
+
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Edit distance, or some number over ``most`` if it is more: equal ends are cut off, then bit-parallel columns, or diagonals for few edits in long lines."""
+    x, y = (np.frombuffer(s.encode("utf-32-le"), "<u4") for s in (a, b))
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    head = int(differ[0]) if len(differ) else n
+    x, y = x[head:], y[head:]
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
+    tail = int(differ[0]) if len(differ) else n
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    if not len(x) or not len(y) or abs(len(x) - len(y)) > most:
+        return max(len(x), len(y)) if abs(len(x) - len(y)) <= most else most + 1
+    if max(len(x), len(y)) > LONG:
+        d = _few_edits(x, y, min(most, FEW))
+        if d <= min(most, FEW):
+            return d
+        if most <= FEW or not _shared(x, y, most):
+            return most + 1
+    return _columns(x.tolist(), y.tolist())
+
+
+def _shared(x: np.ndarray, y: np.ndarray, most: int, q: int = 5) -> bool:
+    """Could the edits be at most ``most``? Each edit touches q of the q-grams, so the others must be shared."""
+
+    def grams(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = np.zeros(len(s) - q + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(q):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + s[k : len(s) - q + 1 + k].astype(np.uint64)
+        return np.unique(h, return_counts=True)
+
+    if min(len(x), len(y)) < q:
+        return True
+    (u, n), (v, m) = grams(x), grams(y)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum()) >= max(len(x), len(y)) - q + 1 - q * most
+
+
+def _columns(x: list[int], y: list[int]) -> int:
+    """Edit distance by bit-parallel columns: one bit of a long integer for each character of x, one step for each of y."""
+    places: dict[int, int] = {}
+    for k, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << k
+    every, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, d = every, 0, len(x)  # vertical differences of +1 and -1
+    get = places.get
+    for c in y:
+        eq = get(c, 0)
+        zero = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (every & ~(zero | up)), up & zero
+        if plus & top:
+            d += 1
+        elif minus & top:
+            d -= 1
+        plus = plus << 1 | 1
+        up, down = (minus << 1 & every) | (every & ~(zero | plus)), plus & zero & every
+    return d
+
+
+def _few_edits(x: np.ndarray, y: np.ndarray, most: int) -> int:
+    """Edit distance, or most + 1 if it is more.
+
+    For each number of edits and each diagonal the furthest row that is reached; equal stretches are jumped over by comparing hashes of 64 bits. The cost goes with the
+    square of the edits, not with the length.
+    """
+    n, m = len(x), len(y)
+    if abs(n - m) > most:
+        return most + 1
+    base = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(max(n, m) + 1, base), dtype=np.uint64)
+        hx, hy = (np.concatenate([[np.uint64(0)], np.cumsum(tc.mix(s.astype(np.uint64) + np.uint64(1)) * power[: len(s)], dtype=np.uint64)]) for s in (x, y))
+
+    def equal(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How far x from i and y from j are equal."""
+        room = np.minimum(n - i, m - j)
+        low, step = np.zeros(len(i), np.int64), 1 << int(room.max(initial=0)).bit_length()
+        while step:
+            t = np.where(low + step <= room, low + step, 0)
+            with np.errstate(over="ignore"):
+                same = (hx[i + t] - hx[i]) * power[j] == (hy[j + t] - hy[j]) * power[i]
+            low, step = np.where((t > 0) & same, t, low), step >> 1
+        return low
+
+    reach, first = equal(np.zeros(1, np.int64), np.zeros(1, np.int64)), 0
+    if n == m and reach[0] == n:
+        return 0
+    for d in range(1, most + 1):
+        before = np.full(len(reach) + 4, -1)
+        before[2:-2] = reach
+        k = np.arange(first - 1, first + len(reach) + 1)  # column - row
+        row = np.maximum(np.where(before[1:-1] >= 0, before[1:-1] + 1, -1), np.maximum(before[:-2], np.where(before[2:] >= 0, before[2:] + 1, -1)))
+        row = np.minimum(row, np.minimum(n, m - k))
+        able = np.flatnonzero((row >= 0) & (row + k >= 0) & (np.abs(m - n - k) <= most - d))
+        if not len(able):
+            return most + 1
+        span = slice(able[0], able[-1] + 1)
+        k, row = k[span], row[span]
+        at = able - able[0]
+        moved = np.full(len(row), -1)
+        moved[at] = row[at] + equal(row[at], row[at] + k[at])
+        reach, first = moved, int(k[0])
+        if 0 <= m - n - first < len(reach) and reach[m - n - first] >= n:
+            return d
+    return most + 1
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose normalised lines are similar enough."""
     one, two = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
     allowed = f"cast(floor((1.0D - {similarity}D) * greatest(length(x), length(y)) + 1e-9D) as int)"
-    # the band that an edit distance fills grows with what is allowed, and most links need few edits: a narrow band is tried first
-    near = " OR ".join(f"({k} < {allowed} AND levenshtein(x, y, {k}) >= 0)" for k in (8, 64, 512))
-    return pairs.join(one, "a").join(two, "b").where(f"{near} OR levenshtein(x, y, {allowed}) >= 0").select("a", "b")
+    both = pairs.join(one, "a").join(two, "b").withColumn("most", F.expr(allowed))
+
+    def run(batches):
+        for b in batches:
+            hit = [edit_distance(x, y, k) <= k for x, y, k in zip(*(b.column(c).to_pylist() for c in ("x", "y", "most")))]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return tc.map_arrow(both.select("a", "b", "x", "y", "most"), run, "a long, b long")
 
 
 def groups_of(docs: DataFrame, classes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component): classes linked with others, and the smallest class that they reach."""
+    """(node, component): classes linked with others, and a class that stands for all that they reach."""
     schema = "a long, b long"
-    alone = classes.withColumn("group", F.col("h"))
-    pairs = common.written(tc.map_arrow(_cells(alone, radius, similarity), lambda it: _candidates(it, radius, similarity, True), schema).distinct(), "lines-forest")
-    involved = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    pairs = tc.map_arrow(_cells(classes.select("h", "sim", "len"), radius, similarity), lambda it: _candidates(it, radius, similarity, True), schema)
+    pairs = common.written(pairs.distinct(), "lines-forest")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     involved = common.written(classes.join(involved, "h"), "lines-involved")
     texts = common.written(_texts(docs, involved), "lines-texts")
-    links = common.written(_verified(pairs, texts, similarity), "lines-links")
+    links = _verified(pairs, texts, similarity)
     reached = common.written(common.components(links, "lines-components"), "lines-groups")
-    grouped = involved.join(reached.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("group", F.coalesce("component", "h"))
+    grouped = involved.join(reached.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "sim", "len", F.coalesce("component", "h").alias("group"))
+    grouped = common.written(grouped, "lines-grouped")
     rest = common.written(tc.map_arrow(_cells(grouped, radius, similarity), lambda it: _candidates(it, radius, similarity, False), schema).distinct(), "lines-rest")
     late = common.written(_verified(rest, texts, similarity), "lines-late")
-    return reached if late.isEmpty() else common.components(links.unionByName(late), "lines-components")
+    if late.isEmpty():
+        return reached
+    # the late links join groups; their own components are those of a small table
+    of = lambda c: grouped.select(F.col("h").alias(c), F.col("group").alias(f"g{c}"))
+    between = late.join(of("a"), "a").join(of("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    higher = common.components(between, "lines-components").select(F.col("node").alias("group"), "component")
+    joined = grouped.join(higher, "group", "left").select(F.col("h").alias("node"), F.coalesce("component", "group").alias("component"))
+    return joined
 
 
 def _kept_rows(batches):
@@ -183,7 +314,7 @@ def _kept_rows(batches):
         every, at = lines_of(pa.array(texts, pa.string()))
         row = tc.row_of(at)
         number = np.arange(len(row)) - at[row]
-        blank = pc.equal(pc.binary_length(normalised(every)), 0).to_numpy(zero_copy_only=False)
+        blank = ~pc.match_substring_regex(every, r"[\p{L}\p{M}\p{N}]").to_numpy(zero_copy_only=False)
         # texts of one key share its marks
         wide = max(int(number.max(initial=0)), int(first.max(initial=0))) + 1
         keep = blank | np.isin(group[row] * wide + number, of * wide + first)

@@ -112,7 +112,7 @@ def _run_rows(batches):
 
 
 def _packed(batches):
-    squeeze = zstandard.ZstdCompressor(level=3)
+    squeeze = zstandard.ZstdCompressor(level=1)
     for b in batches:
         z = [squeeze.compress(x.encode()) for x in tc.as_text(b.column("text")).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(z, pa.binary())], ["key", "doc_id", "z"])

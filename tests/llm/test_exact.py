@@ -331,6 +331,22 @@ def test_lines(spark, monkeypatch, tile):
     assert lines.deduplicated(twice).count() == 4
 
 
+def test_edit_distance(monkeypatch):
+    rng = np.random.default_rng(9)
+    for t in range(300):
+        monkeypatch.setattr(lines, "LONG", 4 if t % 2 else 1000)
+        monkeypatch.setattr(lines, "FEW", 3 if t % 2 else 48)
+        a = rng.choice(list("abcd"), int(rng.integers(0, 40))).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(0, 9))):
+            k = int(rng.integers(0, len(b) + 1))
+            b[k : k + int(rng.integers(2))] = rng.choice(list("abc"), int(rng.integers(2))).tolist()
+        true = edits("".join(a), "".join(b))
+        for most in (0, 2, 5, 40):
+            d = lines.edit_distance("".join(a), "".join(b), most)
+            assert d == true if true <= most else d > most
+
+
 def test_forest_joins_what_links_join():
     rng = np.random.default_rng(8)
     for n in (2, 10, 60):
