@@ -44,10 +44,12 @@ class LangModel:
 def presence(texts: pa.Array) -> np.ndarray:
     """A row of 0/1 for each text: which hashed n-grams it holds."""
     clean = pc.utf8_lower(tc.as_text(texts))
-    clean = pc.replace_substring_regex(clean, r"[^\p{L}\p{M}]+", " ")
+    clean = pc.utf8_trim_whitespace(pc.replace_substring_regex(clean, r"[^\p{L}\p{M}]+", " "))
+    clean = pc.if_else(pc.equal(clean, ""), "", pc.binary_join_element_wise("", clean, "", " "))  # a space at either end
     size = pc.binary_length(clean).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(clean)], pa.int32()), clean), " ")[0].as_buffer(), np.uint8).astype(np.uint32) if len(clean) else np.zeros(0, np.uint32)
-    row = np.repeat(np.arange(len(clean), dtype=np.int64), size + 1)[: len(flat)] << BITS
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(clean)], pa.int32()), clean), "")[0].as_buffer() if len(clean) else b""
+    flat = np.frombuffer(joined or b"", np.uint8).astype(np.uint32)
+    row = np.repeat(np.arange(len(clean), dtype=np.int64), size) << BITS
     out = np.zeros(len(clean) << BITS, np.uint8)
     h = np.zeros(len(flat), np.uint32)
     with np.errstate(over="ignore"):

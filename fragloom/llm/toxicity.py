@@ -46,9 +46,9 @@ class ToxicityModel:
 
 
 def spelled(distinct: pa.Array) -> np.ndarray:
-    """A row for each distinct word, a column for each spelling: its coordinate."""
+    """A row for each distinct word, a column for each spelling: its coordinate. A last column is the same for all words, so that unseen ones count as clean."""
     w = pc.replace_substring_regex(pc.utf8_lower(distinct), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    out = np.empty((len(w), len(SPELLINGS)), np.int32)
+    out = np.zeros((len(w), len(SPELLINGS) + 1), np.int32)
     for j, (side, n) in enumerate(SPELLINGS):
         part = w if not n else pc.utf8_slice_codeunits(w, 0, n) if side == "first" else pc.utf8_slice_codeunits(w, -n)
         code, unique = tc.coded(part)
@@ -176,7 +176,7 @@ def fit(texts: list[str], y: np.ndarray, threshold: float = 0.7, epochs: int = 5
             before[cut[:-1][size > 0]] = 0.0
             now = tags[here]
             found = np.array([[((1 - before) * (1 - now)).sum(), ((1 - before) * now).sum()], [(before * (1 - now)).sum(), (before * now).sum()]])
-            g = np.bincount(where[code[here]].ravel(), np.repeat(p - now, len(SPELLINGS)), 1 << BITS) / len(part) + l2 * theta
+            g = np.bincount(where[code[here]].ravel(), np.repeat(p - now, where.shape[1]), 1 << BITS) / len(part) + l2 * theta
             gt = (expected - found) / len(part) + l2 * trans
             theta_g += g * g
             trans_g += gt * gt
@@ -184,8 +184,9 @@ def fit(texts: list[str], y: np.ndarray, threshold: float = 0.7, epochs: int = 5
             trans -= rate * gt / np.sqrt(trans_g)
     x = _top_two(marginals(theta[where].sum(axis=1)[code], at, trans), at)
     if aside.any():
-        x, y = x[aside], y[aside]
-    return ToxicityModel(theta.astype(np.float32), trans, _curve(x, y), threshold)
+        return ToxicityModel(theta.astype(np.float32), trans, _curve(x[aside], y[aside]), threshold)
+    # too few texts to set some aside: those that the chain has learnt look surer than others will, so the curve is kept flat
+    return ToxicityModel(theta.astype(np.float32), trans, _curve(x, y, l2=5.0), threshold)
 
 
 def _curve(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> np.ndarray:
