@@ -159,6 +159,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 #: Beyond this length few edits are looked for along diagonals before all cells are gone through.
 LONG = 1000
+#: Beyond this length lines that share too few q-grams are told apart without a search.
+SHARED = 150
 #: How many edits that search goes up to.
 FEW = 48
 
@@ -176,11 +178,13 @@ def edit_distance(a: str, b: str, most: int) -> int:
     x, y = x[: len(x) - tail], y[: len(y) - tail]
     if not len(x) or not len(y) or abs(len(x) - len(y)) > most:
         return max(len(x), len(y)) if abs(len(x) - len(y)) <= most else most + 1
+    if max(len(x), len(y)) > SHARED and not _shared(x, y, most):
+        return most + 1
     if max(len(x), len(y)) > LONG:
         d = _few_edits(x, y, min(most, FEW))
         if d <= min(most, FEW):
             return d
-        if most <= FEW or not _shared(x, y, most):
+        if most <= FEW:
             return most + 1
     return _columns(x.tolist(), y.tolist())
 
