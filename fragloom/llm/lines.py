@@ -1,8 +1,9 @@
-"""Line dedup: fuzzy copies of lines, by SimHash blocks and edit similarity.
+"""Line dedup: fuzzy copies of lines, by blocks of min-hashes, SimHash and edit similarity.
 
 Lines are normalised (lower case, runs of anything but letters and digits become one space) and hashed; equal ones are one class, counted in a
-pre-aggregated group. A class has a 64-bit SimHash of its words. Classes within RADIUS bits agree in one of RADIUS + 1 blocks, so
-they are joined on (block, value, band of length); lines whose lengths rule out the edit similarity share no band.
+pre-aggregated group. A class has min-hashes and a 64-bit SimHash of its character grams. Classes that agree in one band of min-hashes share a cell; of those, pairs
+within RADIUS bits whose lengths allow the edit similarity are candidates. Blocks of the SimHash itself would have to allow about 20 bits of 64 at this similarity, which leaves no
+block to join on; RADIUS only spares edit distances. The recall of the bands against all pairs is in the README.
 
 Candidates of one cell are first handed on as a spanning forest: they all are verified by edit distance on the normalised texts, and the links
 make groups. In a second pass the candidates that still lie in different groups are verified, every one. So each candidate is verified or joined
@@ -23,10 +24,15 @@ from pyspark.sql import functions as F
 from . import common, simhash, substring
 from . import textcols as tc
 
-RADIUS = 4
 SIMILARITY = 0.9
-#: Lengths of a band differ by this factor at most.
-BAND = 1.3
+#: Bits that SimHashes of character grams may differ in; half of 64 differ by chance.
+RADIUS = 24
+SIM_GRAM = 6
+#: Characters of the grams that are min-hashed: of lines of up to SHORT characters, and of longer ones.
+GRAMS = (3, 6)
+SHORT = 48
+#: Min-hashes of a line; how many make a band, and how many bands each stands in.
+HASHES, ROWS, DEALS = 24, 3, 3
 TILE = 512
 
 
@@ -41,17 +47,77 @@ def normalised(lines: pa.Array) -> pa.Array:
     return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def simhashes(lines: pa.Array) -> np.ndarray:
-    """SimHash over the words of each normalised line."""
-    words, at = tc.split_words(lines)
-    code, distinct = tc.coded(words)
-    h = tc.hashed(distinct)[code] if len(code) else np.zeros(0, np.uint64)
-    if not len(h):
-        return np.zeros(len(lines), np.int64)
+def _grams(lines: pa.Array, wanted: tuple[int, ...]):
+    """(q, hashes of the q-grams, offsets) for each wanted q, rising. A line has a gram for each character: it is filled up in front."""
+    flat = np.frombuffer("".join(lines.to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
+    size = pc.utf8_length(lines).to_numpy().astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(len(flat)) - np.repeat(at[:-1], size)
+    h = np.zeros(len(flat), np.uint64)
+    with np.errstate(over="ignore"):
+        power = np.uint64(1)
+        for k in range(max(wanted)):
+            h[k:] += power * np.where(place[k:] >= k, flat[: len(flat) - k] + np.uint64(1), np.uint64(0))
+            power = power * np.uint64(0x9E3779B97F4A7C15)
+            if k + 1 in wanted:
+                yield k + 1, tc.mix(h), at
+
+
+def _simhash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     bits = (2 * simhash._counts(h, at) > np.diff(at)[:, None]).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0]
 
 
+def _minima(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """HASHES min-hashes of 16 bits for each line, of its grams ``h``."""
+    rng = np.random.default_rng(42)
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(at) - 1, HASHES), np.uint16)
+    for k, (x, m) in enumerate(rng.integers(0, 1 << 32, (HASHES, 2), np.uint32)):
+        out[:, k] = (np.minimum.reduceat((low ^ x) * (m | np.uint32(1)), at[:-1]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    return out
+
+
+def _of_lines(h: np.ndarray, at: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of some lines alone, and their offsets."""
+    return h[np.repeat(some, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[some])])
+
+
+def simhashes(lines: pa.Array) -> np.ndarray:
+    """SimHash over the grams of SIM_GRAM characters of each normalised line."""
+    out = np.zeros(len(lines), np.int64)
+    full = np.flatnonzero(pc.greater(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False))
+    for _, h, at in _grams(lines.take(pa.array(full)), (SIM_GRAM,)) if len(full) else ():
+        out[full] = _simhash(h, at)
+    return out
+
+
+def sketches(lines: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(SimHash, min-hashes) of each normalised line, none of them empty. Lines near SHORT characters have the min-hashes of either kind, short first."""
+    size = pc.utf8_length(lines).to_numpy()
+    kinds = {GRAMS[0]: size <= SHORT / SIMILARITY + 1, GRAMS[1]: size > SHORT}
+    minima = {}
+    for q, h, at in _grams(lines, tuple(sorted({SIM_GRAM, *GRAMS}))):
+        if q == SIM_GRAM:
+            sim = _simhash(h, at)
+        if q in kinds and kinds[q].any():
+            minima[q] = _minima(*_of_lines(h, at, kinds[q]))
+    n = sum(k.astype(np.int64) for k in kinds.values())
+    end = np.concatenate([[0], np.cumsum(n)])
+    every = np.empty((end[-1], HASHES), np.uint16)
+    if GRAMS[0] in minima:
+        every[end[:-1][kinds[GRAMS[0]]]] = minima[GRAMS[0]]
+    if GRAMS[1] in minima:
+        every[end[1:][kinds[GRAMS[1]]] - 1] = minima[GRAMS[1]]
+    return sim, pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer((end * 2 * HASHES).astype(np.int32)), pa.py_buffer(every)])
+
+
+def bands() -> np.ndarray:
+    """The min-hashes of each band: every min-hash stands in DEALS bands."""
+    rng = np.random.default_rng(43)
+    return np.concatenate([rng.permutation(HASHES).reshape(-1, ROWS) for _ in range(DEALS)])
+
+
 def _line_rows(batches):
     for b in tc.chunks(batches):
         lines, at = lines_of(b.column("text"))
@@ -60,30 +126,52 @@ def _line_rows(batches):
         number = np.arange(len(row)) - at[row]
         full = np.flatnonzero(pc.greater(pc.binary_length(norm), 0).to_numpy(zero_copy_only=False))
         if len(full):
-            norm = norm.take(pa.array(full))
+            code, norm = tc.coded(norm.take(pa.array(full)))
+            once = np.unique(code, return_index=True)[1]
+            sim, minima = sketches(norm)
+            # of equal lines of these texts the first by key and line
+            key, line = b.column("key").to_numpy()[row[full]], number[full].astype(np.int32)
+            order = np.lexsort((line, key, code))
+            first = order[np.searchsorted(code[order], np.arange(len(once)))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tc.hashed(norm).view(np.int64)), pa.array(simhashes(norm)), pc.cast(pc.utf8_length(norm), pa.int32()), b.column("key").take(pa.array(row[full])), pa.array(number[full].astype(np.int32))], ["h", "sim", "len", "key", "line"]
+                [pa.array(tc.hashed(norm).view(np.int64)), pa.array(sim), minima, pc.cast(pc.utf8_length(norm), pa.int32()), pa.array(key[first]), pa.array(line[first])], ["h", "sim", "minima", "len", "key", "line"]
             )
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """(h, sim, len, first): the classes of equal normalised lines; first: (key, line) of the first occurrence."""
-    rows = tc.map_arrow(docs.select("key", "text"), _line_rows, "h long, sim long, len int, key long, line int")
-    return rows.groupBy("h").agg(F.min("sim").alias("sim"), F.min("len").alias("len"), F.min(F.struct("key", "line")).alias("first"))
+    """(h, sim, minima, len, first): the classes of equal normalised lines; first: (key, line) of the first occurrence."""
+    rows = tc.map_arrow(docs.select("key", "text"), _line_rows, "h long, sim long, minima binary, len int, key long, line int")
+    return rows.groupBy("h").agg(F.min("sim").alias("sim"), F.min("minima").alias("minima"), F.min("len").alias("len"), F.min(F.struct("key", "line")).alias("first"))
+
+
+def _filed(batches, names: list[str]):
+    """Each class once for every band of its kind or kinds, with the name of its cell there."""
+    chosen = bands()
+    for big in batches:
+        for k in range(0, big.num_rows, 10_000):
+            b = big.slice(k, 10_000)
+            n = pc.binary_length(b.column("minima")).to_numpy().astype(np.int64) // (2 * HASHES)
+            row = np.repeat(np.arange(b.num_rows), n)
+            values = np.frombuffer(b"".join(b.column("minima").to_pylist()), "<u2").reshape(-1, HASHES).astype(np.uint64)
+            # a line's last min-hashes are of long grams if it is longer than SHORT
+            last = np.append(row[1:] != row[:-1], True)
+            long = last & (b.column("len").to_numpy()[row] > SHORT)
+            with np.errstate(over="ignore"):
+                name = np.arange(len(chosen), dtype=np.uint64)[None, :] * np.uint64(2) + long[:, None].astype(np.uint64)
+                for c in range(ROWS):
+                    name = tc.mix(name * np.uint64(0x9E3779B97F4A7C15) + values[:, chosen[:, c]] + np.uint64(1))
+            each = pa.array(np.repeat(row, len(chosen)))
+            yield pa.RecordBatch.from_arrays([pa.array(name.ravel().view(np.int64)), *(b.column(c).take(each) for c in names)], ["cell", *names])
 
 
-def _cells(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """The classes (h, sim, len and perhaps group) filed under each block and band, with the tiles of cells that are large.
+def _cells(classes: DataFrame) -> DataFrame:
+    """The classes (h, sim, len and perhaps group) filed under each band of their min-hashes, with the tiles of cells that are large.
 
-    A cell is named by a hash of block, value and band. Only the large cells are looked up; the table of cells itself is shuffled once, to its tasks.
+    Only the large cells are looked up; the table of cells itself is shuffled once, to its tasks.
     """
-    edges = [(64 * k) // (radius + 1) for k in range(radius + 2)]
-    masks = F.array(*[F.lit(simhash._signed(((1 << b) - 1) & ~((1 << a) - 1))).cast("long") for a, b in zip(edges, edges[1:])])
-    band = F.floor(F.log(F.col("len").cast("double")) / F.log(F.lit(BAND))).cast("int")
-    reach = F.floor(F.log(F.col("len") / F.lit(similarity)) / F.log(F.lit(BAND))).cast("int")
-    names = classes.columns
-    cells = classes.withColumn("band", F.explode(F.sequence(band, reach))).select(*names, "band", F.posexplode(masks).alias("block", "m"))
-    cells = cells.select(F.xxhash64("block", F.col("sim").bitwiseAND(F.col("m")), "band").alias("cell"), *names)
+    names = [c for c in classes.columns if c != "minima"]
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
+    cells = tc.map_arrow(classes.select(*names, "minima"), lambda it: _filed(it, names), ", ".join(["cell bigint", *(f"{c} {kinds[c]}" for c in names)]))
     large = common.written(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "lines-large-cells")
     tiles = F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int")
     own = F.pmod(F.xxhash64("h", "cell"), tiles).cast("int")
@@ -292,16 +380,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def groups_of(docs: DataFrame, classes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component): classes linked with others, and a class that stands for all that they reach."""
     schema = "a long, b long"
-    pairs = tc.map_arrow(_cells(classes.select("h", "sim", "len"), radius, similarity), lambda it: _candidates(it, radius, similarity, True), schema)
+    pairs = tc.map_arrow(_cells(classes.select("h", "sim", "len", "minima")), lambda it: _candidates(it, radius, similarity, True), schema)
     pairs = common.written(pairs.distinct(), "lines-forest")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     involved = common.written(classes.join(involved, "h"), "lines-involved")
     texts = common.written(_texts(docs, involved), "lines-texts")
     links = _verified(pairs, texts, similarity)
     reached = common.written(common.components(links, "lines-components"), "lines-groups")
-    grouped = involved.join(reached.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "sim", "len", F.coalesce("component", "h").alias("group"))
+    grouped = involved.join(reached.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "sim", "len", "minima", F.coalesce("component", "h").alias("group"))
     grouped = common.written(grouped, "lines-grouped")
-    rest = common.written(tc.map_arrow(_cells(grouped, radius, similarity), lambda it: _candidates(it, radius, similarity, False), schema).distinct(), "lines-rest")
+    rest = common.written(tc.map_arrow(_cells(grouped), lambda it: _candidates(it, radius, similarity, False), schema).distinct(), "lines-rest")
     late = common.written(_verified(rest, texts, similarity), "lines-late")
     if late.isEmpty():
         return reached
