@@ -144,7 +144,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.min("sim").alias("sim"), F.min("minima").alias("minima"), F.min("len").alias("len"), F.min(F.struct("key", "line")).alias("first"))
 
 
-def _filed(batches, names: list[str]):
+def _filed(batches, names: list[str], short: int = SHORT):
     """Each class once for every band of its kind or kinds, with the name of its cell there."""
     chosen = bands()
     for big in batches:
@@ -153,9 +153,9 @@ def _filed(batches, names: list[str]):
             n = pc.binary_length(b.column("minima")).to_numpy().astype(np.int64) // (2 * HASHES)
             row = np.repeat(np.arange(b.num_rows), n)
             values = np.frombuffer(b"".join(b.column("minima").to_pylist()), "<u2").reshape(-1, HASHES).astype(np.uint64)
-            # a line's last min-hashes are of long grams if it is longer than SHORT
+            # a line's last min-hashes are of long grams if it is longer than ``short``
             last = np.append(row[1:] != row[:-1], True)
-            long = last & (b.column("len").to_numpy()[row] > SHORT)
+            long = last & (b.column("len").to_numpy()[row] > short)
             with np.errstate(over="ignore"):
                 name = np.arange(len(chosen), dtype=np.uint64)[None, :] * np.uint64(2) + long[:, None].astype(np.uint64)
                 for c in range(ROWS):
@@ -164,14 +164,14 @@ def _filed(batches, names: list[str]):
             yield pa.RecordBatch.from_arrays([pa.array(name.ravel().view(np.int64)), *(b.column(c).take(each) for c in names)], ["cell", *names])
 
 
-def _cells(classes: DataFrame) -> DataFrame:
+def _cells(classes: DataFrame, short: int = SHORT) -> DataFrame:
     """The classes (h, sim, len and perhaps group) filed under each band of their min-hashes, with the tiles of cells that are large.
 
     Only the large cells are looked up; the table of cells itself is shuffled once, to its tasks.
     """
     names = [c for c in classes.columns if c != "minima"]
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
-    cells = tc.map_arrow(classes.select(*names, "minima"), lambda it: _filed(it, names), ", ".join(["cell bigint", *(f"{c} {kinds[c]}" for c in names)]))
+    cells = tc.map_arrow(classes.select(*names, "minima"), lambda it: _filed(it, names, short), ", ".join(["cell bigint", *(f"{c} {kinds[c]}" for c in names)]))
     large = common.written(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "lines-large-cells")
     tiles = F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int")
     own = F.pmod(F.xxhash64("h", "cell"), tiles).cast("int")
@@ -377,20 +377,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return tc.map_arrow(both.select("a", "b", "x", "y", "most"), run, "a long, b long")
 
 
-def groups_of(docs: DataFrame, classes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def groups_of(docs: DataFrame, classes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, texts_of=_texts, verified=_verified, short: int = SHORT) -> DataFrame:
     """(node, component): classes linked with others, and a class that stands for all that they reach."""
     schema = "a long, b long"
-    pairs = tc.map_arrow(_cells(classes.select("h", "sim", "len", "minima")), lambda it: _candidates(it, radius, similarity, True), schema)
+    pairs = tc.map_arrow(_cells(classes.select("h", "sim", "len", "minima"), short), lambda it: _candidates(it, radius, similarity, True), schema)
     pairs = common.written(pairs.distinct(), "lines-forest")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     involved = common.written(classes.join(involved, "h"), "lines-involved")
-    texts = common.written(_texts(docs, involved), "lines-texts")
-    links = _verified(pairs, texts, similarity)
+    texts = common.written(texts_of(docs, involved), "lines-texts")
+    links = verified(pairs, texts, similarity)
     reached = common.written(common.components(links, "lines-components"), "lines-groups")
     grouped = involved.join(reached.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "sim", "len", "minima", F.coalesce("component", "h").alias("group"))
     grouped = common.written(grouped, "lines-grouped")
-    rest = common.written(tc.map_arrow(_cells(grouped), lambda it: _candidates(it, radius, similarity, False), schema).distinct(), "lines-rest")
-    late = common.written(_verified(rest, texts, similarity), "lines-late")
+    rest = common.written(tc.map_arrow(_cells(grouped, short), lambda it: _candidates(it, radius, similarity, False), schema).distinct(), "lines-rest")
+    late = common.written(verified(rest, texts, similarity), "lines-late")
     if late.isEmpty():
         return reached
     # the late links join groups; their own components are those of a small table

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from fragloom.llm import lines
 
 
@@ -30,3 +31,27 @@ def test_fuzzy_lines_are_removed(spark):
     docs = [(1, "the quick brown fox jumps over the lazy dog today"), (2, "the quick brown fox jumps over the lazy dig today"), (3, "nothing of the kind stands in this line at all")]
     got = {r["doc_id"]: r["n_removed"] for r in lines.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 1, 3: 0}
+
+
+def test_pipeline_drops_near_copies(spark):
+    """Planted copies with a five-word similarity of 0.8 to 0.95 go; those under 0.8 and other texts stay."""
+    rng = np.random.default_rng(22)
+    words = [f"w{i}" for i in range(5000)]
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, near = [], {}
+    for i in range(60):
+        w = list(rng.choice(words, int(rng.integers(60, 400))))
+        rows.append((i, " ".join(w)))
+        v = list(w)
+        for at in rng.choice(len(w), max(1, int(len(w) * rng.uniform(0.01, 0.035))), replace=False):
+            v[at] = "other"
+        a, b = grams(w), grams(v)
+        near[1000 + i] = len(a & b) / len(a | b) >= 0.8
+        rows.append((1000 + i, " ".join(v)))
+    rows += [(2000, None), (2001, ""), (2002, "a few words"), (2003, "A few  words"), (None, rows[0][1]), (5, rows[0][1]), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    got = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in left.collect())
+    assert 20 < sum(near.values()) < 60
+    assert got == sorted([-1, *range(60), *(k for k, v in near.items() if not v), 2000, 2002])
