@@ -1,39 +1,54 @@
-"""Line dedup: fuzzy copies of lines, by blocks of min-hashes, SimHash and edit similarity.
+"""Line dedup: fuzzy copies of lines, by pigeonhole blocks of their texts and edit similarity.
 
 Lines are normalised (lower case, runs of anything but letters and digits become one space) and hashed; equal ones are one class, counted in a
-pre-aggregated group. A class has min-hashes and a 64-bit SimHash of its character grams. Classes that agree in one band of min-hashes share a cell; of those, pairs
-within RADIUS bits whose lengths allow the edit similarity are candidates. Blocks of the SimHash itself would have to allow about 20 bits of 64 at this similarity, which leaves no
-block to join on; RADIUS only spares edit distances. The recall of the bands against all pairs is in the README.
+pre-aggregated group. Few edits leave some block of a line whole, so classes that share a block meet:
+
+short lines    (under SHORT characters) are cut into one part more than the edits that they allow; every place where a part can stand in the other line is
+               looked up, by length. No similar pair of theirs is missed.
+longer lines   have blocks of two words that follow each other; the BLOCKS that come first in a fixed random order are filed, long words first more often.
+few words      (at most FEW_WORDS) have blocks of GRAM characters as well, so that text without spaces is served too.
+
+Blocks of a 64-bit SimHash, which this takes the place of, would have to allow for some 15 to 20 bits at an edit similarity of 0.9, which leaves nothing to join on; recall is in the README.
+Pairs that meet are candidates if their lengths allow the similarity and so do the counts of their characters (a lower bound of the edits, which loses nothing).
 
 Candidates of one cell are first handed on as a spanning forest: they all are verified by edit distance on the normalised texts, and the links
 make groups. In a second pass the candidates that still lie in different groups are verified, every one. So each candidate is verified or joined
 already, and no group's pairs are listed. One occurrence of each group is kept: the first by document and line.
 
+Cells that a sixteenth of the lines shows to be large are cut by length and into tiles whose pairs are tasks; that decides where lines meet, not whether they do.
+
 Defined results: blank lines (no letter or digit) are kept and belong to no group; null texts count as empty ones; rows equal in id and text get the same result each;
 rows that share an id are told apart by text; an empty table gives no rows; other columns are passed by. Very long lines are lines like others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+from math import log
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, simhash, substring
+from . import common, substring
 from . import textcols as tc
 
 SIMILARITY = 0.9
-#: Bits that SimHashes of character grams may differ in; half of 64 differ by chance.
-RADIUS = 24
-SIM_GRAM = 6
-#: Characters of the grams that are min-hashed: of lines of up to SHORT characters, and of longer ones.
-GRAMS = (3, 6)
-SHORT = 48
-#: Min-hashes of a line; how many make a band, and how many bands each stands in.
-HASHES, ROWS, DEALS = 24, 3, 3
+#: Lines of fewer characters have the blocks of ``places``.
+SHORT = 30
+#: Blocks that a longer line is filed under, of either kind; lines of at most FEW_WORDS words have both kinds.
+BLOCKS = 6
+FEW_WORDS = 7
+GRAM = 5
+#: Characters are counted in so many groups.
+GROUPS = 16
 TILE = 512
+#: One line of so many tells which cells are large.
+SAMPLED = 16
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lines_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -47,155 +62,237 @@ def normalised(lines: pa.Array) -> pa.Array:
     return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def _grams(lines: pa.Array, wanted: tuple[int, ...]):
-    """(q, hashes of the q-grams, offsets) for each wanted q, rising. A line has a gram for each character: it is filled up in front."""
-    flat = np.frombuffer("".join(lines.to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
-    size = pc.utf8_length(lines).to_numpy().astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(size)])
-    place = np.arange(len(flat)) - np.repeat(at[:-1], size)
-    h = np.zeros(len(flat), np.uint64)
-    with np.errstate(over="ignore"):
-        power = np.uint64(1)
-        for k in range(max(wanted)):
-            h[k:] += power * np.where(place[k:] >= k, flat[: len(flat) - k] + np.uint64(1), np.uint64(0))
-            power = power * np.uint64(0x9E3779B97F4A7C15)
-            if k + 1 in wanted:
-                yield k + 1, tc.mix(h), at
-
-
-def _simhash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    bits = (2 * simhash._counts(h, at) > np.diff(at)[:, None]).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0]
-
-
-def _minima(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """HASHES min-hashes of 16 bits for each line, of its grams ``h``."""
-    rng = np.random.default_rng(42)
-    low = (h >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(at) - 1, HASHES), np.uint16)
-    for k, (x, m) in enumerate(rng.integers(0, 1 << 32, (HASHES, 2), np.uint32)):
-        out[:, k] = (np.minimum.reduceat((low ^ x) * (m | np.uint32(1)), at[:-1]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+def allowed(length, similarity: float = SIMILARITY):
+    """Edits that a pair may have whose longer line has this length."""
+    return np.floor((1 - similarity) * np.asarray(length) + 1e-9).astype(np.int64)
+
+
+@cache
+def places(length: int, similarity: float = SIMILARITY, short: int = SHORT) -> list[tuple[int, int, int, int]]:
+    """(length of the shorter line, part, start, characters): the blocks of a line of ``length``.
+
+    A line of n characters is cut into parts, one more than the edits of its longest similar line. In that one, the part number i (from 0) of p stands within i
+    places of its own, as each shift takes an edit before it, and so from the end.
+    """
+    out = []
+    for n in range(length - int(allowed(length, similarity)), min(length, short - 1) + 1):
+        most = max(int(allowed(t, similarity)) for t in range(n, int(n / similarity) + 2) if t - int(allowed(t, similarity)) <= n)
+        if not most:
+            continue
+        parts = [(k * n // (most + 1), (k + 1) * n // (most + 1)) for k in range(most + 1)]
+        more = length - n
+        for i, (a, b) in enumerate(parts):
+            first, last = max(a - i, a + more - (most - i), 0), min(a + i, a + more + most - i, length - (b - a))
+            out += [(n, i, start, b - a) for start in range(first, last + 1)]
     return out
 
 
-def _of_lines(h: np.ndarray, at: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of some lines alone, and their offsets."""
-    return h[np.repeat(some, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[some])])
+def _codes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all lines, and the offsets of the lines."""
+    flat = np.frombuffer("".join(lines.to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
+    return flat, np.concatenate([[0], np.cumsum(pc.utf8_length(lines).to_numpy().astype(np.int64))])
 
 
-def simhashes(lines: pa.Array) -> np.ndarray:
-    """SimHash over the grams of SIM_GRAM characters of each normalised line."""
-    out = np.zeros(len(lines), np.int64)
-    full = np.flatnonzero(pc.greater(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False))
-    for _, h, at in _grams(lines.take(pa.array(full)), (SIM_GRAM,)) if len(full) else ():
-        out[full] = _simhash(h, at)
-    return out
+def _short_blocks(lines: pa.Array, size: np.ndarray, similarity: float):
+    """(line, block) of the lines of one length after the other."""
+    with np.errstate(over="ignore"):
+        for n in np.unique(size):
+            spots = places(int(n), similarity)
+            if not spots:
+                continue
+            mine = np.flatnonzero(size == n)
+            c = _codes(lines.take(pa.array(mine)))[0].reshape(len(mine), int(n)) + np.uint64(1)
+            upto = np.zeros((len(mine), int(n) + 1), np.uint64)
+            power = [np.uint64(1)]
+            for k in range(int(n)):
+                upto[:, k + 1] = upto[:, k] * GOLDEN + c[:, k]
+                power.append(power[-1] * GOLDEN)
+            for m, i, start, width in spots:
+                block = upto[:, start + width] - upto[:, start] * power[width]
+                yield mine, tc.mix(block * GOLDEN + np.uint64(m << 8 | i))
+
+
+def _first_blocks(row: np.ndarray, block: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block): of each row's distinct blocks the BLOCKS, and some more of very long lines, that come first in a random order, heavy ones more often."""
+    u = ((block >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    order = np.lexsort((block, -np.log(u) / weight, row)) if len(row) > 1 << 21 else np.argsort(row.astype(np.uint64) << np.uint64(43) | (-np.log(u) / weight).view(np.uint64) >> np.uint64(21))
+    row, block = row[order], block[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
+    row, block = row[new], block[new]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    n = np.diff(np.append(first, len(row)))
+    keep = np.arange(len(row)) - np.repeat(first, n) < np.repeat(BLOCKS + np.minimum(n // 40, 4), n)
+    return row[keep], block[keep]
+
+
+def _word_blocks(words: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code, distinct = tc.coded(words)
+    if len(code) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h, size = tc.quick_hashed(distinct), pc.utf8_length(distinct).to_numpy().astype(np.int64)
+    row = tc.row_of(at)
+    start = np.flatnonzero(row[1:] == row[:-1])
+    one, two = code[start], code[start + 1]
+    with np.errstate(over="ignore"):
+        block = tc.mix(tc.mix(h[one]) * GOLDEN + h[two])
+    return _first_blocks(row[start], block, 2.0 ** (np.minimum(size[one] + size[two], 24) / 2))
+
+
+def _gram_blocks(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    flat, at = _codes(lines)
+    row = tc.row_of(at)
+    if len(flat) < GRAM:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.zeros(len(flat) - GRAM + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(GRAM):
+            h = h * GOLDEN + flat[k : len(h) + k] + np.uint64(1)
+    inside = np.flatnonzero(row[: len(h)] == row[GRAM - 1 :])
+    return _first_blocks(row[inside], tc.mix(h[inside]), np.ones(len(inside)))
 
 
-def sketches(lines: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(SimHash, min-hashes) of each normalised line, none of them empty. Lines near SHORT characters have the min-hashes of either kind, short first."""
-    size = pc.utf8_length(lines).to_numpy()
-    kinds = {GRAMS[0]: size <= SHORT / SIMILARITY + 1, GRAMS[1]: size > SHORT}
-    minima = {}
-    for q, h, at in _grams(lines, tuple(sorted({SIM_GRAM, *GRAMS}))):
-        if q == SIM_GRAM:
-            sim = _simhash(h, at)
-        if q in kinds and kinds[q].any():
-            minima[q] = _minima(*_of_lines(h, at, kinds[q]))
-    n = sum(k.astype(np.int64) for k in kinds.values())
-    end = np.concatenate([[0], np.cumsum(n)])
-    every = np.empty((end[-1], HASHES), np.uint16)
-    if GRAMS[0] in minima:
-        every[end[:-1][kinds[GRAMS[0]]]] = minima[GRAMS[0]]
-    if GRAMS[1] in minima:
-        every[end[1:][kinds[GRAMS[1]]] - 1] = minima[GRAMS[1]]
-    return sim, pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer((end * 2 * HASHES).astype(np.int32)), pa.py_buffer(every)])
-
-
-def bands() -> np.ndarray:
-    """The min-hashes of each band: every min-hash stands in DEALS bands."""
-    rng = np.random.default_rng(43)
-    return np.concatenate([rng.permutation(HASHES).reshape(-1, ROWS) for _ in range(DEALS)])
+def blocks(lines: pa.Array, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(line, block) of normalised lines, by line."""
+    size = pc.utf8_length(lines).to_numpy().astype(np.int64)
+    lists = pc.split_pattern(lines, " ")
+    at = lists.offsets.to_numpy().astype(np.int64)
+    words, at = lists.flatten(), at - at[0]
+    n_words = np.diff(at)
+    found = list(_short_blocks(lines, np.where(size * similarity < SHORT, size, 0), similarity))
+    some = np.flatnonzero((size >= SHORT) & (n_words >= 4))
+    if len(some):
+        keep = np.isin(tc.row_of(at), some) if len(some) < len(size) else np.ones(len(words), bool)
+        row, block = _word_blocks(words.filter(pa.array(keep)), np.concatenate([[0], np.cumsum(n_words[some])]))
+        found.append((some[row], block))
+    some = np.flatnonzero((size >= SHORT) & (n_words <= FEW_WORDS))
+    if len(some):
+        row, block = _gram_blocks(lines.take(pa.array(some)))
+        found.append((some[row], block + np.uint64(1)))
+    row, block = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*found) if found else ((), ())))
+    row, block = row.astype(np.int64), block.astype(np.uint64)
+    order = np.argsort(row, kind="stable")
+    return row[order], block[order]
+
+
+def histograms(lines: pa.Array) -> np.ndarray:
+    """How many characters of each group a line has, up to 255; a group is known by the character's first byte."""
+    group = ((np.arange(256) * 11) >> 2) % GROUPS
+    size = pc.binary_length(lines).to_numpy().astype(np.int64)
+    flat = tc.joined(lines)
+    slot = np.repeat(np.arange(len(lines)) * GROUPS, size) + group[flat]
+    lead = (flat & 0xC0) != 0x80
+    slot = slot if lead.all() else slot[lead]
+    return np.minimum(np.bincount(slot, minlength=len(lines) * GROUPS), 255).astype(np.uint8).reshape(len(lines), GROUPS)
+
+
+def packed(row: np.ndarray, block: np.ndarray, n: int) -> pa.Array:
+    """Blocks by row as one binary value for each of n rows."""
+    at = np.searchsorted(row, np.arange(n + 1)) * 8
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(block.astype("<u8")))])
 
 
 def _line_rows(batches):
     for b in tc.chunks(batches):
         lines, at = lines_of(b.column("text"))
-        norm = normalised(lines)
         row = tc.row_of(at)
         number = np.arange(len(row)) - at[row]
-        full = np.flatnonzero(pc.greater(pc.binary_length(norm), 0).to_numpy(zero_copy_only=False))
-        if len(full):
-            code, norm = tc.coded(norm.take(pa.array(full)))
-            once = np.unique(code, return_index=True)[1]
-            sim, minima = sketches(norm)
-            # of equal lines of these texts the first by key and line
-            key, line = b.column("key").to_numpy()[row[full]], number[full].astype(np.int32)
-            order = np.lexsort((line, key, code))
-            first = order[np.searchsorted(code[order], np.arange(len(once)))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tc.hashed(norm).view(np.int64)), pa.array(sim), minima, pc.cast(pc.utf8_length(norm), pa.int32()), pa.array(key[first]), pa.array(line[first])], ["h", "sim", "minima", "len", "key", "line"]
-            )
+        raw, distinct = tc.coded(lines)
+        code, norm = tc.coded(normalised(distinct))
+        full = pc.greater(pc.binary_length(norm), 0).to_numpy(zero_copy_only=False)
+        if not full.any():
+            continue
+        code = code[raw]
+        # of equal lines of these texts the first by key and line
+        key, line = b.column("key").to_numpy()[row], number.astype(np.int32)
+        order = np.lexsort((line, key, code))
+        first = order[np.searchsorted(code[order], np.flatnonzero(full))]
+        norm = norm.filter(pa.array(full))
+        counts = histograms(norm).view("<i8")
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(tc.hashed(norm).view(np.int64)),
+                pc.cast(pc.utf8_length(norm), pa.int32()),
+                pa.array(counts[:, 0].copy()),
+                pa.array(counts[:, 1].copy()),
+                packed(*blocks(norm), len(norm)),
+                norm,
+                pa.array(key[first]),
+                pa.array(line[first]),
+            ],
+            ["h", "len", "c0", "c1", "blocks", "norm", "key", "line"],
+        )
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """(h, sim, minima, len, first): the classes of equal normalised lines; first: (key, line) of the first occurrence."""
-    rows = tc.map_arrow(docs.select("key", "text"), _line_rows, "h long, sim long, minima binary, len int, key long, line int")
-    return rows.groupBy("h").agg(F.min("sim").alias("sim"), F.min("minima").alias("minima"), F.min("len").alias("len"), F.min(F.struct("key", "line")).alias("first"))
+    """(h, len, c0, c1, blocks, norm, first): the classes of equal normalised lines; first: (key, line) of the first occurrence."""
+    rows = tc.map_arrow(docs.select("key", "text"), _line_rows, "h long, len int, c0 long, c1 long, blocks binary, norm string, key long, line int")
+    return rows.groupBy("h").agg(*[F.min(c).alias(c) for c in ("len", "c0", "c1", "blocks", "norm")], F.min(F.struct("key", "line")).alias("first"))
 
 
-def _filed(batches, names: list[str], short: int = SHORT):
-    """Each class once for every band of its kind or kinds, with the name of its cell there."""
-    chosen = bands()
+def _filed(batches, names: list[str]):
+    """Each class once for every block of it."""
     for big in batches:
         for k in range(0, big.num_rows, 10_000):
             b = big.slice(k, 10_000)
-            n = pc.binary_length(b.column("minima")).to_numpy().astype(np.int64) // (2 * HASHES)
-            row = np.repeat(np.arange(b.num_rows), n)
-            values = np.frombuffer(b"".join(b.column("minima").to_pylist()), "<u2").reshape(-1, HASHES).astype(np.uint64)
-            # a line's last min-hashes are of long grams if it is longer than ``short``
-            last = np.append(row[1:] != row[:-1], True)
-            long = last & (b.column("len").to_numpy()[row] > short)
-            with np.errstate(over="ignore"):
-                name = np.arange(len(chosen), dtype=np.uint64)[None, :] * np.uint64(2) + long[:, None].astype(np.uint64)
-                for c in range(ROWS):
-                    name = tc.mix(name * np.uint64(0x9E3779B97F4A7C15) + values[:, chosen[:, c]] + np.uint64(1))
-            each = pa.array(np.repeat(row, len(chosen)))
-            yield pa.RecordBatch.from_arrays([pa.array(name.ravel().view(np.int64)), *(b.column(c).take(each) for c in names)], ["cell", *names])
+            n = pc.binary_length(b.column("blocks")).to_numpy().astype(np.int64) // 8
+            each = pa.array(np.repeat(np.arange(b.num_rows), n))
+            cell = np.frombuffer(b"".join(b.column("blocks").to_pylist()), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *(b.column(c).take(each) for c in names)], ["cell", *names])
 
 
-def _cells(classes: DataFrame, short: int = SHORT) -> DataFrame:
-    """The classes (h, sim, len and perhaps group) filed under each band of their min-hashes, with the tiles of cells that are large.
+def _cells(classes: DataFrame, similarity: float) -> DataFrame:
+    """The classes (h, len, c0, c1, blocks and perhaps group) filed under each of their blocks, sorted by cell and length.
 
-    Only the large cells are looked up; the table of cells itself is shuffled once, to its tasks.
+    Lines of a large cell are filed there by length (under their own step of lengths, and as guests under the next one), and steps are cut into tiles.
     """
-    names = [c for c in classes.columns if c != "minima"]
+    names = [c for c in classes.columns if c != "blocks"]
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
-    cells = tc.map_arrow(classes.select(*names, "minima"), lambda it: _filed(it, names, short), ", ".join(["cell bigint", *(f"{c} {kinds[c]}" for c in names)]))
-    large = common.written(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "lines-large-cells")
-    tiles = F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int")
-    own = F.pmod(F.xxhash64("h", "cell"), tiles).cast("int")
-    cells = cells.join(large, "cell", "left").select("cell", *names, own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    tile = F.least("own", "other") * F.lit(1 << 16) + F.greatest("own", "other")
-    return cells.select("cell", tile.alias("tile"), *names).repartition("cell", "tile").sortWithinPartitions("cell", "tile")
-
-
-def _candidates(batches, radius: int, similarity: float, forest: bool):
-    for t, starts in common.group_runs(batches, ["cell", "tile"]):
+    every = tc.map_arrow(classes.select(*names, "blocks"), lambda it: _filed(it, names), ", ".join(["cell bigint", *(f"{c} {kinds[c]}" for c in names)]))
+    some = tc.map_arrow(classes.where(F.pmod("h", F.lit(SAMPLED)) == 0).select(*names, "blocks"), lambda it: _filed(it, names), ", ".join(["cell bigint", *(f"{c} {kinds[c]}" for c in names)]))
+    step = F.floor(F.log(F.col("len").cast("double")) / F.lit(1.000001 * log(1 / similarity))).cast("int")
+    seen = some.select("cell", F.explode(F.array(step, step + 1)).alias("step")).groupBy("cell", "step").agg(F.count("*").alias("n"))
+    large = seen.groupBy("cell").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("n") * SAMPLED / TILE).cast("int")))).alias("tiles")).where(F.col("n") * SAMPLED / 2 > TILE).drop("n")
+    large = common.written(large, "lines-large-cells")
+    at = every.join(large, "cell", "left")
+    own = F.array(F.struct(step.alias("step"), F.lit(1).alias("home")), F.struct((step + 1).alias("step"), F.lit(0).alias("home")))
+    at = at.withColumn("at", F.explode(F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(0).alias("step"), F.lit(1).alias("home")))).otherwise(own)))
+    tiles = F.coalesce(F.element_at("tiles", F.col("at.step")), F.lit(1))
+    at = at.select("cell", *names, F.col("at.step").alias("step"), F.col("at.home").alias("home"), tiles.alias("tiles"), F.pmod(F.xxhash64("h", "cell"), tiles).cast("int").alias("own"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tile = F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")
+    at = at.select("cell", "step", tile.alias("tile"), "home", "own", *names)
+    return at.repartition("cell", "step", "tile").sortWithinPartitions("cell", "step", "tile", "len")
+
+
+def _candidates(batches, similarity: float, forest: bool):
+    for t, starts in common.group_runs(batches, ["cell", "step", "tile"]):
         size = np.diff(np.append(starts, t.num_rows))
+        if size.max(initial=0) < 2:
+            continue
         end = np.repeat(np.append(starts[1:], t.num_rows), size)
-        sim, length, h = (t.column(c).to_numpy() for c in ("sim", "len", "h"))
+        length, h, home, own, tile = (t.column(c).to_numpy() for c in ("len", "h", "home", "own", "tile"))
+        one_tile = tile >> 31 == tile & ((1 << 31) - 1)
         group = t.column("group").to_numpy() if "group" in t.column_names else h
-        sim, i = sim.view(np.uint64), np.arange(t.num_rows)
+        counts = np.column_stack([t.column("c0").to_numpy(), t.column("c1").to_numpy()]).view(np.uint8).astype(np.int16)
+        most = allowed(length, similarity)
+        i = np.arange(t.num_rows)
         a, b = [], []
-        for d in range(1, int(size.max(initial=1))):
+        for d in range(1, int(size.max())):
             i = i[i + d < end[i]]
-            hit = i[np.bitwise_count(sim[i] ^ sim[i + d]) <= radius]
-            short, long = np.minimum(length[hit], length[hit + d]), np.maximum(length[hit], length[hit + d])
-            hit = hit[(short >= similarity * long) & (group[hit] != group[hit + d])]
-            a.append(hit)
-            b.append(hit + d)
-        if not a or not sum(map(len, a)):
+            i = i[length[i + d] - length[i] <= most[i + d]]  # sorted by length: what is too short for one is so for the next
+            if not len(i):
+                break
+            j = i + d
+            ok = (group[i] != group[j]) & ((home[i] | home[j]) > 0) & (one_tile[i] | (own[i] != own[j]))
+            x, y = i[ok], j[ok]
+            for x, y in zip(np.array_split(x, len(x) // 100_000 + 1), np.array_split(y, len(y) // 100_000 + 1)):
+                more = counts[y] - counts[x]
+                edits = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+                near = edits <= most[y]
+                a.append(x[near])
+                b.append(y[near])
+        if not sum(map(len, a)):
             continue
         a, b = np.concatenate(a), np.concatenate(b)
         if forest:
@@ -228,23 +325,6 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
         label = parent[label]
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, line): the normalised texts of the wanted classes (h, first), from their first occurrences."""
-    marks = wanted.select(F.col("first.key").alias("key"), F.col("first.line").alias("first"), F.lit(1).alias("n"), F.lit(False).alias("known"))
-
-    def run(batches):
-        for texts, _, _, group, of, first, _, _ in substring._by_text(batches):
-            if not len(of):
-                continue
-            once = np.unique(group, return_index=True)[1]
-            lines, at = lines_of(pa.array([texts[i] for i in once], pa.string()))
-            slot = np.searchsorted(group[once], of)
-            norm = normalised(lines.take(pa.array(at[slot] + first)))
-            yield pa.RecordBatch.from_arrays([pa.array(tc.hashed(norm).view(np.int64)), norm], ["h", "line"])
-
-    return tc.map_arrow(substring._with_marks(docs, marks), run, "h long, line string")
-
-
 #: Beyond this length few edits are looked for along diagonals before all cells are gone through.
 LONG = 1000
 #: Beyond this length lines that share too few q-grams are told apart without a search.
@@ -363,42 +443,69 @@ def _few_edits(x: np.ndarray, y: np.ndarray, most: int) -> int:
     return most + 1
 
 
+def _aligned(x: np.ndarray, xat: np.ndarray, y: np.ndarray, yat: np.ndarray, n: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For n characters of each pair, from the start or from the end: how far they are equal, and how many differ."""
+    row = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    differ = x[xat[1:][row] - 1 - k] != y[yat[1:][row] - 1 - k] if back else x[xat[row] + k] != y[yat[row] + k]
+    hit = np.flatnonzero(differ)
+    same = n.copy()
+    same[row[hit[::-1]]] = k[hit[::-1]]
+    return same, np.bincount(row[hit], minlength=len(n))
+
+
+def similar_enough(one: pa.Array, two: pa.Array, most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most ``most``.
+
+    Pairs that differ in one short stretch, or only in single characters of equally long lines, are settled by comparing columns; the others one by one.
+    """
+    (x, xat), (y, yat) = _codes(one), _codes(two)
+    nx, ny = np.diff(xat), np.diff(yat)
+    n = np.minimum(nx, ny)
+    head, differ = _aligned(x, xat, y, yat, n, False)
+    tail = np.minimum(_aligned(x, xat, y, yat, n, True)[0], n - head)
+    out = (np.maximum(nx, ny) - head - tail <= most) | ((nx == ny) & (differ <= most))
+    for k in np.flatnonzero(~out & (np.abs(nx - ny) <= most)):
+        out[k] = edit_distance(one[int(k)].as_py(), two[int(k)].as_py(), int(most[k])) <= most[k]
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose normalised lines are similar enough."""
-    one, two = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    allowed = f"cast(floor((1.0D - {similarity}D) * greatest(length(x), length(y)) + 1e-9D) as int)"
-    both = pairs.join(one, "a").join(two, "b").withColumn("most", F.expr(allowed))
+    one, two = texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), texts.select(F.col("h").alias("b"), F.col("norm").alias("y"))
 
     def run(batches):
-        for b in batches:
-            hit = [edit_distance(x, y, k) <= k for x, y, k in zip(*(b.column(c).to_pylist() for c in ("x", "y", "most")))]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        for b in tc.chunks(batches, "x", 1 << 20):
+            size = np.maximum(pc.utf8_length(b.column("x")).to_numpy(), pc.utf8_length(b.column("y")).to_numpy())
+            hit = similar_enough(b.column("x"), b.column("y"), allowed(size, similarity))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(hit))
 
-    return tc.map_arrow(both.select("a", "b", "x", "y", "most"), run, "a long, b long")
+    return tc.map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def groups_of(docs: DataFrame, classes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, texts_of=_texts, verified=_verified, short: int = SHORT) -> DataFrame:
+def groups_of(classes: DataFrame, similarity: float = SIMILARITY, texts_of: Callable = lambda involved: involved.select("h", "norm"), verified: Callable = _verified) -> DataFrame:
     """(node, component): classes linked with others, and a class that stands for all that they reach."""
     schema = "a long, b long"
-    pairs = tc.map_arrow(_cells(classes.select("h", "sim", "len", "minima"), short), lambda it: _candidates(it, radius, similarity, True), schema)
+    filed = ["h", "len", "c0", "c1", "blocks"]
+    pairs = tc.map_arrow(_cells(classes.select(*filed), similarity), lambda it: _candidates(it, similarity, True), schema)
     pairs = common.written(pairs.distinct(), "lines-forest")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    involved = common.written(classes.join(involved, "h"), "lines-involved")
-    texts = common.written(texts_of(docs, involved), "lines-texts")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    involved = common.written(classes.join(wanted, "h"), "lines-involved")
+    texts = common.written(texts_of(involved), "lines-texts")
     links = verified(pairs, texts, similarity)
     reached = common.written(common.components(links, "lines-components"), "lines-groups")
-    grouped = involved.join(reached.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "sim", "len", "minima", F.coalesce("component", "h").alias("group"))
+    grouped = involved.join(reached.select(F.col("node").alias("h"), "component"), "h", "left").select(*filed, F.coalesce("component", "h").alias("group"))
     grouped = common.written(grouped, "lines-grouped")
-    rest = common.written(tc.map_arrow(_cells(grouped, short), lambda it: _candidates(it, radius, similarity, False), schema).distinct(), "lines-rest")
+    rest = common.written(tc.map_arrow(_cells(grouped, similarity), lambda it: _candidates(it, similarity, False), schema).distinct(), "lines-rest")
     late = common.written(verified(rest, texts, similarity), "lines-late")
+    common.delete(pairs, involved, texts, rest)
     if late.isEmpty():
         return reached
     # the late links join groups; their own components are those of a small table
     of = lambda c: grouped.select(F.col("h").alias(c), F.col("group").alias(f"g{c}"))
     between = late.join(of("a"), "a").join(of("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     higher = common.components(between, "lines-components").select(F.col("node").alias("group"), "component")
-    joined = grouped.join(higher, "group", "left").select(F.col("h").alias("node"), F.coalesce("component", "group").alias("component"))
-    return joined
+    return grouped.join(higher, "group", "left").select(F.col("h").alias("node"), F.coalesce("component", "group").alias("component"))
 
 
 def _kept_rows(batches):
@@ -416,11 +523,11 @@ def _kept_rows(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(np.diff(at) - np.diff(left)), out], ["doc_id", "n_lines", "n_removed", "text"])
 
 
-def deduplicated(documents: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicated(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every document; text: the lines kept."""
     docs = substring.keyed(documents)
     classes = common.written(classes_of(docs), "lines-classes")
-    groups = groups_of(docs, classes, radius, similarity)
+    groups = groups_of(classes, similarity)
     named = classes.select("h", "first").join(groups.select(F.col("node").alias("h"), "component"), "h", "left").select(F.coalesce("component", "h").alias("g"), "first")
     kept = named.groupBy("g").agg(F.min("first").alias("first"))
     marks = kept.select(F.col("first.key").alias("key"), F.col("first.line").alias("first"), F.lit(1).alias("n"), F.lit(True).alias("known"))

@@ -81,6 +81,37 @@ def hashed(words: pa.Array, seed: int = 0) -> np.ndarray:
     return np.fromiter((h(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
 
 
+def joined(words: pa.Array) -> np.ndarray:
+    """The bytes of all strings, one after the other."""
+    if not len(words):
+        return np.zeros(0, np.uint8)
+    return np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")[0].as_buffer() or b"", np.uint8)
+
+
+def _quick_tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value for each byte, and the powers of an odd number and of its inverse modulo 2**64."""
+    if not _TABLES or len(_TABLES[1]) < n:
+        base = 0x9E3779B97F4A7C15
+        powers = [np.cumprod(np.concatenate([[1], np.full(2 * n, b, np.uint64)]).astype(np.uint64), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+        _TABLES[:] = [np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64, endpoint=False), *powers]
+    return tuple(_TABLES)
+
+
+_TABLES: list[np.ndarray] = []
+
+
+def quick_hashed(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string, for all of them at once. For words and blocks whose equality is checked later; ``hashed`` is the stronger one."""
+    words = words.cast(pa.string())
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    flat = joined(words)
+    value, power, inverse = _quick_tables(len(flat) + 1)
+    with np.errstate(over="ignore"):
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(value[flat] * power[: len(flat)], dtype=np.uint64)])
+        return mix((upto[at[1:]] - upto[at[:-1]]) * inverse[at[:-1]] + size.astype(np.uint64))
+
+
 def ascii_lower(column: pa.Array) -> pa.Array:
     """Lower-case A-Z alone."""
     return pc.ascii_lower(column)
