@@ -2,40 +2,63 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on this machine alone, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. A cluster's session has to name one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (at or DEFAULT_SHARED).rstrip("/")
 
 
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet in the shared folder and read them back.
 
-    A lost executor takes nothing with it, and later jobs do not repeat the work.
+    A lost executor takes nothing with it, and later jobs do not repeat the work. What ``delete`` has not deleted by then goes when the driver ends.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    path, store = _path(spark, at)
+    store.deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def delete(df: DataFrame) -> None:
-    """Delete what ``written`` wrote for ``df``."""
-    spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for the tables, once nothing reads them any more."""
+    for df in tables:
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path, store = _path(df.sparkSession, f)
+            store.delete(path, True)
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def remainder(doc_id, n: int):
@@ -43,16 +66,29 @@ def remainder(doc_id, n: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable, per_class: tuple[int, int]) -> DataFrame:
-    """(doc_id, text, y) of at most per_class[y] labelled documents of each class y.
+#: Bytes of text of one class that a sample holds at most, but for its last text.
+SAMPLE_BYTES = 4 << 20
+
+
+def labelled_sample(documents: DataFrame, labelled: DataFrame, per_class: list[int], most_bytes: int | None = None) -> DataFrame:
+    """(doc_id, text, y) of at most per_class[y] documents of each class y of ``labelled`` (doc_id, y), and at most ``most_bytes`` of their texts.
 
-    Taken in the order of a hash of doc_id, so the sample is the same for any partitioning. Only the ids and
-    labels are ordered; at most so many ids are then broadcast to the scan of the texts.
+    Texts are taken whole, in the order of a hash of doc_id, so the sample is the same for any partitioning. Only ids and
+    labels are ordered; at most so many ids are then broadcast to the scan of the texts. Where ids repeat, rows are ordered by their texts too.
     """
-    ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & usable).distinct()
-    parts = [ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[y]) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    ids = labelled.where("doc_id IS NOT NULL AND y IS NOT NULL").distinct()
+    h = F.xxhash64("doc_id")
+    chosen = None
+    for y, n in enumerate(per_class):
+        one = ids.where(F.col("y") == y).orderBy(h, "doc_id").limit(n)
+        chosen = one if chosen is None else chosen.unionByName(one)
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    order = Window.partitionBy("y").orderBy(h, "doc_id", F.xxhash64("text"), "text")
+    size = F.octet_length("text")
+    held = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    bound = F.element_at(F.array(*map(F.lit, per_class)), F.col("y") + 1)
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("held", F.coalesce(held, F.lit(0)))
+    return rows.where((F.col("place") <= bound) & (F.col("held") < F.lit(most_bytes or SAMPLE_BYTES))).select("doc_id", "text", "y")
 
 
 def components(edges: DataFrame, what: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -102,7 +138,7 @@ def group_runs(batches, keys: list[str], least: int = 50_000):
         if rows < wanted:
             continue
         t = pa.Table.from_batches(kept).combine_chunks()
-        starts = _starts(t, keys)
+        starts = starts_of(t, keys)
         if len(starts) > 1:
             yield t.slice(0, int(starts[-1])), starts[:-1]
         kept = t.slice(int(starts[-1])).combine_chunks().to_batches()
@@ -110,10 +146,11 @@ def group_runs(batches, keys: list[str], least: int = 50_000):
         wanted = rows + least  # a group longer than that is not looked through again for each batch
     if kept:
         t = pa.Table.from_batches(kept).combine_chunks()
-        yield t, _starts(t, keys)
+        yield t, starts_of(t, keys)
 
 
-def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+def starts_of(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """The rows of a sorted table at which groups of equal keys begin."""
     change = np.zeros(t.num_rows, bool)
     change[:1] = True
     for k in keys:

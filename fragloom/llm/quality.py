@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import common, features
 from . import textcols as tc
 
-#: At most so many labelled documents of each class are used for training.
+#: At most so many labelled documents of each class, of common.SAMPLE_BYTES in all, are used for training.
 SAMPLE_PER_CLASS = 2500
 
 
@@ -29,7 +29,7 @@ class QualityModel:
     threshold: float = 0.3
 
 
-def gather(sample: DataFrame, scale_rows: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def gather(sample: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Features and labels of a bounded sample (doc_id, text, y), in the order of doc_id; the features are made on the executors."""
 
     def run(batches):
@@ -40,14 +40,15 @@ def gather(sample: DataFrame, scale_rows: int) -> tuple[list[tuple[np.ndarray, n
                 ["doc_id", "y", "at", "value"],
             )
 
-    got = sorted(tc.map_arrow(sample.select("doc_id", "y", "text"), run, "doc_id long, y int, at binary, value binary").take(scale_rows), key=lambda r: (r[0], r[1], bytes(r[2])))
+    got = sorted(tc.map_arrow(sample.select("doc_id", "y", "text"), run, "doc_id long, y int, at binary, value binary").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
     rows = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in got]
     return rows, np.array([r["y"] for r in got], np.int64)
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str, usable, per_class: int = SAMPLE_PER_CLASS, threshold: float = 0.3) -> QualityModel:
     """Learn ``label`` (0/1) from a bounded sample of the labelled documents for which ``usable`` holds."""
-    rows, y = gather(common.labelled_sample(documents, labels, label, usable, (per_class, per_class)), 2 * per_class)
+    labelled = labels.where(usable).select("doc_id", F.col(label).cast("int").alias("y"))
+    rows, y = gather(common.labelled_sample(documents, labelled, [per_class, per_class]))
     if len(set(y)) < 2:
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
         return QualityModel(np.zeros((features.SIZE, 1), np.float32), float(np.log(share / (1 - share))), threshold)

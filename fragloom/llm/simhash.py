@@ -7,14 +7,14 @@ class, so copies are never paired. Over the distinct fingerprints:
 2. each part gets a threshold t >= -1, with sum(t + 1) = radius + 1: two fingerprints within ``radius`` bits are then within
    t bits of each other in some part. Thresholds and m come from a dynamic programme on estimated numbers of candidates;
 3. a fingerprint is filed under its part with every choice of t bits blanked; those in one file are verified in blocks;
-4. a file beyond TILE rows is cut into tiles and its tile pairs are dealt out as tasks; one beyond TILE x TILES rows is filed again under all
-   choices of ``radius`` blanked bits outside its part, where equal entries are links already and each needs only the smallest of them.
+4. a file beyond TILE rows is cut into tiles and its tile pairs are dealt out as tasks; one beyond TILE x TILES rows is first filed again, under each of
+   radius + 1 parts of the bits that it leaves open: two of its fingerprints agree in one of those. That goes on until files are small or no bits are left.
 
 The sample only chooses the plan: any plan finds every link.
 
 Defined results: null and empty texts have fingerprint zero and are linked like others; a text of fewer words than a shingle is one shingle; repeated rows are
-kept; a row without doc_id gets its fingerprint and the component of its class (null if the class has no id); an empty table gives no rows; other columns are
-passed by. Very long texts are hashed whole.
+kept; a row without doc_id is linked like others, and gets the smallest id that it reaches (null if it reaches none); an empty table gives no rows; other columns are
+passed by, whatever their names. Very long texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -160,10 +160,10 @@ def _signed(x: int) -> int:
 
 
 def _verified(batches, radius: int):
-    """Pairs within a file that differ in at most ``radius`` bits, as links from each member to the smallest id it reaches."""
+    """Pairs within a file that differ in at most ``radius`` bits, as links from each member to the smallest one that it reaches there."""
     for t, starts in common.group_runs(batches, ["mask", "value", "low", "high"]):
-        fp = t.column("fp").to_numpy().view(np.uint64)
-        ids = t.column("id").to_numpy()
+        signed = t.column("fp").to_numpy()
+        fp = signed.view(np.uint64)
         end = np.repeat(np.append(starts[1:], len(fp)), np.diff(np.append(starts, len(fp))))
         i = np.arange(len(fp))
         a, b = [], []
@@ -177,89 +177,112 @@ def _verified(batches, radius: int):
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         if not len(a):
             continue
-        unique, code = np.unique(ids, return_inverse=True)
+        unique, code = np.unique(signed, return_inverse=True)
         label = common.local_labels(code[a], code[b], len(unique))
         moved = np.flatnonzero(label != np.arange(len(unique)))
         yield pa.RecordBatch.from_arrays([pa.array(unique[moved]), pa.array(unique[label[moved]])], ["a", "b"])
 
 
-def linked(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links that join every two classes (fp, id) whose fingerprints differ in at most ``radius`` bits."""
-    n = classes.count()
+def refined(mask: int, radius: int) -> list[int]:
+    """The masks under which a huge file is filed again: its own with each of radius + 1 parts of the bits that it leaves open; none if too few are open."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    if len(free) < 4 * (radius + 1):
+        return []
+    return [mask | sum(1 << b for b in free[k :: radius + 1]) for k in range(radius + 1)]
+
+
+def _again(rows: DataFrame, masks: list[int], radius: int) -> tuple[DataFrame, list[int]]:
+    """The rows (mask, fp) of huge files under the masks that refine theirs, and those masks."""
+    finer = {m: refined(m, radius) for m in masks}
+    pairs = [x for m, ms in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)).cast("long") for x in ms]))]
+    each = rows.select("fp", F.explode(F.element_at(F.create_map(*pairs), F.col("mask"))).alias("mask"))
+    return each.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp").distinct(), sorted({x for ms in finer.values() for x in ms})
+
+
+def linked(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links that join every two of the distinct fingerprints (fp) that differ in at most ``radius`` bits."""
+    n = prints.count()
     h = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = sorted(r["fp"] for r in classes.where(h < min(1.0, SAMPLE / max(n, 1))).select("fp").take(2 * SAMPLE))
+    sample = sorted(r["fp"] for r in prints.where(h < min(1.0, SAMPLE / max(n, 1))).select("fp").take(2 * SAMPLE))
     rng = np.random.default_rng(42)
     seen = rng.permutation(np.array(sample, np.int64).view(np.uint64)).astype("<u8")
     bits = np.unpackbits(seen.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     masks = masks_of(plan(bits, n, radius))
-    filed = classes.select("fp", "id", F.posexplode(F.array(*[F.lit(_signed(x)).cast("long") for x in masks])).alias("mask", "m")).select("mask", F.col("fp").bitwiseAND(F.col("m")).alias("value"), "fp", "id")
-    sizes = filed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1").withColumn("again", F.xxhash64("mask", "value"))
-    filed = filed.withColumn("again", F.xxhash64("mask", "value")).join(sizes, ["mask", "value", "again"]).drop("again")
+    filed = prints.select("fp", F.explode(F.array(*[F.lit(_signed(x)).cast("long") for x in masks])).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
+    found = None
+    while True:
+        sizes = common.written(filed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1").withColumn("again", F.xxhash64("mask", "value")), "simhash-sizes")
+        filed = filed.withColumn("again", F.xxhash64("mask", "value")).join(sizes, ["mask", "value", "again"]).drop("again")
+        open_ = [m for m in masks if refined(m, radius)]
+        huge = (F.col("n") > TILE * TILES) & F.col("mask").isin([_signed(m) for m in open_])
+        pairs = _tiled(filed.where(~huge), radius)
+        found = pairs if found is None else found.unionByName(pairs)
+        if not open_ or sizes.where(huge).isEmpty():
+            return found.distinct()
+        rest = common.written(filed.where(huge).select("mask", "fp"), "simhash-huge")
+        filed, masks = _again(rest, [r["mask"] & tc.MASK64 for r in rest.select("mask").distinct().collect()], radius)
+
+
+def _tiled(filed: DataFrame, radius: int) -> DataFrame:
+    """Links within the files (mask, value, fp; n: how many rows the file has), cut into tiles."""
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("fp", "mask"), tiles).cast("int")
-    small = filed.where(F.col("n") <= TILE * TILES).select("mask", "value", "fp", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    small = small.select("mask", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "id")
+    each = filed.select("mask", "value", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    each = each.select("mask", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
     keys = ["mask", "value", "low", "high"]
-    pairs = tc.map_arrow(small.repartition(*keys).sortWithinPartitions(*keys), lambda it: _verified(it, radius), "a long, b long")
-    huge = filed.where(F.col("n") > TILE * TILES)
-    if not huge.isEmpty():
-        pairs = pairs.unionByName(_blanked(huge, masks, radius))
-    return pairs.distinct()
-
+    return tc.map_arrow(each.repartition(*keys).sortWithinPartitions(*keys), lambda it: _verified(it, radius), "a long, b long")
 
-def _blanked(huge: DataFrame, masks: list[int], radius: int) -> DataFrame:
-    """Links within huge files: fingerprints that are equal but for ``radius`` bits outside the file's mask meet, each with the smallest."""
-    outside = [[b for b in range(64) if not m >> b & 1] for m in masks]
 
-    def run(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                mask, fp, one = (b.column(c)[k].as_py() for c in ("mask", "fp", "id"))
-                free = outside[mask]
-                blanks = np.array([sum(1 << x for x in c) for c in combinations(free, min(radius, len(free)))], np.uint64)
-                values = np.uint64(fp & tc.MASK64) & ~blanks
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), fp)), pa.array(np.full(len(values), one)), pa.array(blanks.view(np.int64)), pa.array(values.view(np.int64))], ["fp", "id", "blank", "value"])
-
-    keyed = tc.map_arrow(huge.select("mask", "fp", "id"), run, "fp long, id long, blank long, value long").distinct()
-    low = keyed.groupBy("blank", "value").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").withColumn("again", F.xxhash64("blank", "value"))
-    return keyed.withColumn("again", F.xxhash64("blank", "value")).join(low, ["blank", "value", "again"]).where("id <> b").select(F.col("id").alias("a"), "b")
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id): every fingerprint of the rows (doc_id, fp) with the smallest doc_id that it reaches, null if it reaches none."""
+    classes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
+    reached = common.components(linked(classes.select("fp"), radius), "simhash-links").select(F.col("node").alias("fp"), "component")
+    named = common.written(classes.join(reached, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "simhash-named")
+    low = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    out = common.written(named.select("fp", "component", F.xxhash64("component").alias("again")).join(low.withColumn("again", F.xxhash64("component")), ["component", "again"]).select("fp", "component_id"), "simhash-components")
+    common.delete(classes, named)
+    return out
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of every document; component_id: the smallest doc_id reachable by links."""
     prints = common.written(fingerprints(documents, shingle), "simhash")
-    classes = common.written(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
-    reached = common.components(linked(classes, radius), "simhash-links").select(F.col("node").alias("id"), "component")
-    named = common.written(classes.join(reached, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "simhash-components")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(_components(prints, radius), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def one_of_each(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The documents, with all their columns, that stand first in their component, by doc_id. Of repeated rows one stays; rows without doc_id all stay.
 
     Only ids and fingerprints are written on the way; the texts are read again and lose the rows that go by an anti-join.
+    With ``similarity``, links are texts whose shingles have that Jaccard similarity (``similar``): no radius that blocks can serve catches most of those.
     """
+    if similarity is not None:
+        from . import similar
+
+        return similar.one_of_each(documents, similarity, shingle)
     id_ = F.col("doc_id").cast("long")
     prints = common.written(fingerprints(documents, shingle), "simhash")
-    classes = common.written(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
-    reached = common.components(linked(classes, radius), "simhash-links").select(F.col("node").alias("id"), "component")
-    named = common.written(classes.join(reached, "id", "left").select("fp", F.coalesce("component", "id").alias("component")), "simhash-components")
+    named = _components(prints, radius)
     twice = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    gone_id, at_fp, head_fp, head_id = common.fresh(documents, "gone_id", "at_fp", "head_fp", "head_id")
     if twice.isEmpty():
-        gone = prints.join(named, "fp").where("doc_id <> component").select(F.col("doc_id").alias("gone id"))
-        return documents.join(common.written(gone, "simhash-gone"), id_ == F.col("gone id"), "left_anti")
+        gone = prints.join(named, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id))
+        return documents.join(common.written(gone, "simhash-gone"), id_ == F.col(gone_id), "left_anti")
     # ids are no key: rows go by id and fingerprint, and of the rows that stay under one id and fingerprint one is kept
     names = documents.columns
-    schema = StructType(documents.schema.fields[:]).add("simhash fp", LongType())
+    schema = StructType(documents.schema.fields[:]).add(at_fp, LongType())
 
     def run(batches):
         for b in tc.chunks(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fingerprints_of(b.column("text"), shingle).view(np.int64))], [*names, "simhash fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fingerprints_of(b.column("text"), shingle).view(np.int64))], [*names, at_fp])
 
     marked = tc.map_arrow(documents, run, schema)
-    heads = classes.join(named.where("fp IS NOT NULL"), "fp").where("id = component").select(F.col("fp").alias("head fp"), F.col("id").alias("head id"))
-    first = marked.join(heads, (F.col("simhash fp") == F.col("head fp")) & (id_ == F.col("head id")), "left_semi").dropDuplicates(["doc_id", "simhash fp"])
-    return first.select(*names).unionByName(documents.where("doc_id IS NULL"))
+    # a component's first document: of those with its smallest id the one with the smallest fingerprint
+    heads = prints.join(named, "fp").where("doc_id = component_id").groupBy("component_id").agg(F.min("fp").alias(head_fp)).withColumnRenamed("component_id", head_id)
+    spread = prints.join(named, "fp").where("doc_id = component_id").select(F.col("fp").alias(head_fp), F.col("component_id").alias(head_id)).distinct()
+    heads = spread.join(heads, [head_fp, head_id], "left_semi")
+    first = marked.join(heads, (F.col(at_fp) == F.col(head_fp)) & (id_ == F.col(head_id)), "left_semi").dropDuplicates(["doc_id", at_fp])
+    return first.select(*[F.col(f"`{c}`") for c in names]).unionByName(documents.where("doc_id IS NULL"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
