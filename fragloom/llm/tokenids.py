@@ -83,7 +83,7 @@ WORD_AND_SIGNS = r"^(?P<core>\p{L}+)(?P<signs>[^\s\p{L}\p{N}\p{M}\p{Z}\p{C}']+)$
 
 
 class Encoder:
-    """Ids of texts. A text without odd white space is cut before each space, and words from the signs after them: no token of a byte-level
+    """Ids of texts, those of the library's own settings. A text without odd white space and added tokens is cut before each space, and words from the signs after them: no token of a byte-level
     vocabulary spans these places. So the distinct parts of many texts are encoded once, and put together by array operations.
 
     The parts are encoded many in one string; as every token stands for a known number of bytes, its ids fall apart again at the parts' ends.
@@ -93,7 +93,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # a text that holds the string of an added token is encoded whole, as the library does it
+        self.odd = "|".join([ODD_SPACE, *map(re.escape, sorted(added))])
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -123,7 +125,7 @@ class Encoder:
     def column(self, texts: pa.Array, step: int = 256):
         """(first text, ids, offsets) for ``step`` texts after the other."""
         texts = tc.as_text(texts)
-        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         at = lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
