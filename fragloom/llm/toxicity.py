@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from . import common
 from . import textcols as tc
 
-#: At most so many labelled documents, clean and toxic, none longer than this, are used for training.
+#: At most so many labelled documents, clean and toxic, and so many bytes of either are used for training; texts are taken whole.
 SAMPLE_PER_CLASS = (3000, 1500)
-SAMPLE_CHARS = 30_000
+SAMPLE_BYTES = 6 << 20
 BITS = 18
 #: Bytes of text in one step of a kernel: the chain takes some forty times the memory of its words.
 CHUNK_BYTES = 2 << 20
@@ -200,10 +200,11 @@ def _curve(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> np.ndarray:
     return w
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str, usable, per_class: tuple[int, int] = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS, threshold: float = 0.7) -> ToxicityModel:
+def train(documents: DataFrame, labels: DataFrame, label: str, usable, per_class: tuple[int, int] = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES, threshold: float = 0.7) -> ToxicityModel:
     """Learn from a bounded sample of the labelled documents for which ``usable`` holds."""
-    sample = common.labelled_sample(documents.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= chars), labels, label, usable, per_class)
-    got = sorted(sample.select("doc_id", "y", "text").take(sum(per_class)), key=lambda r: (r[0], r[1], r[2]))
+    labelled = labels.where(usable).select("doc_id", F.col(label).cast("int").alias("y"))
+    sample = common.labelled_sample(documents, labelled, list(per_class), most_bytes)
+    got = sorted(sample.select("doc_id", "y", "text").collect(), key=lambda r: (r[0], r[1], r[2]))
     return fit([r["text"] for r in got], np.array([r["y"] for r in got], np.int64), threshold)
 
 
@@ -250,7 +251,8 @@ def accepted(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's toxicity; labels are learnt where crc32(doc_id) mod 3 is not 1."""
+    """Every document's toxicity, and the offending character offsets as "start-end start-end"; labels are learnt where crc32(doc_id) mod 3 is not 1."""
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = train(documents, labels, "toxic", common.remainder("doc_id", 3) != 1)
-    return tag(documents, model).select("doc_id", F.coalesce(common.remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), " ").alias("spans")
+    return tag(documents, model).select("doc_id", F.coalesce(common.remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), offsets)
