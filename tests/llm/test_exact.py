@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fragloom.llm import common, decontam, embeddings, lines, simhash, substring, tokenids
+from fragloom.llm import common, decontam, embeddings, lines, mixing, simhash, substring, tokenids, toxicity
 
 WORD = "[^\x20\x09-\x0d]+"
 
@@ -118,12 +118,39 @@ def test_simhash_links_of_dense_groups(spark, monkeypatch, tile, tiles):
     rng = np.random.default_rng(5)
     centre = [int(x) for x in rng.integers(0, 1 << 63, 4)]
     fps = sorted({centre[int(rng.integers(4))] ^ sum(1 << int(b) for b in rng.integers(0, 64, int(rng.integers(0, 4)))) for _ in range(80)})
-    classes = spark.createDataFrame([(simhash._signed(f), i) for i, f in enumerate(fps)], "fp long, id long")
+    prints = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
     if tiles == 1:
         monkeypatch.setattr(simhash, "plan", lambda bits, n, radius: [(list(range(48)), 0), (list(range(48, 56)), 1), (list(range(56, 64)), 0)])
-    got = {r["node"]: r["component"] for r in common.components(simhash.linked(classes)).collect()}
+    got = {r["node"]: r["component"] for r in common.components(simhash.linked(prints)).collect()}
     want = joined(range(len(fps)), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
-    assert {i: got.get(i, i) for i in range(len(fps))} == want
+    group = [got.get(simhash._signed(f), simhash._signed(f)) for f in fps]
+    assert all((group[a] == group[b]) == (want[a] == want[b]) for a in range(len(fps)) for b in range(a))
+
+
+def test_simhash_links_rows_without_id(spark, monkeypatch):
+    """A row without id may be what joins two others; a group of such rows alone has no component id."""
+    prints = spark.createDataFrame([(1, 0), (None, 7), (2, 63), (None, 1 << 40 | 1 << 41 | 1 << 50 | 1 << 51)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda documents, shingle: prints)
+    got = {r["fp"]: r["component_id"] for r in simhash.near_duplicates(prints).collect()}
+    assert got == {0: 1, 7: 1, 63: 1, 1 << 40 | 1 << 41 | 1 << 50 | 1 << 51: None}
+
+
+CLASHES = ["gone_id", "gone id", "head id", "simhash fp", "at_fp", "hit_id", "hit_h", "mixing rate", "mixing_rate", "key", "fp", "h", "t", "words", "head_id", "GONE_T", "copies"]
+
+
+def test_clashing_columns_pass(spark):
+    """Stages that pass all columns by do so whatever these are called, with repeated ids or without."""
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    for repeat in (False, True):
+        docs, rows = table(spark, [t for t in texts(4, 12) if not t or len(t) < 9000], False)
+        if repeat:
+            docs = docs.unionByName(docs.limit(9))
+        docs = docs.drop("fp", "key").select("*", *[F.lit("mine").alias(c) for c in CLASHES])
+        for stage in (simhash.one_of_each, lambda d: simhash.one_of_each(d, shingle=5, similarity=0.8), lambda d: decontam.clean(d, bench), lambda d: mixing.taken(d, labels), lambda d: toxicity.accepted(d, toxicity.train(d, labels, "toxic", F.lit(True)))):
+            out = stage(docs)
+            assert out.columns == docs.columns
+            assert all(r["hit_id"] == "mine" for r in out.collect())
 
 
 def test_plans_allocate_all_thresholds():
@@ -194,11 +221,10 @@ def test_token_records(spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenids.vocabulary_path())
-    items = texts(3) + ["  two  spaces ", "tab\there", "it's <|endoftext|> 12,5", "é ü　x", "\n\n a"]
+    items = texts(3) + ["  two  spaces ", "tab\there", "it's <|endoftext|> 12,5", "<|endoftext|>", "a<|endoftext|>b<|endoftext|", "é ü　x", "\n\n a"]
     docs, rows = table(spark, items)
     folder = str(tmp_path / "out")
     index = tokenids.write(docs, folder)
-    t.encode_special_tokens = True
     want = Counter()
     for i, x, *_ in rows:
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
@@ -268,10 +294,32 @@ def test_embeddings_edges(spark):
     assert embeddings.near_duplicates(t.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_length(spark):
+    """Vectors of a rarer length link with each other as those of the commonest do."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(20)] + [(50, [1.0, 2.0, 3.0]), (51, [2.0, 4.0, 6.0]), (52, [1.0, 2.0, 3.01]), (53, [1.0, 2.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[k] for k in (50, 51, 52, 53)] == [(2, 50), (2, 50), (2, 50), (0, 53)]
+
+
+def test_embedding_recall_of_shipped_settings(spark):
+    """Pairs right at the threshold are found by the settings of the query, not by a higher recall."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.952 * x + np.sqrt(1 - 0.952**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert np.mean([got[1500 + i] == i for i in range(1500)]) >= 0.98
+
+
 def test_embedding_recall_is_calibrated():
     for n in (100, 10_000, 10**6):
         depth, tables, least = embeddings.settings(n)
-        p = embeddings.same_cell(np.sqrt(2 - 2 * 0.95)) ** depth
+        sigma = np.sqrt(2 - 2 * 0.95)
+        p = embeddings.in_window(sigma) * embeddings.same_cell(sigma) ** depth
         assert 1 - (1 - p) ** tables >= embeddings.RECALL and 0 < least < embeddings.COUNTED
 
 
@@ -309,12 +357,12 @@ def test_lines(spark, monkeypatch, tile):
             if norm(line):
                 first.setdefault(norm(line), (i, k))
     names = list(first)
-    sims = lines.simhashes(pa.array(names)).view(np.uint64)
     pairs = []
     for a in range(len(names)):
         for b in range(a):
             long = max(len(names[a]), len(names[b]))
-            if np.bitwise_count(sims[a] ^ sims[b]) <= lines.RADIUS and edits(names[a], names[b]) <= int(0.1 * long + 1e-9):
+            most = int(0.1 * long + 1e-9)
+            if abs(len(names[a]) - len(names[b])) <= most and edits(names[a], names[b]) <= most:
                 pairs.append((b, a))
     assert pairs
     group = joined(range(len(names)), pairs)
@@ -331,6 +379,44 @@ def test_lines(spark, monkeypatch, tile):
     assert lines.deduplicated(twice).count() == 4
 
 
+def test_lines_are_compared_in_columns():
+    """The vectorised verdict on pairs is the edit distance's."""
+    rng = np.random.default_rng(19)
+    one, two = [], []
+    for _ in range(400):
+        a = rng.choice(list("abcdeü"), int(rng.integers(1, 40))).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(0, 6))):
+            k = int(rng.integers(0, len(b) + 1))
+            b[k : k + int(rng.integers(3))] = rng.choice(list("abcß"), int(rng.integers(3))).tolist()
+        one.append("".join(a))
+        two.append("".join(b) or "x")
+    most = np.array([int(0.1 * max(len(a), len(b))) + k % 3 for k, (a, b) in enumerate(zip(one, two))])
+    assert lines.similar_enough(pa.array(one), pa.array(two), most).tolist() == [edits(a, b) <= m for a, b, m in zip(one, two, most)]
+    assert (lines.histograms(pa.array(["aß", ""])).sum(axis=1) == [2, 0]).all()
+
+
+def test_short_lines_share_a_block_whatever_the_edits():
+    """Every two lines under SHORT characters whose edits are allowed meet."""
+    rng = np.random.default_rng(20)
+    base, other = [], []
+    while len(base) < 1500:
+        a = rng.choice(list("abc def"), int(rng.integers(9, 32))).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(1, 4))):
+            k = int(rng.integers(0, len(b)))
+            b[k : k + int(rng.integers(2))] = rng.choice(list("xyz"), int(rng.integers(2))).tolist()
+        a, b = " ".join("".join(a).split()), " ".join("".join(b).split())
+        if min(len(a), len(b)) < lines.SHORT and a != b and edits(a, b) <= int(0.1 * max(len(a), len(b))):
+            base.append(a)
+            other.append(b)
+    row, block = lines.blocks(pa.array(base + other))
+    has = [set() for _ in range(3000)]
+    for i, k in zip(row.tolist(), block.tolist()):
+        has[i].add(k)
+    assert all(has[k] & has[1500 + k] for k in range(1500))
+
+
 def test_edit_distance(monkeypatch):
     rng = np.random.default_rng(9)
     for t in range(300):
