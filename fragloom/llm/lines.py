@@ -9,7 +9,8 @@ longer lines   have blocks of two words that follow each other; the BLOCKS that
 few words      (at most FEW_WORDS) have blocks of GRAM characters as well, so that text without spaces is served too.
 
 Blocks of a 64-bit SimHash, which this takes the place of, would have to allow for some 15 to 20 bits at an edit similarity of 0.9, which leaves nothing to join on; recall is in the README.
-Pairs that meet are candidates if their lengths allow the similarity and so do the counts of their characters (a lower bound of the edits, which loses nothing).
+Pairs that meet are candidates if their lengths allow the similarity and so do the counts of their characters (a lower bound of the edits, which loses nothing). In lines of
+LONG_WORDS words or more, whose characters say little, ALIKE of 16 slots have to hold the same block instead: the first of the random order in that slot.
 
 Candidates of one cell are first handed on as a spanning forest: they all are verified by edit distance on the normalised texts, and the links
 make groups. In a second pass the candidates that still lie in different groups are verified, every one. So each candidate is verified or joined
@@ -43,9 +44,13 @@ SHORT = 30
 BLOCKS = 6
 FEW_WORDS = 7
 GRAM = 5
-#: Characters are counted in so many groups.
+#: Characters are counted in so many groups; of longer lines, the first blocks of as many slots are kept.
 GROUPS = 16
-TILE = 512
+LONG_WORDS = 24
+ALIKE = 3
+TILE = 2048
+#: Ids of documents are broadcast up to this number (8 bytes each).
+BROADCAST_KEYS = 500_000
 #: One line of so many tells which cells are large.
 SAMPLED = 16
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -112,20 +117,33 @@ def _short_blocks(lines: pa.Array, size: np.ndarray, similarity: float):
                 yield mine, tc.mix(block * GOLDEN + np.uint64(m << 8 | i))
 
 
-def _first_blocks(row: np.ndarray, block: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, block): of each row's distinct blocks the BLOCKS, and some more of very long lines, that come first in a random order, heavy ones more often."""
+def _in_order(row: np.ndarray, block: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block): each row's distinct blocks in a random order, heavy ones more often early."""
     u = ((block >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-    order = np.lexsort((block, -np.log(u) / weight, row)) if len(row) > 1 << 21 else np.argsort(row.astype(np.uint64) << np.uint64(43) | (-np.log(u) / weight).view(np.uint64) >> np.uint64(21))
+    late = -np.log(u) / weight
+    order = np.lexsort((block, late, row)) if len(row) and row[-1] >= 1 << 21 else np.argsort(row.astype(np.uint64) << np.uint64(43) | late.view(np.uint64) >> np.uint64(21))
     row, block = row[order], block[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
-    row, block = row[new], block[new]
+    return row[new], block[new]
+
+
+def _first_blocks(row: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block): the first BLOCKS of each row, and some more of very long lines."""
     first = np.flatnonzero(np.diff(row, prepend=-1))
     n = np.diff(np.append(first, len(row)))
     keep = np.arange(len(row)) - np.repeat(first, n) < np.repeat(BLOCKS + np.minimum(n // 40, 4), n)
     return row[keep], block[keep]
 
 
+def _sketch(row: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """GROUPS bytes for each of n rows: of each slot, a byte of the row's first block there; 0 where there is none."""
+    out = np.zeros(n * GROUPS, np.uint8)
+    slot = row * GROUPS + (block >> np.uint64(60)).astype(np.int64)
+    out[slot[::-1]] = ((block[::-1] >> np.uint64(40)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)  # the last one written is the first in order
+    return out.reshape(n, GROUPS)
+
+
 def _word_blocks(words: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code, distinct = tc.coded(words)
     if len(code) < 2:
@@ -136,7 +154,7 @@ def _word_blocks(words: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     one, two = code[start], code[start + 1]
     with np.errstate(over="ignore"):
         block = tc.mix(tc.mix(h[one]) * GOLDEN + h[two])
-    return _first_blocks(row[start], block, 2.0 ** (np.minimum(size[one] + size[two], 24) / 2))
+    return _in_order(row[start], block, 2.0 ** (np.minimum(size[one] + size[two], 24) / 2))
 
 
 def _gram_blocks(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,21 +167,24 @@ def _gram_blocks(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for k in range(GRAM):
             h = h * GOLDEN + flat[k : len(h) + k] + np.uint64(1)
     inside = np.flatnonzero(row[: len(h)] == row[GRAM - 1 :])
-    return _first_blocks(row[inside], tc.mix(h[inside]), np.ones(len(inside)))
+    return _first_blocks(*_in_order(row[inside], tc.mix(h[inside]), np.ones(len(inside))))
 
 
-def blocks(lines: pa.Array, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """(line, block) of normalised lines, by line."""
+def filed_under(lines: pa.Array, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, block, counts, long) of normalised lines: blocks by line; each line's counts of characters, or the first blocks of its slots if it is long."""
     size = pc.utf8_length(lines).to_numpy().astype(np.int64)
     lists = pc.split_pattern(lines, " ")
     at = lists.offsets.to_numpy().astype(np.int64)
     words, at = lists.flatten(), at - at[0]
     n_words = np.diff(at)
+    counts, long = histograms(lines), n_words >= LONG_WORDS
     found = list(_short_blocks(lines, np.where(size * similarity < SHORT, size, 0), similarity))
     some = np.flatnonzero((size >= SHORT) & (n_words >= 4))
     if len(some):
         keep = np.isin(tc.row_of(at), some) if len(some) < len(size) else np.ones(len(words), bool)
         row, block = _word_blocks(words.filter(pa.array(keep)), np.concatenate([[0], np.cumsum(n_words[some])]))
+        counts[long] = _sketch(row, block, len(some))[long[some]]
+        row, block = _first_blocks(row, block)
         found.append((some[row], block))
     some = np.flatnonzero((size >= SHORT) & (n_words <= FEW_WORDS))
     if len(some):
@@ -172,7 +193,12 @@ def blocks(lines: pa.Array, similarity: float = SIMILARITY) -> tuple[np.ndarray,
     row, block = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*found) if found else ((), ())))
     row, block = row.astype(np.int64), block.astype(np.uint64)
     order = np.argsort(row, kind="stable")
-    return row[order], block[order]
+    return row[order], block[order], counts, long
+
+
+def blocks(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(line, block) of normalised lines, by line."""
+    return filed_under(lines)[:2]
 
 
 def histograms(lines: pa.Array) -> np.ndarray:
@@ -208,26 +234,18 @@ def _line_rows(batches):
         order = np.lexsort((line, key, code))
         first = order[np.searchsorted(code[order], np.flatnonzero(full))]
         norm = norm.filter(pa.array(full))
-        counts = histograms(norm).view("<i8")
+        of, block, counts, long = filed_under(norm)
+        counts, size = counts.view("<i8"), pc.utf8_length(norm).to_numpy().astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(tc.hashed(norm).view(np.int64)),
-                pc.cast(pc.utf8_length(norm), pa.int32()),
-                pa.array(counts[:, 0].copy()),
-                pa.array(counts[:, 1].copy()),
-                packed(*blocks(norm), len(norm)),
-                norm,
-                pa.array(key[first]),
-                pa.array(line[first]),
-            ],
-            ["h", "len", "c0", "c1", "blocks", "norm", "key", "line"],
+            [pa.array(tc.hashed(norm).view(np.int64)), pa.array(2 * size + long), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy()), packed(of, block, len(norm)), pa.array(key[first]), pa.array(line[first])],
+            ["h", "size", "c0", "c1", "blocks", "key", "line"],
         )
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """(h, len, c0, c1, blocks, norm, first): the classes of equal normalised lines; first: (key, line) of the first occurrence."""
-    rows = tc.map_arrow(docs.select("key", "text"), _line_rows, "h long, len int, c0 long, c1 long, blocks binary, norm string, key long, line int")
-    return rows.groupBy("h").agg(*[F.min(c).alias(c) for c in ("len", "c0", "c1", "blocks", "norm")], F.min(F.struct("key", "line")).alias("first"))
+    """(h, size, c0, c1, blocks, first): the classes of equal normalised lines. size: twice the characters, and 1 if the line is long; first: (key, line) of the first occurrence."""
+    rows = tc.map_arrow(docs.select("key", "text"), _line_rows, "h long, size long, c0 long, c1 long, blocks binary, key long, line int")
+    return rows.groupBy("h").agg(*[F.min(c).alias(c) for c in ("size", "c0", "c1", "blocks")], F.min(F.struct("key", "line")).alias("first"))
 
 
 def _filed(batches, names: list[str]):
@@ -242,54 +260,61 @@ def _filed(batches, names: list[str]):
 
 
 def _cells(classes: DataFrame, similarity: float) -> DataFrame:
-    """The classes (h, len, c0, c1, blocks and perhaps group) filed under each of their blocks, sorted by cell and length.
+    """The classes (h, size, c0, c1, blocks and perhaps group) filed under each of their blocks, sorted by cell, spot and size.
 
     Lines of a large cell are filed there by length (under their own step of lengths, and as guests under the next one), and steps are cut into tiles.
+    A spot is a step and two tiles (the lower one first) in one number; 0 where the cell is not cut. mark: bit 0 for guests, bit 1 for lines of the higher tile.
     """
     names = [c for c in classes.columns if c != "blocks"]
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
-    every = tc.map_arrow(classes.select(*names, "blocks"), lambda it: _filed(it, names), ", ".join(["cell bigint", *(f"{c} {kinds[c]}" for c in names)]))
-    some = tc.map_arrow(classes.where(F.pmod("h", F.lit(SAMPLED)) == 0).select(*names, "blocks"), lambda it: _filed(it, names), ", ".join(["cell bigint", *(f"{c} {kinds[c]}" for c in names)]))
-    step = F.floor(F.log(F.col("len").cast("double")) / F.lit(1.000001 * log(1 / similarity))).cast("int")
+    schema = ", ".join(["cell bigint", *(f"{c} {kinds[c]}" for c in names)])
+    every = tc.map_arrow(classes.select(*names, "blocks"), lambda it: _filed(it, names), schema)
+    some = tc.map_arrow(classes.where(F.pmod("h", F.lit(SAMPLED)) == 0).select(*names, "blocks"), lambda it: _filed(it, names), schema)
+    step = F.floor(F.log(F.shiftright("size", 1).cast("double")) / F.lit(1.000001 * log(1 / similarity)))
     seen = some.select("cell", F.explode(F.array(step, step + 1)).alias("step")).groupBy("cell", "step").agg(F.count("*").alias("n"))
-    large = seen.groupBy("cell").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("n") * SAMPLED / TILE).cast("int")))).alias("tiles")).where(F.col("n") * SAMPLED / 2 > TILE).drop("n")
+    tiles = F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("n") * SAMPLED / TILE))))
+    large = seen.groupBy("cell").agg(F.sum("n").alias("n"), tiles.alias("tiles")).where(F.col("n") * SAMPLED / 2 > TILE).drop("n")
     large = common.written(large, "lines-large-cells")
     at = every.join(large, "cell", "left")
-    own = F.array(F.struct(step.alias("step"), F.lit(1).alias("home")), F.struct((step + 1).alias("step"), F.lit(0).alias("home")))
-    at = at.withColumn("at", F.explode(F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(0).alias("step"), F.lit(1).alias("home")))).otherwise(own)))
-    tiles = F.coalesce(F.element_at("tiles", F.col("at.step")), F.lit(1))
-    at = at.select("cell", *names, F.col("at.step").alias("step"), F.col("at.home").alias("home"), tiles.alias("tiles"), F.pmod(F.xxhash64("h", "cell"), tiles).cast("int").alias("own"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tile = F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")
-    at = at.select("cell", "step", tile.alias("tile"), "home", "own", *names)
-    return at.repartition("cell", "step", "tile").sortWithinPartitions("cell", "step", "tile", "len")
+
+    def spots(k, guest: int):
+        n = F.coalesce(F.element_at("tiles", k), F.lit(1))
+        own = F.pmod(F.xxhash64("h", "cell"), n)
+        spot = lambda other: (k + 1) * F.lit(1 << 50) + F.least(own, other) * F.lit(1 << 25) + F.greatest(own, other)
+        return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda other: F.struct(spot(other).alias("spot"), (F.when(own > other, 2).otherwise(0) + guest).alias("mark")))
+
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("spot"), F.lit(0).alias("mark")))
+    at = at.withColumn("at", F.explode(F.when(F.col("tiles").isNull(), whole).otherwise(F.concat(spots(step, 0), spots(step + 1, 1)))))
+    at = at.select("cell", "at.spot", F.col("at.mark").cast("byte").alias("mark"), *names)
+    return at.repartition("cell", "spot").sortWithinPartitions("cell", "spot", "size")
 
 
 def _candidates(batches, similarity: float, forest: bool):
-    for t, starts in common.group_runs(batches, ["cell", "step", "tile"]):
-        size = np.diff(np.append(starts, t.num_rows))
-        if size.max(initial=0) < 2:
+    for t, starts in common.group_runs(batches, ["cell", "spot"]):
+        n = np.diff(np.append(starts, t.num_rows))
+        if n.max(initial=0) < 2:
             continue
-        end = np.repeat(np.append(starts[1:], t.num_rows), size)
-        length, h, home, own, tile = (t.column(c).to_numpy() for c in ("len", "h", "home", "own", "tile"))
-        one_tile = tile >> 31 == tile & ((1 << 31) - 1)
+        end = np.repeat(np.append(starts[1:], t.num_rows), n)
+        size, h, mark, spot = (t.column(c).to_numpy() for c in ("size", "h", "mark", "spot"))
+        length, long, guest, higher = size >> 1, size & 1, mark & 1, mark >> 1
+        one_tile = (spot >> 25 & (1 << 25) - 1) == (spot & (1 << 25) - 1)
         group = t.column("group").to_numpy() if "group" in t.column_names else h
         counts = np.column_stack([t.column("c0").to_numpy(), t.column("c1").to_numpy()]).view(np.uint8).astype(np.int16)
         most = allowed(length, similarity)
         i = np.arange(t.num_rows)
         a, b = [], []
-        for d in range(1, int(size.max())):
+        for d in range(1, int(n.max())):
             i = i[i + d < end[i]]
             i = i[length[i + d] - length[i] <= most[i + d]]  # sorted by length: what is too short for one is so for the next
             if not len(i):
                 break
             j = i + d
-            ok = (group[i] != group[j]) & ((home[i] | home[j]) > 0) & (one_tile[i] | (own[i] != own[j]))
+            ok = (group[i] != group[j]) & (guest[i] + guest[j] < 2) & (one_tile[i] | (higher[i] != higher[j]))
             x, y = i[ok], j[ok]
             for x, y in zip(np.array_split(x, len(x) // 100_000 + 1), np.array_split(y, len(y) // 100_000 + 1)):
                 more = counts[y] - counts[x]
                 edits = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
-                near = edits <= most[y]
+                near = np.where(long[x] == 0, (long[y] == 1) | (edits <= most[y]), (long[y] == 0) | (((more == 0) & (counts[x] > 0)).sum(axis=1) >= ALIKE))
                 a.append(x[near])
                 b.append(y[near])
         if not sum(map(len, a)):
@@ -325,6 +350,25 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
         label = parent[label]
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, norm): the normalised texts of the wanted classes (h, first), from their first occurrences. Only documents that hold one are dealt out."""
+    marks = wanted.select(F.col("first.key").alias("key"), F.col("first.line").alias("first"), F.lit(1).alias("n"), F.lit(False).alias("known"))
+    keys = common.written(marks.select("key").distinct(), "lines-keys")
+    holding = docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+
+    def run(batches):
+        for texts, _, _, group, of, first, _, _ in substring._by_text(batches):
+            if not len(of):
+                continue
+            once = np.unique(group, return_index=True)[1]
+            lines, at = lines_of(pa.array([texts[i] for i in once], pa.string()))
+            slot = np.searchsorted(group[once], of)
+            norm = normalised(lines.take(pa.array(at[slot] + first)))
+            yield pa.RecordBatch.from_arrays([pa.array(tc.hashed(norm).view(np.int64)), norm], ["h", "norm"])
+
+    return tc.map_arrow(substring._with_marks(holding, marks), run, "h long, norm string")
+
+
 #: Beyond this length few edits are looked for along diagonals before all cells are gone through.
 LONG = 1000
 #: Beyond this length lines that share too few q-grams are told apart without a search.
@@ -483,10 +527,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return tc.map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def groups_of(classes: DataFrame, similarity: float = SIMILARITY, texts_of: Callable = lambda involved: involved.select("h", "norm"), verified: Callable = _verified) -> DataFrame:
+def groups_of(classes: DataFrame, similarity: float, texts_of: Callable[[DataFrame], DataFrame], verified: Callable = _verified) -> DataFrame:
     """(node, component): classes linked with others, and a class that stands for all that they reach."""
     schema = "a long, b long"
-    filed = ["h", "len", "c0", "c1", "blocks"]
+    filed = ["h", "size", "c0", "c1", "blocks"]
     pairs = tc.map_arrow(_cells(classes.select(*filed), similarity), lambda it: _candidates(it, similarity, True), schema)
     pairs = common.written(pairs.distinct(), "lines-forest")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
@@ -527,7 +571,7 @@ def deduplicated(documents: DataFrame, similarity: float = SIMILARITY) -> DataFr
     """(doc_id, n_lines, n_removed, text) of every document; text: the lines kept."""
     docs = substring.keyed(documents)
     classes = common.written(classes_of(docs), "lines-classes")
-    groups = groups_of(classes, similarity)
+    groups = groups_of(classes, similarity, lambda involved: _texts(docs, involved))
     named = classes.select("h", "first").join(groups.select(F.col("node").alias("h"), "component"), "h", "left").select(F.coalesce("component", "h").alias("g"), "first")
     kept = named.groupBy("g").agg(F.min("first").alias("first"))
     marks = kept.select(F.col("first.key").alias("key"), F.col("first.line").alias("first"), F.lit(1).alias("n"), F.lit(True).alias("known"))

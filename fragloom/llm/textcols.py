@@ -92,7 +92,10 @@ def _quick_tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A value for each byte, and the powers of an odd number and of its inverse modulo 2**64."""
     if not _TABLES or len(_TABLES[1]) < n:
         base = 0x9E3779B97F4A7C15
-        powers = [np.cumprod(np.concatenate([[1], np.full(2 * n, b, np.uint64)]).astype(np.uint64), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+        powers = [np.full(2 * n, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+        for p in powers:
+            p[0] = 1
+            np.cumprod(p, out=p)
         _TABLES[:] = [np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64, endpoint=False), *powers]
     return tuple(_TABLES)
 

@@ -4,7 +4,14 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from fragloom.llm import lines
+from fragloom.llm import lines, textcols
+
+
+def test_quick_hashes_tell_words_apart():
+    words = pa.array([f"{a}{b}{c}" for a in "abcdéß" for b in range(60) for c in ("", "x", "xx", "yé")])
+    h = textcols.quick_hashed(words)
+    assert len(set(h.tolist())) == len(words) and textcols.quick_hashed(words.slice(700, 9)).tolist() == h[700:709].tolist()
+    assert np.abs(np.unpackbits(h.view(np.uint8)).mean() - 0.5) < 0.02
 
 
 def test_fuzzy_lines_become_candidates():
