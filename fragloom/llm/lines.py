@@ -5,7 +5,8 @@ pre-aggregated group. Few edits leave some block of a line whole, so classes tha
 
 short lines    (under SHORT characters) are cut into one part more than the edits that they allow; every place where a part can stand in the other line is
                looked up, by length. No similar pair of theirs is missed.
-longer lines   have blocks of two words that follow each other; the BLOCKS that come first in a fixed random order are filed, long words first more often.
+longer lines   have blocks of two words that follow each other; the BLOCKS that come first in a fixed random order are filed, long words first more often. From
+               LONG_WORDS words on, the quarter of the line that it stands in belongs to a block: passages that lines share at other places do not bring them together.
 few words      (at most FEW_WORDS) have blocks of GRAM characters as well, so that text without spaces is served too.
 
 Blocks of a 64-bit SimHash, which this takes the place of, would have to allow for some 15 to 20 bits at an edit similarity of 0.9, which leaves nothing to join on; recall is in the README.
@@ -41,12 +42,14 @@ SIMILARITY = 0.9
 #: Lines of fewer characters have the blocks of ``places``.
 SHORT = 30
 #: Blocks that a longer line is filed under, of either kind; lines of at most FEW_WORDS words have both kinds.
-BLOCKS = 6
+BLOCKS = 5
 FEW_WORDS = 7
 GRAM = 5
 #: Characters are counted in so many groups; of longer lines, the first blocks of as many slots are kept.
 GROUPS = 16
 LONG_WORDS = 24
+#: Lines of at most so many words less or more are filed as shorter and as longer ones.
+BOTH = 4
 ALIKE = 3
 TILE = 2048
 #: Ids of documents are broadcast up to this number (8 bytes each).
@@ -117,44 +120,48 @@ def _short_blocks(lines: pa.Array, size: np.ndarray, similarity: float):
                 yield mine, tc.mix(block * GOLDEN + np.uint64(m << 8 | i))
 
 
-def _in_order(row: np.ndarray, block: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, block): each row's distinct blocks in a random order, heavy ones more often early."""
+def _in_order(row: np.ndarray, block: np.ndarray, weight: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, block, place): each row's distinct blocks in a random order, heavy ones more often early, and where each stands first."""
     u = ((block >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
     late = -np.log(u) / weight
     order = np.lexsort((block, late, row)) if len(row) and row[-1] >= 1 << 21 else np.argsort(row.astype(np.uint64) << np.uint64(43) | late.view(np.uint64) >> np.uint64(21))
-    row, block = row[order], block[order]
+    row, block, place = row[order], block[order], place[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
-    return row[new], block[new]
+    return row[new], block[new], np.minimum.reduceat(place, np.flatnonzero(new)) if len(row) else place
 
 
 def _first_blocks(row: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, block): the first BLOCKS of each row, and some more of very long lines."""
+    """(row, block): the first BLOCKS of each row, and some more of very long lines. Rows are in order."""
     first = np.flatnonzero(np.diff(row, prepend=-1))
     n = np.diff(np.append(first, len(row)))
     keep = np.arange(len(row)) - np.repeat(first, n) < np.repeat(BLOCKS + np.minimum(n // 40, 4), n)
     return row[keep], block[keep]
 
 
-def _sketch(row: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-    """GROUPS bytes for each of n rows: of each slot, a byte of the row's first block there; 0 where there is none."""
+def _sketch(row: np.ndarray, block: np.ndarray, placed: np.ndarray, n: int) -> np.ndarray:
+    """GROUPS bytes for each of n rows: of each slot, a byte of the row's first block there and its place; 0 where there is none."""
     out = np.zeros(n * GROUPS, np.uint8)
     slot = row * GROUPS + (block >> np.uint64(60)).astype(np.int64)
-    out[slot[::-1]] = ((block[::-1] >> np.uint64(40)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)  # the last one written is the first in order
+    out[slot[::-1]] = ((placed[::-1] >> np.uint64(40)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)  # the last one written is the first in order
     return out.reshape(n, GROUPS)
 
 
-def _word_blocks(words: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_blocks(words: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, block, block with the quarter of the line that it stands in), in the order of ``_in_order``."""
     code, distinct = tc.coded(words)
     if len(code) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h, size = tc.quick_hashed(distinct), pc.utf8_length(distinct).to_numpy().astype(np.int64)
     row = tc.row_of(at)
     start = np.flatnonzero(row[1:] == row[:-1])
     one, two = code[start], code[start + 1]
     with np.errstate(over="ignore"):
         block = tc.mix(tc.mix(h[one]) * GOLDEN + h[two])
-    return _in_order(row[start], block, 2.0 ** (np.minimum(size[one] + size[two], 24) / 2))
+    row, block, place = _in_order(row[start], block, 2.0 ** (np.minimum(size[one] + size[two], 24) / 2), start)
+    quarter = 4 * (place - at[row]) // (at[row + 1] - at[row])
+    with np.errstate(over="ignore"):
+        return row, block, tc.mix(block + (quarter.astype(np.uint64) + np.uint64(1)) * GOLDEN)
 
 
 def _gram_blocks(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +174,7 @@ def _gram_blocks(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for k in range(GRAM):
             h = h * GOLDEN + flat[k : len(h) + k] + np.uint64(1)
     inside = np.flatnonzero(row[: len(h)] == row[GRAM - 1 :])
-    return _first_blocks(*_in_order(row[inside], tc.mix(h[inside]), np.ones(len(inside))))
+    return _first_blocks(*_in_order(row[inside], tc.mix(h[inside]), np.ones(len(inside)), inside)[:2])
 
 
 def filed_under(lines: pa.Array, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,10 +189,12 @@ def filed_under(lines: pa.Array, similarity: float = SIMILARITY) -> tuple[np.nda
     some = np.flatnonzero((size >= SHORT) & (n_words >= 4))
     if len(some):
         keep = np.isin(tc.row_of(at), some) if len(some) < len(size) else np.ones(len(words), bool)
-        row, block = _word_blocks(words.filter(pa.array(keep)), np.concatenate([[0], np.cumsum(n_words[some])]))
-        counts[long] = _sketch(row, block, len(some))[long[some]]
-        row, block = _first_blocks(row, block)
-        found.append((some[row], block))
+        row, block, placed = _word_blocks(words.filter(pa.array(keep)), np.concatenate([[0], np.cumsum(n_words[some])]))
+        counts[long] = _sketch(row, block, placed, len(some))[long[some]]
+        n = n_words[some][row]
+        for wanted, name in ((n <= LONG_WORDS + BOTH, block), (n >= LONG_WORDS - BOTH, placed)):
+            at_row, first = _first_blocks(row[wanted], name[wanted])
+            found.append((some[at_row], first))
     some = np.flatnonzero((size >= SHORT) & (n_words <= FEW_WORDS))
     if len(some):
         row, block = _gram_blocks(lines.take(pa.array(some)))
@@ -498,10 +507,60 @@ def _aligned(x: np.ndarray, xat: np.ndarray, y: np.ndarray, yat: np.ndarray, n:
     return same, np.bincount(row[hit], minlength=len(n))
 
 
+def _reached(x: np.ndarray, xat: np.ndarray, m: np.ndarray, y: np.ndarray, yat: np.ndarray, n: np.ndarray, slack: np.ndarray, codes: int, sign: int = 1) -> np.ndarray:
+    """For each pair the least edit distance of m characters of x and n - slack ... n characters of y, from xat and yat on (``sign`` -1: backwards). Codes are below ``codes``.
+
+    Bit-parallel columns, all pairs at once: a bit for each character of x in words of 64, a step for each character of y.
+    """
+    pairs, blocks = len(m), int(-(-m.max(initial=1) // 64))
+    order = np.argsort(-n, kind="stable")
+    xat, m, yat, n, slack = (v[order] for v in (xat, m, yat, n, slack))
+    row = np.repeat(np.arange(pairs), m)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+    eq = np.zeros(pairs * codes * blocks, np.uint64)
+    np.bitwise_or.at(eq, (row * codes + x[xat[row] + sign * k]) * blocks + (k >> 6), np.uint64(1) << (k & 63).astype(np.uint64))
+    eq = eq.reshape(pairs, codes, blocks)
+    one, top = np.uint64(1), np.uint64(63)
+    up = np.full((blocks, pairs), ~np.uint64(0))
+    down = np.zeros((blocks, pairs), np.uint64)
+    last, bit = (m - 1) >> 6, ((m - 1) & 63).astype(np.uint64)
+    score, best = m.astype(np.int64), np.where(n - slack <= 0, m, 1 << 40)
+    live, at = pairs, np.arange(pairs)
+    for step in range(int(n[0]) if pairs else 0):
+        while live and n[live - 1] <= step:
+            live -= 1
+        masks = eq[at[:live], y[yat[:live] + sign * step]]
+        plus, minus = np.ones(live, np.uint64), np.zeros(live, np.uint64)  # the row above grows by one each step
+        for b in range(blocks):
+            e, u, d = masks[:, b], up[b, :live], down[b, :live]
+            v = e | d
+            e = e | minus
+            h = (((e & u) + u) ^ u) | e
+            p, q = d | ~(h | u), u & h
+            here = last[:live] == b
+            if here.any():
+                score[:live] += np.where(here, (p >> bit[:live] & one).astype(np.int64) - (q >> bit[:live] & one).astype(np.int64), 0)
+            p_out, q_out = p >> top, q >> top
+            p, q = p << one | plus, q << one | minus
+            up[b, :live] = q | ~(v | p)
+            down[b, :live] = p & v
+            plus, minus = p_out, q_out
+        best[:live] = np.where(step + 1 >= n[:live] - slack[:live], np.minimum(best[:live], score[:live]), best[:live])
+    out = np.empty(pairs, np.int64)
+    out[order] = best
+    return out
+
+
+#: Lines up to this length are compared many at once, so many bytes of tables at a time.
+TOGETHER = 3000
+TABLE_BYTES = 32 << 20
+
+
 def similar_enough(one: pa.Array, two: pa.Array, most: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most ``most``.
 
-    Pairs that differ in one short stretch, or only in single characters of equally long lines, are settled by comparing columns; the others one by one.
+    Pairs that differ in one short stretch, or only in single characters of equally long lines, are settled by comparing columns. Of the others, the first third of the one has to be
+    near the start of the other, and so for the last third; what is left is compared whole.
     """
     (x, xat), (y, yat) = _codes(one), _codes(two)
     nx, ny = np.diff(xat), np.diff(yat)
@@ -509,8 +568,33 @@ def similar_enough(one: pa.Array, two: pa.Array, most: np.ndarray) -> np.ndarray
     head, differ = _aligned(x, xat, y, yat, n, False)
     tail = np.minimum(_aligned(x, xat, y, yat, n, True)[0], n - head)
     out = (np.maximum(nx, ny) - head - tail <= most) | ((nx == ny) & (differ <= most))
-    for k in np.flatnonzero(~out & (np.abs(nx - ny) <= most)):
+    left = np.flatnonzero(~out & (np.abs(nx - ny) <= most) & (n > 0))
+    for k in left[np.maximum(nx, ny)[left] > TOGETHER]:
         out[k] = edit_distance(one[int(k)].as_py(), two[int(k)].as_py(), int(most[k])) <= most[k]
+    left = left[np.maximum(nx, ny)[left] <= TOGETHER]
+    if not len(left):
+        return out
+    seen = np.zeros(int(max(x.max(), y.max())) + 1, bool)
+    seen[x] = seen[y] = True
+    number = np.cumsum(seen) - 1
+    x, y, codes = number[x], number[y], int(number[-1]) + 1
+
+    def near(k: np.ndarray, m: np.ndarray, steps: np.ndarray, slack: np.ndarray, back: bool) -> np.ndarray:
+        kept = []
+        k_order = np.argsort(nx[k], kind="stable")
+        k, m, steps, slack = k[k_order], m[k_order], steps[k_order], slack[k_order]
+        room = max(1, min(4096, TABLE_BYTES // (8 * codes * int(-(-m.max(initial=1) // 64)))))
+        for i in range(0, len(k), room):
+            c = slice(i, i + room)
+            start = (xat[1:][k[c]] - 1, yat[1:][k[c]] - 1, -1) if back else (xat[:-1][k[c]], yat[:-1][k[c]], 1)
+            d = _reached(x, start[0], m[c], y, start[1], steps[c], slack[c], codes, start[2])
+            kept.append(k[c][d <= most[k[c]]])
+        return np.concatenate(kept) if kept else k
+
+    for back in (False, True):
+        third = np.maximum(nx[left] // 3, 1)
+        left = near(left, third, np.minimum(third + most[left], ny[left]), 2 * most[left], back)
+    out[near(left, nx[left], ny[left], np.zeros(len(left), np.int64), False)] = True
     return out
 
 
@@ -540,7 +624,8 @@ def groups_of(classes: DataFrame, similarity: float, texts_of: Callable[[DataFra
     reached = common.written(common.components(links, "lines-components"), "lines-groups")
     grouped = involved.join(reached.select(F.col("node").alias("h"), "component"), "h", "left").select(*filed, F.coalesce("component", "h").alias("group"))
     grouped = common.written(grouped, "lines-grouped")
-    rest = common.written(tc.map_arrow(_cells(grouped, similarity), lambda it: _candidates(it, similarity, False), schema).distinct(), "lines-rest")
+    rest = tc.map_arrow(_cells(grouped, similarity), lambda it: _candidates(it, similarity, False), schema).distinct()
+    rest = common.written(rest.join(pairs, ["a", "b"], "left_anti"), "lines-rest")  # those in both are known not to be similar
     late = common.written(verified(rest, texts, similarity), "lines-late")
     common.delete(pairs, involved, texts, rest)
     if late.isEmpty():
