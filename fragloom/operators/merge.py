@@ -79,20 +79,26 @@ def _circles(p: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a + o, np.where(det == 0, np.inf, (o * o).sum(axis=1))
 
 
-def interpolate(points: np.ndarray, values: np.ndarray, at: np.ndarray, eps: float = 1e-9) -> np.ndarray:
-    """Piecewise linear interpolation over the Delaunay triangles; 0 outside their hull."""
+def interpolate(points: np.ndarray, values: np.ndarray, at: np.ndarray, eps: float = 1e-9, block: int = 1 << 20) -> np.ndarray:
+    """Piecewise linear interpolation over the Delaunay triangles; 0 outside their hull. All triangles at once, ``block`` pairs of a place and a triangle at a time."""
     out = np.zeros(len(at))
-    todo = np.ones(len(at), bool)
-    for a, b, c in delaunay(points):
-        m = np.column_stack([points[b] - points[a], points[c] - points[a]])
-        det = np.linalg.det(m)
-        if det == 0:
-            continue
-        lam = (at - points[a]) @ np.linalg.inv(m).T
-        w = np.column_stack([1 - lam.sum(axis=1), lam])
-        hit = todo & (w >= -eps).all(axis=1)
-        out[hit] = w[hit] @ values[[a, b, c]]
-        todo &= ~hit
+    tri = delaunay(points)
+    if not len(tri):
+        return out
+    a, u, v = points[tri[:, 0]], points[tri[:, 1]] - points[tri[:, 0]], points[tri[:, 2]] - points[tri[:, 0]]
+    det = u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]
+    tri, a, u, v, det = (x[det != 0] for x in (tri, a, u, v, det))
+    step = max(1, block // max(len(tri), 1))
+    for k in range(0, len(at) if len(tri) else 0, step):
+        d = at[k : k + step, None, :] - a[None]
+        two = (d[..., 0] * v[:, 1] - d[..., 1] * v[:, 0]) / det
+        three = (u[:, 0] * d[..., 1] - u[:, 1] * d[..., 0]) / det
+        one = 1 - two - three
+        inside = (one >= -eps) & (two >= -eps) & (three >= -eps)
+        first = inside.argmax(axis=1)
+        row = np.flatnonzero(inside[np.arange(len(first)), first])
+        t = first[row]
+        out[k + row] = one[row, t] * values[tri[t, 0]] + two[row, t] * values[tri[t, 1]] + three[row, t] * values[tri[t, 2]]
     return out
 
 
@@ -153,13 +159,38 @@ def nearest_cell(points: DataFrame, ranges: DataFrame) -> DataFrame:
     return points.join(ranges.where("ny > 0 AND nx > 0"), "pair_id").select(*points.columns, index("y"), index("x"))
 
 
-def nearest_translation(cells: DataFrame, means: DataFrame) -> DataFrame:
+def nearest_translation(cells: DataFrame, means: DataFrame, block: int = 1 << 20) -> DataFrame:
     """(pair_id, side, iy, ix, tid): the translation nearest to each cell, the lowest on ties, 0 if a side has none. Not mirrored.
 
-    Translations are joined on the pair; equal ones meet once as ``means`` has one row for each.
+    A pair's cells and translations meet in one kernel, ``block`` distances at a time; no row is made for each of them.
     """
-    t = cells.select("pair_id", "iy", "ix", "gy", "gx").join(means.select(*PAIR_SIDE, "translation_id", "ty", "tx"), "pair_id")
-    d2 = (F.col("gy") - F.col("ty")) ** 2 + (F.col("gx") - F.col("tx")) ** 2
-    found = t.groupBy(*PAIR_SIDE, "iy", "ix").agg(F.min_by("translation_id", F.struct(d2.alias("d"), F.col("translation_id"))).alias("tid"))
-    every = cells.select("pair_id", "iy", "ix").withColumn("side", F.explode(F.array(F.lit("recto"), F.lit("verso"))))
-    return every.join(found, [*PAIR_SIDE, "iy", "ix"], "left").select(*PAIR_SIDE, "iy", "ix", F.coalesce("tid", F.lit(0)).alias("tid"))
+    kinds = dict(cells.dtypes)
+
+    def run(key, c: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for side in ("recto", "verso"):
+            t = m[m["of_side"] == side].sort_values("translation_id")
+            tid = np.zeros(len(c), np.int64)
+            if len(t):
+                ty, tx, ids = (t[n].to_numpy() for n in ("ty", "tx", "translation_id"))
+                step = max(1, block // len(t))
+                for k in range(0, len(c), step):
+                    gy, gx = (c[n].to_numpy()[k : k + step, None] for n in ("gy", "gx"))
+                    tid[k : k + step] = ids[((gy - ty) ** 2 + (gx - tx) ** 2).argmin(axis=1)]
+            out.append(c[["pair_id", "iy", "ix"]].assign(side=side, tid=tid))
+        return pd.concat(out)[["pair_id", "side", "iy", "ix", "tid"]]
+
+    known = means.select(F.col("pair_id").alias("of_pair"), F.col("side").alias("of_side"), "translation_id", "ty", "tx")
+    grid = cells.select("pair_id", "iy", "ix", "gy", "gx")
+    return grid.groupBy("pair_id").cogroup(known.groupBy("of_pair")).applyInPandas(run, f"pair_id {kinds['pair_id']}, side string, iy int, ix int, tid int")
+
+
+def top_of_pair(cells: DataFrame, pair_id, k: int = 5) -> DataFrame:
+    """(iy, ix, gy, gx, s_sum, angle): the k best cells of one pair, zeros included, later cells first on ties."""
+    t = cells.where(F.col("pair_id") == pair_id).orderBy(F.desc("s_sum"), F.desc(F.col("iy") * F.col("nx") + F.col("ix"))).limit(k)
+    return t.select("iy", "ix", "gy", "gx", "s_sum", F.degrees(F.atan2("gx", "gy")).alias("angle"))
+
+
+def suffixed(table: DataFrame, suffix: str, keys: list[str]) -> DataFrame:
+    """The table with ``suffix`` after the name of each column that is no key."""
+    return table.withColumnsRenamed({c: f"{c}_{suffix}" for c in table.columns if c not in keys})

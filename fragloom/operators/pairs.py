@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def all_pairs(fragments: DataFrame, within: str, key: str = "frag_id") -> DataFrame:
-    """(within, a, b): every unordered pair of fragments of one group, a < b: an equi-join with a residual condition."""
-    one = fragments.select(within, F.col(key).alias("a"))
-    two = fragments.select(within, F.col(key).alias("b"))
-    return one.join(two, within).where("a < b")
+def all_pairs(fragments: DataFrame, within: str, key: str = "frag_id", blocks: int = 8) -> DataFrame:
+    """(within, a, b): every unordered pair of fragments of one group, a < b.
+
+    Groups may be few and large (the sides of all scans), so each is cut into ``blocks`` by a hash of the fragment: the pairs of two blocks are a join key of
+    their own, and a group is dealt out to blocks^2 tasks. Each fragment is sent ``blocks`` times.
+    """
+    own, other = F.pmod(F.xxhash64(key), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    one = fragments.select(within, F.col(key).alias("a"), own.alias("block_a"), other.alias("block_b"))
+    two = fragments.select(within, F.col(key).alias("b"), own.alias("block_b"), other.alias("block_a"))
+    return one.join(two, [within, "block_a", "block_b"]).where("a < b").select(within, "a", "b")
 
 
 def pending(pairs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,13 +46,17 @@ def parsed(names: DataFrame, column: str = "name") -> DataFrame:
 def match_sides(recto: DataFrame, verso: DataFrame, strict: bool = False) -> DataFrame:
     """(a, b, verso_a, verso_b): the verso pair of each recto pair.
 
-    By default the verso names must start with the recto names, and the smallest pair of names wins; this may pick 10_back for 1, and it is a nested-loop
-    join. ``strict`` asks for the exact name with ``_back`` and is an equi-join.
+    By default the verso names must start with the recto names, and the smallest pair of names wins; this may pick 10_back for 1. The verso names are cut
+    to the lengths that recto names have (a few numbers), so this is an equi-join too. ``strict`` asks for the exact name with ``_back``.
     """
     v = verso.select(F.col("a").alias("verso_a"), F.col("b").alias("verso_b"))
     if strict:
         bare = lambda c: F.regexp_replace(c, "_back$", "")
         return recto.join(v.withColumns({"a": bare("verso_a"), "b": bare("verso_b")}), ["a", "b"]).select("a", "b", "verso_a", "verso_b")
-    found = recto.join(v, F.col("verso_a").startswith(F.col("a")) & F.col("verso_b").startswith(F.col("b")))
+    lengths = recto.select(F.explode(F.array(F.length("a"), F.length("b"))).alias("n")).distinct().agg(F.sort_array(F.collect_list("n"))).first()[0]
+    for c in "ab":
+        cuts = [F.when(F.length(f"verso_{c}") >= n, F.substring(f"verso_{c}", 1, n)) for n in lengths]
+        v = v.withColumn(c, F.explode(F.array_distinct(F.array_compact(F.array(F.lit(None).cast("string"), *cuts)))))
+    found = recto.select("a", "b").join(v, ["a", "b"])
     order = Window.partitionBy("a", "b").orderBy("verso_a", "verso_b")
     return found.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("a", "b", "verso_a", "verso_b")

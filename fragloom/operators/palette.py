@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +22,47 @@ def colour_masks(px: DataFrame, cutoff: float = 0.01) -> DataFrame:
     return seen.join(prominent_colours(seen, "image_id", ["r", "g", "b"], cutoff).drop("n"), ["image_id", "r", "g", "b"])
 
 
-def silhouettes(points: DataFrame, labels: list[str], features: list[str]) -> DataFrame:
-    """(k, score): mean Euclidean silhouette of each labelling column (named by its k). points: (id, features..., labels...), a bounded sample.
+#: Points that a silhouette takes at most.
+SAMPLE = 5000
 
-    Distances are summed per point and cluster by a self-join, so the cost is the square of the sample's size: keep it under some thousands.
+
+def sampled(points: DataFrame, features: list[str], sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """At most ``sample`` of the points, in the order of a hash of their features."""
+    return points.orderBy(F.xxhash64(F.lit(seed), *features), *features).limit(sample)
+
+
+def silhouettes(points: DataFrame, labels: list[str], features: list[str], sample: int = SAMPLE) -> DataFrame:
+    """(k, score): mean Euclidean silhouette of each labelling column (named by its k) on at most ``sample`` of the points (features..., labels...).
+
+    The sample is bounded, so it is broadcast; the tasks compare it with their parts of it, in blocks.
     """
-    one = points.select(F.col("id").alias("i"), *[F.col(f).alias(f"i_{f}") for f in features], *[F.col(c).alias(f"i_{c}") for c in labels], F.lit(1).alias("all"))
-    two = points.select(F.col("id").alias("j"), *[F.col(f).alias(f"j_{f}") for f in features], *[F.col(c).alias(f"j_{c}") for c in labels], F.lit(1).alias("all"))
-    d = F.sqrt(sum(((F.col(f"i_{f}") - F.col(f"j_{f}")) ** 2 for f in features), F.lit(0.0)))
-    pairs = one.join(two, "all").where("i <> j").select("i", d.alias("d"), F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"i_{c}").alias("own"), F.col(f"j_{c}").alias("other")) for c in labels])).alias("e"))
-    means = pairs.groupBy("i", "e.k", "e.own", "e.other").agg(F.avg("d").alias("d"))
-    ab = means.groupBy("i", "k").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
-    return ab.groupBy("k").agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("score"))
+    spark = points.sparkSession
+    rows = [tuple(r) for r in sampled(points.select(*features, *labels), features, sample).collect()]
+    x = np.array([r[: len(features)] for r in rows], float).reshape(len(rows), len(features))
+    codes = [np.unique([r[len(features) + i] for r in rows], return_inverse=True)[1] if rows else np.zeros(0, int) for i in range(len(labels))]
+    held = spark.sparkContext.broadcast((x, codes))
+
+    def run(batches):
+        x, codes = held.value
+        for b in batches:
+            start = b.column("start").to_numpy()
+            for i in start:
+                mine = slice(int(i), min(int(i) + 100, len(x)))
+                d = np.sqrt(np.maximum(((x[mine, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
+                for name, code in zip(labels, codes):
+                    n = np.bincount(code)
+                    sums = np.stack([np.bincount(code, r, len(n)) for r in d])
+                    own = code[mine]
+                    row = np.arange(len(own))
+                    a = sums[row, own] / np.maximum(n[own] - 1, 1)
+                    other = sums / n
+                    other[row, own] = np.inf
+                    near = other.min(axis=1)
+                    s = np.where((n[own] > 1) & np.isfinite(near), (near - a) / np.maximum(np.maximum(a, near), 1e-300), 0.0)
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([float(s.sum())]), pa.array([len(s)], pa.int64())], ["k", "s", "n"])
+
+    blocks = spark.range(0, max(len(x), 1), 100).select(F.col("id").alias("start")) if len(x) else spark.range(0).select(F.col("id").alias("start"))
+    return blocks.mapInArrow(run, "k string, s double, n long").groupBy("k").agg((F.sum("s") / F.sum("n")).alias("score"))
 
 
 def best_count(scores: DataFrame) -> DataFrame:
@@ -40,19 +70,25 @@ def best_count(scores: DataFrame) -> DataFrame:
     return scores.agg(F.max_by(F.struct("k", "score"), F.struct(F.col("score"), -F.col("k"))).alias("m")).select("m.k", "m.score")
 
 
-def estimate_colours(pixels: DataFrame, features: list[str], counts=range(2, 16), sample: int = 1000, seed: int = 42) -> DataFrame:
+def estimate_colours(pixels: DataFrame, features: list[str], counts=range(2, 16), sample: int = SAMPLE, seed: int = 42) -> DataFrame:
     """(k, score): the number of clusters with the best silhouette on a sample of at most ``sample`` pixels."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    points = pixels.select(*features).orderBy(F.xxhash64(F.lit(seed), *features)).limit(sample).withColumn("id", F.monotonically_increasing_id()).persist()
+    points = sampled(pixels.select(*features), features, sample, seed).persist()
     vectors = VectorAssembler(inputCols=features, outputCol="v").transform(points)
     for k in counts:
         vectors = KMeans(k=k, seed=seed, featuresCol="v", predictionCol=f"k{k}").fit(vectors).transform(vectors)
-    s = silhouettes(vectors.drop("v"), [f"k{k}" for k in counts], features)
+    s = silhouettes(vectors.drop("v"), [f"k{k}" for k in counts], features, sample)
+    points.unpersist()
     return best_count(s.select(F.substring("k", 2, 9).cast("int").alias("k"), "score"))
 
 
+def any_black(px: DataFrame, black: Column) -> DataFrame:
+    """(image_id, any_black): whether a picture has a pixel for which ``black`` holds."""
+    return px.groupBy("image_id").agg(F.bool_or(black).alias("any_black"))
+
+
 def snapped(medoids: DataFrame, colours: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
     """Each medoid (keys..., m, channels) with the nearest true colour, the lowest on ties; opaque black is left out."""
     t = medoids.join(colours.select(*keys, *[F.col(c).alias(f"t_{c}") for c in channels]), keys)

@@ -104,22 +104,27 @@ def composite(below: DataFrame, above: DataFrame, values: list[str]) -> DataFram
 def components(px: DataFrame, connectivity: int = 8) -> DataFrame:
     """(image_id, y, x, label): connected set pixels; the label is the smallest y * 2^20 + x of the component.
 
-    A picture's runs of pixels go to one kernel row each (pictures are bounded); no rounds of joins are needed.
+    A picture's pixels go to one task (pictures are bounded), and a kernel labels many pictures at once; no rounds of joins are needed.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
+    from fragloom.functions.batches import group_of, whole_groups
     from fragloom.functions.raster import label_points
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        labels = label_points(t["y"].to_numpy(), t["x"].to_numpy(), connectivity)
-        code = t["y"].to_numpy(np.int64) * (1 << 20) + t["x"].to_numpy(np.int64)
-        low = np.full(labels.max(initial=-1) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, labels, code)
-        return t.assign(label=low[labels])
+    def run(batches):
+        for t, starts in whole_groups(batches, "image_id"):
+            y, x, of = t.column("y").to_numpy(), t.column("x").to_numpy(), group_of(starts, t.num_rows)
+            # the pictures of a batch are labelled together, one below the other
+            labels = label_points(y - y.min() + of * (int(np.ptp(y)) + 2), x, connectivity)
+            code = y.astype(np.int64) * (1 << 20) + x.astype(np.int64)
+            low = np.full(labels.max(initial=-1) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, labels, code)
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("image_id", "y", "x")] + [pa.array(low[labels])], ["image_id", "y", "x", "label"])
 
     kinds = dict(px.dtypes)
-    return px.select("image_id", "y", "x").groupBy("image_id").applyInPandas(run, f"image_id {kinds['image_id']}, y {kinds['y']}, x {kinds['x']}, label long")
+    rows = px.select("image_id", "y", "x").repartition("image_id").sortWithinPartitions("image_id")
+    return rows.mapInArrow(run, f"image_id {kinds['image_id']}, y {kinds['y']}, x {kinds['x']}, label long")
 
 
 def largest(labelled: DataFrame) -> DataFrame:
@@ -137,19 +142,32 @@ def blit_boxes(placed: DataFrame, source: tuple[int, int], target: tuple[int, in
     return out.where("sy0 < sy1 AND sx0 < sx1 AND ey0 < ey1 AND ex0 < ex1")
 
 
-def _pictures(px: DataFrame, value: str, fn, columns: str) -> DataFrame:
-    """``fn(array)`` for each picture's pixels; fn gives a list of rows."""
+def _pictures(px: DataFrame, value: str, fn, columns: str, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """``fn(array)`` for the pixels of each picture (or of each of its ``keys``); fn gives a list of rows."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    names = [c.split()[0] for c in columns.split(", ")]
+    from fragloom.functions.batches import whole_groups
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((int(t["y"].max()) + 1, int(t["x"].max()) + 1), np.int64)
-        a[t["y"], t["x"]] = t[value]
-        return pd.DataFrame([(t["image_id"].iloc[0], *r) for r in fn(a)], columns=["image_id", *names])
+    names = [c.split()[0] for c in columns.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+
+    def run(batches):
+        for t, starts in whole_groups(batches, list(keys)):
+            y, x, v = (t.column(c).to_numpy() for c in ("y", "x", value))
+            first, rows = [], []
+            for i, j in zip(starts, np.append(starts[1:], t.num_rows)):
+                a = np.zeros((int(y[i:j].max()) + 1, int(x[i:j].max()) + 1), np.int64)
+                a[y[i:j], x[i:j]] = v[i:j]
+                found = fn(a)
+                first += [int(i)] * len(found)
+                rows += found
+            of = pa.array(first, pa.int64())
+            yield pa.RecordBatch.from_arrays([t.column(k).combine_chunks().take(of) for k in keys] + [pa.array([r[n] for r in rows], types[c.split()[1]]) for n, c in enumerate(columns.split(", "))], [*keys, *names])
 
-    return px.select("image_id", "y", "x", value).groupBy("image_id").applyInPandas(run, f"image_id {dict(px.dtypes)['image_id']}, {columns}")
+    kinds = dict(px.dtypes)
+    rows = px.select(*keys, "y", "x", value).repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {columns}")
 
 
 def opaque_boxes(px: DataFrame, least: int = 250) -> DataFrame:
@@ -170,3 +188,86 @@ def traced(px: DataFrame, pad: int = 1, hole_area: int = 4) -> DataFrame:
     from fragloom.functions import raster as kernels
 
     return _pictures(px, "alpha", lambda a: [(k, float(y), float(x)) for k, (y, x) in enumerate(kernels.contour_from_alpha(a, pad, hole_area))], "k int, y double, x double")
+
+
+def clear_contacts(contacts: DataFrame, black: DataFrame, side: int) -> DataFrame:
+    """Contacts (image_id, y, x, h, w) whose square of ``side`` lies within the picture and holds no black pixel. black: ``integral`` of the black ones."""
+    half = side // 2
+    boxes = inside_border(contacts, half).select("image_id", "y", "x").withColumns({f"{v}{k}": F.col(v) - half + k * side for v in "yx" for k in (0, 1)})
+    boxes = boxes.withColumnsRenamed({"y": "cy", "x": "cx"})
+    return box_sums(boxes, black, ["image_id"], "dark").where("dark = 0").select("image_id", F.col("cy").alias("y"), F.col("cx").alias("x"))
+
+
+def clear_touches(touches: DataFrame, black: DataFrame, side: int, pad: float, height: Column, width: Column) -> DataFrame:
+    """Touch points (image_id, m, ay, ax, by, bx, dy, dx) with no black pixel in the box of a, moved back by ``pad`` along the separation, nor in that of b, moved on."""
+    left = touches
+    for point, sign in (("a", -1), ("b", 1)):
+        boxes = touch_boxes(touches, point, sign, side, pad, height, width).select("image_id", "m", "y0", "x0", "y1", "x1")
+        dark = box_sums(boxes, black, ["image_id"], "dark").where("dark > 0").select("image_id", "m")
+        left = left.join(dark, ["image_id", "m"], "left_anti")
+    return left
+
+
+def colour_contours(px: DataFrame, cutoff: float = 0.01, pad: int = 10, hole_area: int = 1000) -> DataFrame:
+    """(image_id, r, g, b, k, y, x): the outline of the largest piece of each prominent colour of a mask (image_id, y, x, r, g, b, a)."""
+    from fragloom.functions import raster as kernels
+    from fragloom.operators.palette import colour_masks
+
+    masks = colour_masks(px, cutoff).withColumn("set", F.lit(255))
+    trace = lambda a: [(k, float(y), float(x)) for k, (y, x) in enumerate(kernels.contour_from_alpha(a, pad, hole_area))]
+    return _pictures(masks, "set", trace, "k int, y double, x double", ("image_id", "r", "g", "b"))
+
+
+def max_stack(px: DataFrame, stack: str, value: str) -> DataFrame:
+    """(stack, y, x, value): the largest value of all pictures of a stack at each place."""
+    return px.groupBy(stack, "y", "x").agg(F.max(value).alias(value))
+
+
+def square_crop(px: DataFrame, squares: DataFrame, side: int) -> DataFrame:
+    """The pixels of one square of ``side`` for each picture (image_id, y0, x0, h, w), counted from its corner; squares that do not lie within the picture give none."""
+    inside = squares.where((F.col("y0") >= 0) & (F.col("x0") >= 0) & (F.col("y0") + side <= F.col("h")) & (F.col("x0") + side <= F.col("w"))).select("image_id", "y0", "x0")
+    t = px.join(inside, "image_id").where((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + side) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + side))
+    return t.withColumns({"y": F.col("y") - F.col("y0"), "x": F.col("x") - F.col("x0")}).drop("y0", "x0")
+
+
+def gathered(mask: DataFrame, src: DataFrame, ty: Column, tx: Column, pedantic: bool = True, shape: tuple[int, int] | None = None) -> DataFrame:
+    """The pixels of a mask (image_id, y, x) with the values of src at int(index - t): an equi-join on the places.
+
+    Places outside src are left out; if not ``pedantic``, negative ones count from the end of src's ``shape`` as array indexes do.
+    """
+    at = {"sy": (F.col("y") - ty).cast("int"), "sx": (F.col("x") - tx).cast("int")}
+    wanted = mask.select("image_id", "y", "x", *[c.alias(n) for n, c in at.items()])
+    if not pedantic:
+        wanted = wanted.withColumns({c: F.when(F.col(c) < 0, F.col(c) + n).otherwise(F.col(c)) for c, n in zip(("sy", "sx"), shape)})
+    return wanted.join(src.withColumnsRenamed({"y": "sy", "x": "sx"}), ["image_id", "sy", "sx"]).drop("sy", "sx")
+
+
+def soft_mask(px: DataFrame, a: str, b: str, strength: float, combine: str = "sum") -> DataFrame:
+    """The pixels with alpha: ``strength`` for each of two masks (boolean columns), added up to 255, or the larger."""
+    one, two = (F.when(F.col(c), strength).otherwise(0.0) for c in (a, b))
+    alpha = F.least(one + two, F.lit(255.0)) if combine == "sum" else F.greatest(one, two)
+    return px.withColumn("alpha", alpha.cast("int"))
+
+
+def filled(points: DataFrame, shape: tuple[int, int], shift: float = 0.0) -> DataFrame:
+    """(frag_id, y, x0, x1): the rows of pixels whose centres lie in each outline (frag_id, k, y, x) moved by ``shift``, even-odd, clipped to the shape."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fragloom.functions import raster as kernels
+    from fragloom.functions.batches import whole_groups
+
+    def run(batches):
+        for t, starts in whole_groups(batches, "frag_id"):
+            p = np.column_stack([t.column("y").to_numpy(), t.column("x").to_numpy()]) + shift
+            out = []
+            for i, j in zip(starts, np.append(starts[1:], t.num_rows)):
+                area = np.pad(kernels.fill_polygon(p[i:j], shape).astype(np.int8), ((0, 0), (1, 1)))
+                step = np.diff(area, axis=1)
+                (y, lo), hi = np.nonzero(step == 1), np.nonzero(step == -1)[1] - 1
+                out.append((np.full(len(y), i), y, lo, hi))
+            of, y, lo, hi = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([t.column("frag_id").combine_chunks().take(pa.array(of)), *(pa.array(v.astype(np.int32)) for v in (y, lo, hi))], ["frag_id", "y", "x0", "x1"])
+
+    rows = points.select("frag_id", "k", "y", "x").repartition("frag_id").sortWithinPartitions("frag_id", "k")
+    return rows.mapInArrow(run, f"frag_id {dict(points.dtypes)['frag_id']}, y int, x0 int, x1 int")

@@ -32,8 +32,8 @@ def index_ranges(samples: DataFrame, order: list[str]) -> DataFrame:
     return n.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("first"), "n")
 
 
-def running(rows: DataFrame, key: str, value: Column, name: str, parts: int = 64) -> DataFrame:
-    """The rows with the sum of ``value`` over all rows before them in the order of the numeric ``key`` (ties: any order within equal keys).
+def running(rows: DataFrame, key: str, value: Column, name: str, parts: int = 64, tie: str | None = None) -> DataFrame:
+    """The rows with the sum of ``value`` over all rows before them in the order of the numeric ``key`` (equal keys in the order of ``tie``, or any).
 
     One window over everything would be one task. Here approximate quantiles cut the keys into ranges; each range has a window of its own and starts
     from the sum of the ranges before it: one number for each range.
@@ -46,7 +46,7 @@ def running(rows: DataFrame, key: str, value: Column, name: str, parts: int = 64
     for k in range(len(edges) + 1):
         start.append(F.lit(before))
         before += sums.get(k, 0)
-    order = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_part").orderBy(key, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, -1)
     first = F.element_at(F.array(*[x.cast("long") for x in start]), F.col("_part") + 1)
     return t.withColumn(name, first + F.coalesce(F.sum("_value").over(order), F.lit(0))).drop("_part", "_value")
 
@@ -83,11 +83,23 @@ def balanced_batches(samples: DataFrame, batch: int = 24, seed: int = 42, epoch:
     if batch % 6:
         raise ValueError(f"batch must be divisible by 6, not {batch}")
     quota = reduce(lambda c, k: c.when(F.col("class") == k, batch // MIX[k]), MIX, F.when(F.lit(False), 0))
-    by = Window.partitionBy("class")
-    t = samples.withColumn("rn", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), "id"), "id")))
-    t = t.withColumn("q", quota).withColumn("batch", F.floor((F.col("rn") - 1) / F.col("q")))
-    full = samples.groupBy("class").agg(F.count("*").alias("n")).withColumn("q", quota).agg(F.when(F.count("*") == len(MIX), F.min(F.floor(F.col("n") / F.col("q")))).otherwise(0).alias("batches"))
-    return t.crossJoin(F.broadcast(full)).where("batch < batches").select("class", "id", "batch")
+    full = samples.groupBy("class").agg(F.count("*").alias("n")).withColumn("q", quota).agg(F.when(F.count("*") == len(MIX), F.min(F.floor(F.col("n") / F.col("q")))).otherwise(0).alias("batches")).first()[0]
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(epoch), "id"), 12)  # 52 bits: exact as a double
+    # a window over a class would be one task, and there are four: rows are numbered range by range
+    parts = [running(samples.where(F.col("class") == k).select("class", "id").withColumn("place", place), "place", F.lit(1), "rn", tie="id") for k in MIX]
+    t = reduce(DataFrame.unionByName, parts).withColumn("batch", F.floor(F.col("rn") / quota))
+    return t.where(F.col("batch") < full).select("class", "id", "batch")
+
+
+def first_candidates(poses: DataFrame, order: list[str], limit: int = 100) -> DataFrame:
+    """The first ``limit`` poses in the given order, for a quick look."""
+    return poses.orderBy(*order).limit(limit)
+
+
+def space_size(patches: DataFrame, touches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., samples): how many samples a virtual product of patches and touches has, without building it."""
+    n = lambda t, c: t.groupBy(*keys).agg(F.count("*").alias(c))
+    return n(patches, "p").join(n(touches, "t"), keys).select(*keys, (F.col("p") * F.col("t")).alias("samples"))
 
 
 def jitter(key: Column, most: float, seed: int = 42) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 import numpy as np
+from pyarrow import fs
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,14 +58,37 @@ def trained(samples: DataFrame, features: str, label: str, regularisation: float
     from pyspark.ml.functions import array_to_vector
 
     fit = LogisticRegression(featuresCol="v", labelCol=label, regParam=regularisation).fit(samples.select(array_to_vector(F.col(features)).alias("v"), F.col(label)))
-    w, b = fit.coefficients.toArray(), float(fit.intercept)
+    return linear(fit.coefficients.toArray(), float(fit.intercept))
+
+
+def linear(weights: np.ndarray, bias: float) -> Callable[[], Model]:
+    """A model on ``descriptors``, which ``save`` can write."""
 
     def make() -> Model:
-        return lambda x: descriptors(x) @ w + b
+        return lambda x: descriptors(x) @ weights + bias
 
+    make.parameters = (weights, bias)
     return make
 
 
+def save(make_model: Callable[[], Model], path: str) -> None:
+    """Write a trained model to a file that ``load`` reads. Paths of all pyarrow file systems."""
+    weights, bias = make_model.parameters
+    data = io.BytesIO()
+    np.savez(data, weights=weights, bias=bias)
+    store, at = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    with store.open_output_stream(at) as out:
+        out.write(data.getvalue())
+
+
+def load(path: str) -> Callable[[], Model]:
+    """The model of a file that ``save`` wrote; FileNotFoundError if there is none. It is read once, by the driver."""
+    store, at = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    with store.open_input_stream(at) as source:
+        held = np.load(io.BytesIO(source.read()))
+    return linear(held["weights"], float(held["bias"]))
+
+
 def descriptors(x: np.ndarray) -> np.ndarray:
     """Means and deviations of each channel of patches [n, channels, side, side]."""
     return np.concatenate([x.mean(axis=(2, 3)), x.std(axis=(2, 3))], axis=1).astype(np.float64)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragloom.operators import contour, merge, pairs, pose, score
+from fragloom.operators import contour, merge, pairs, patches, pose, score
 from fragloom.sources import images, tables
 
 
@@ -54,3 +56,42 @@ def merged_tables(scores: DataFrame, sizes: DataFrame, consistent_mirror: bool =
     tid = lambda s: F.max(F.when(F.col("side") == s, F.col("tid"))).alias(f"tid_{s}")
     cells = cells.join(near.groupBy("pair_id", "iy", "ix").agg(tid("recto"), tid("verso")), ["pair_id", "iy", "ix"])
     return {"cell": cells, "pair": ranges.join(merge.discrepancies(cells), "pair_id", "left"), "top": merge.top_cells(cells), "patch": merge.nearest_cell(scores, ranges)}
+
+
+def write_merged(tables: dict[str, DataFrame], path: str, recto: DataFrame | None = None, verso: DataFrame | None = None) -> None:
+    """Write the merged tables, a folder for each; what the two sides' runs are described by (pair_id, ...) goes to ``about``, each side's columns under its own names."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    if recto is not None and verso is not None:
+        about = merge.suffixed(recto, "recto", ["pair_id"]).join(merge.suffixed(verso, "verso", ["pair_id"]), "pair_id", "full_outer")
+        about.write.mode("overwrite").parquet(f"{path}/about")
+
+
+def read_merged(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that ``write_merged`` wrote."""
+    names = [n for n in ("cell", "pair", "top", "patch", "about") if images.exists(spark, f"{path}/{n}")]
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def compute(spark: SparkSession, folder: str, out: str, make_model: Callable[[], score.Model] = score.baseline, spacing: float = 100.0, pad: float = pose.PAD, side: int = 224, net_side: int = 224) -> DataFrame:
+    """Score the patches of all pairs of scans of one side, and write ``out``/scores and ``out``/status; returns the status of all pairs.
+
+    Pairs that have a status already, but for failed ones, are left alone, so a run that was stopped goes on where it was.
+    """
+    scans = images.scan(spark, folder)
+    points = outlines(spark, folder)
+    every = pairs.all_pairs(scans.select("frag_id", "side"), "side")
+    before = spark.read.parquet(f"{out}/status") if images.exists(spark, f"{out}/status") else None
+    todo = patches.unfinished(every, before) if before is not None else every
+    poses = positions(points, spacing, pad).join(todo.select("a", "b"), ["a", "b"], "left_semi")
+    contacts = pose.neighbours(poses, contour.arc_samples(points, spacing))
+    sides = points.select(F.col("frag_id").alias("a"), F.col("image_id").alias("side")).distinct()
+    results = patches.scored(scans, contacts.join(sides, "a"), make_model, side, net_side)
+    results.write.mode("overwrite").parquet(f"{out}/results")  # both tables below come from one run of the kernel
+    results = spark.read.parquet(f"{out}/results")
+    images.write_scores(patches.scores_of(results), f"{out}/scores")
+    unread = scans.where("status <> 'ok'").select(F.col("frag_id").alias("f"), F.col("side").alias("s"))
+    state = patches.status_of(todo, results).join(unread, (F.col("s") == F.col("side")) & F.col("f").isin(F.col("a"), F.col("b")), "left")
+    state = state.withColumn("status", F.when(F.col("f").isNotNull(), "unreadable").otherwise(F.col("status"))).select("a", "b", "side", "status", "error").distinct()
+    state.write.mode("append").parquet(f"{out}/status")
+    return spark.read.parquet(f"{out}/status").groupBy("a", "b", "side").agg(F.max_by("status", F.col("status") != "failed").alias("status"), F.max("error").alias("error"))

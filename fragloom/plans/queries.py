@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragloom.operators import contour, merge, metrics, pairs, palette, pose, raster, report, sampling, score
+from fragloom.operators import contour, merge, metrics, pairs, palette, patches, pose, raster, report, sampling, score
+from fragloom.sources import images
 from fragloom.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,16 +276,29 @@ def window_availability(spark, d):
     return raster.available_windows(raster.lattice(images, 4, 1), available, black, 4, 0.3).select("image_id", "y0", "x0")
 
 
-@query(T.sql("cp", "cent", "arc", "sm", "px", body="""SELECT frag_id, m FROM (SELECT frag_id, m, y0, x0, least(y0 + 4, 7) AS y1, least(x0 + 4, 7) AS x1 FROM (SELECT sm.frag_id, m, least(greatest(trunc(4 + y / 40 - 1.5::DOUBLE * y / sqrt(y * y + x * x) - 2)::INT, 0), 7) AS y0, least(greatest(trunc(4 + x / 40 - 1.5::DOUBLE * x / sqrt(y * y + x * x) - 2)::INT, 0), 7) AS x0 FROM sm)) b
-WHERE NOT EXISTS (SELECT 1 FROM px WHERE px.image_id = b.frag_id AND v < 20 AND px.y > y0 AND px.y <= y1 AND px.x > x0 AND px.x <= x1)"""))
+def _box(name: str, v: str, off: float, sign: str) -> str:
+    return f"least(greatest(trunc(4 + {v} / 40 + {off}::DOUBLE {sign} 1.5::DOUBLE * {v} / sqrt(y * y + x * x) - 2)::INT, 0), 7) AS {name}{v}"
+
+
+_DARK = "NOT EXISTS (SELECT 1 FROM px WHERE px.image_id = b.frag_id AND v < 20 AND px.y > {n}y AND px.y <= least({n}y + 4, 7) AND px.x > {n}x AND px.x <= least({n}x + 4, 7))"
+
+
+@query(T.sql("cp", "cent", "arc", "sm", "px", body=f"SELECT frag_id, m FROM (SELECT frag_id, m, {_box('a_', 'y', 0.0, '-')}, {_box('a_', 'x', 0.0, '-')}, {_box('b_', 'y', 0.5, '+')}, {_box('b_', 'x', -0.5, '+')} FROM sm) b WHERE {_DARK.format(n='a_')} AND {_DARK.format(n='b_')}"))
 def touch_filter(spark, d):
     px = T.raster_px(spark, d)
     s = contour.arc_samples(T.contour_point(spark, d))
     norm = F.hypot("y", "x")
-    touch = s.select(F.col("frag_id").alias("image_id"), "m", *[(F.lit(4.0) + F.col(v) / 40).alias(f"a{v}") for v in "yx"], *[(F.col(v) / norm).alias(f"d{v}") for v in "yx"])
-    boxes = raster.touch_boxes(touch, "a", -1, 4, 1.5, F.lit(8), F.lit(8)).select("image_id", "m", "y0", "x0", "y1", "x1")
+    at = {f"a{v}": F.lit(4.0) + F.col(v) / 40 for v in "yx"} | {f"b{v}": F.lit(4.0) + F.col(v) / 40 + off for v, off in (("y", 0.5), ("x", -0.5))} | {f"d{v}": F.col(v) / norm for v in "yx"}
+    touch = s.select(F.col("frag_id").alias("image_id"), "m", *[c.alias(n) for n, c in at.items()])
+    black = raster.integral(px.withColumn("b", (F.col("v") < 20).cast("int")), "b")
+    return raster.clear_touches(touch, black, 4, 1.5, F.lit(8), F.lit(8)).select(F.col("image_id").alias("frag_id"), "m")
+
+
+@query(T.sql("px", body="SELECT image_id, y, x FROM px c WHERE alpha > 0 AND y >= 2 AND x >= 2 AND y < 6 AND x < 6 AND NOT EXISTS (SELECT 1 FROM px p WHERE p.image_id = c.image_id AND p.v < 20 AND p.y > c.y - 2 AND p.y <= c.y + 2 AND p.x > c.x - 2 AND p.x <= c.x + 2)"))
+def clear_contacts(spark, d):
+    px = T.raster_px(spark, d)
     black = raster.integral(px.withColumn("b", (F.col("v") < 20).cast("int")), "b")
-    return raster.box_sums(boxes, black, ["image_id"], "dark").where("dark = 0").select(F.col("image_id").alias("frag_id"), "m")
+    return raster.clear_contacts(px.where("alpha > 0").withColumns({"h": F.lit(8), "w": F.lit(8)}), black, 4)
 
 
 @query(T.sql("px", body="SELECT image_id, y, x FROM px WHERE alpha > 0 AND y >= 2 AND x >= 2 AND y < 6 AND x < 6"))
@@ -434,13 +448,27 @@ def bce_loss(spark, d):
     return metrics.epoch_loss(s, "batch", "loss").select(F.round("loss", 6).alias("loss"))
 
 
-@query(T.sql("ds", body="SELECT pad, kind, split, sum(samples)::BIGINT AS samples FROM ds WHERE pad IS NOT NULL GROUP BY ALL"))
+@query(T.sql("ds", body="SELECT pad, kind, split, sum(samples)::BIGINT AS samples, false AS fixed FROM ds WHERE pad IS NOT NULL GROUP BY ALL UNION ALL SELECT p.pad, kind, split, sum(samples)::BIGINT, true FROM ds, (SELECT DISTINCT pad FROM ds WHERE pad IS NOT NULL) p WHERE ds.pad IS NULL GROUP BY ALL"))
 def dataset_pivot(spark, d):
     """The pivoted table, folded back to rows so that its columns do not depend on the data."""
     wide = metrics.size_table(T.dataset_stats(spark, d))
-    cols = [c for c in wide.columns if c != "pad" and not c.endswith("_fixed")]
-    t = wide.select("pad", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("samples")) for c in cols])).alias("e")).where("e.samples > 0")
-    return t.select("pad", F.regexp_replace("e.c", "^[^_]*_", "").alias("kind"), F.regexp_extract("e.c", "^[^_]*", 0).alias("split"), "e.samples")
+    cols = [c for c in wide.columns if c != "pad"]
+    t = wide.select("pad", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("long").alias("samples")) for c in cols])).alias("e")).where("e.samples > 0")
+    name = F.regexp_replace("e.c", "_fixed$", "")
+    return t.select("pad", F.regexp_replace(name, "^[^_]*_", "").alias("kind"), F.regexp_extract(name, "^[^_]*", 0).alias("split"), "e.samples", F.col("e.c").endswith("_fixed").alias("fixed"))
+
+
+@query("SELECT trainable, total, round(100.0::DOUBLE * trainable / total, 6) AS percent FROM (SELECT sum(CASE WHEN n_regionkey % 2 = 0 THEN n_nationkey * 10 ELSE 0 END)::BIGINT AS trainable, sum(n_nationkey * 10)::BIGINT AS total FROM nation)")
+def parameter_counts(spark, d):
+    n = T.table(spark, d, "nation")
+    return metrics.parameter_counts(n.select("n_name", (F.col("n_nationkey") * 10).alias("n"), (F.col("n_regionkey") % 2 == 0).alias("requires_grad"))).withColumn("percent", F.round("percent", 6))
+
+
+@query("SELECT kind, p * t AS samples FROM (SELECT p_size % 7 AS kind, count(*) AS p FROM part GROUP BY 1) JOIN (SELECT s_nationkey % 7 AS kind, count(*) AS t FROM supplier GROUP BY 1) USING (kind)")
+def space_size(spark, d):
+    p = T.table(spark, d, "part").select((F.col("p_size") % 7).alias("kind"))
+    t = T.table(spark, d, "supplier").select((F.col("s_nationkey") % 7).alias("kind"))
+    return sampling.space_size(p, t, ["kind"])
 
 
 # --- colours and scoring
@@ -459,13 +487,147 @@ def palette_snap(spark, d):
     return palette.snapped(m.select("img", "m", (F.col("a") + F.col("m")).alias("a"), (F.col("b") - F.col("m") / 2).alias("b")), c, ["img"], ["a", "b"])
 
 
-@query("""WITH e AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS f, embedding[2]::DOUBLE AS g, label // 5 AS k2, label // 2 AS k5 FROM embeddings), c AS (SELECT id, f, g, 2 AS k, k2 AS own FROM e UNION ALL SELECT id, f, g, 5, k5 FROM e),
-m AS (SELECT x.k, x.id, x.own, y.own AS other, avg(sqrt((x.f - y.f) ** 2 + (x.g - y.g) ** 2)) AS d FROM c x JOIN c y ON x.k = y.k AND x.id <> y.id GROUP BY ALL),
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label // 5 AS k2, label // 2 AS k5 FROM embeddings), c AS (SELECT id, v, 2 AS k, k2 AS own FROM e UNION ALL SELECT id, v, 5, k5 FROM e),
+m AS (SELECT x.k, x.id, x.own, y.own AS other, avg(list_distance(x.v, y.v)) AS d FROM c x JOIN c y ON x.k = y.k AND x.id <> y.id GROUP BY ALL),
 s AS (SELECT k, id, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM m GROUP BY ALL)
 SELECT k, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS score FROM s GROUP BY k""")
 def silhouette_k(spark, d):
-    e = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("f"), F.col("embedding")[1].cast("double").alias("g"), F.expr("label div 5").alias("2"), F.expr("label div 2").alias("5"))
-    return palette.silhouettes(e, ["2", "5"], ["f", "g"]).select(F.col("k").cast("int").alias("k"), F.round("score", 6).alias("score"))
+    """On at most palette.SAMPLE vectors, as the operator is defined: tables of more have a sample."""
+    dims = [f"f{i}" for i in range(64)]
+    e = T.table(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(dims)], F.expr("label div 5").alias("2"), F.expr("label div 2").alias("5"))
+    return palette.silhouettes(e, ["2", "5"], dims).select(F.col("k").cast("int").alias("k"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT n_regionkey AS grp, arg_min(n_nationkey, (-(n_nationkey % 3), n_nationkey)) AS k FROM nation GROUP BY 1")
+def best_count(spark, d):
+    n = T.table(spark, d, "nation")
+    parts = [palette.best_count(n.where(F.col("n_regionkey") == g).select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") % 3).alias("score"))).select(F.lit(g).alias("grp"), "k") for g in range(5)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("k IS NOT NULL")
+
+
+@query(T.sql("px", body="SELECT image_id, bool_or(alpha > 0 AND v < 2) AS any_black FROM px GROUP BY image_id"))
+def any_black(spark, d):
+    return palette.any_black(T.raster_px(spark, d), (F.col("alpha") > 0) & (F.col("v") < 2))
+
+
+@query(T.sql("px", body="SELECT image_id, r, g, b, y, x FROM (SELECT image_id, y, x, v % 4 AS r, v % 2 AS g, v % 3 AS b, count(*) OVER (PARTITION BY image_id, v % 4, v % 2, v % 3) AS n, count(*) OVER (PARTITION BY image_id) AS total FROM px WHERE alpha > 0 AND (v % 4 + v % 2 + v % 3) > 0) WHERE n > total * 0.1::DOUBLE"))
+def colour_masks(spark, d):
+    px = T.raster_px(spark, d).select("image_id", "y", "x", (F.col("v") % 4).alias("r"), (F.col("v") % 2).alias("g"), (F.col("v") % 3).alias("b"), F.col("alpha").alias("a"))
+    return palette.colour_masks(px, 0.1).select("image_id", "r", "g", "b", "y", "x")
+
+
+@query()
+def colour_contours(spark, d):
+    """Outlines of each picture's prominent colours; tests hold them against hand-made masks."""
+    px = T.raster_px(spark, d).select("image_id", "y", "x", (F.col("v") % 2 + 1).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"), F.col("alpha").alias("a"))
+    return raster.colour_contours(px, 0.1, 1, 4)
+
+
+@query(T.sql("px", body="SELECT label, y, x, max(alpha) AS alpha FROM px JOIN embeddings ON vec_id = image_id GROUP BY ALL"))
+def max_stack(spark, d):
+    labels = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
+    return raster.max_stack(T.raster_px(spark, d).join(labels, "image_id"), "label", "alpha")
+
+
+@query(T.sql("px", body="SELECT image_id, y - y0 AS y, x - x0 AS x, v FROM px JOIN (SELECT vec_id, label - 2 AS y0, vec_id % 6 AS x0 FROM embeddings) s ON s.vec_id = image_id WHERE y0 >= 0 AND x0 >= 0 AND y0 + 4 <= 8 AND x0 + 4 <= 8 AND y >= y0 AND y < y0 + 4 AND x >= x0 AND x < x0 + 4"))
+def square_crop(spark, d):
+    squares = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), (F.col("label") - 2).alias("y0"), (F.col("vec_id") % 6).alias("x0"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    return raster.square_crop(T.raster_px(spark, d), squares, 4).select("image_id", "y", "x", "v")
+
+
+@query(T.sql("px", body="SELECT m.image_id, m.y, m.x, s.v FROM px m JOIN px s ON s.image_id = m.image_id + 1 AND s.y = trunc(m.y - 1.5::DOUBLE)::INT AND s.x = trunc(m.x + 2.5::DOUBLE)::INT WHERE m.alpha > 0"))
+def pixel_gather(spark, d):
+    px = T.raster_px(spark, d)
+    src = px.select((F.col("image_id") - 1).alias("image_id"), "y", "x", "v")
+    return raster.gathered(px.where("alpha > 0"), src, F.lit(1.5), F.lit(-2.5)).select("image_id", "y", "x", "v")
+
+
+@query(T.sql("px", body="SELECT image_id, y, x, CASE WHEN alpha > 0 AND v > 50 THEN 255 WHEN alpha > 0 OR v > 50 THEN 140 ELSE 0 END AS s, CASE WHEN alpha > 0 OR v > 50 THEN 140 ELSE 0 END AS m FROM px"))
+def soft_mask(spark, d):
+    px = T.raster_px(spark, d).withColumns({"one": F.col("alpha") > 0, "two": F.col("v") > 50})
+    both = raster.soft_mask(raster.soft_mask(px, "one", "two", 140.0).withColumnRenamed("alpha", "s"), "one", "two", 140.0, "max")
+    return both.select("image_id", "y", "x", "s", F.col("alpha").alias("m"))
+
+
+@query(T.sql("cp", body="SELECT frag_id, sum(n)::BIGINT AS n FROM (SELECT frag_id, floor(hi) - ceil(lo) + 1 AS n FROM (SELECT frag_id, r, c AS lo, lead(c) OVER w AS hi, row_number() OVER w AS i FROM (SELECT frag_id, r, x + (r - y) / (y1 - y) * (x1 - x) AS c FROM (SELECT frag_id, y, x, y1, x1, unnest(range(greatest(0, floor(least(y, y1))::INT), least(399, ceil(greatest(y, y1))::INT) + 1)) AS r FROM (SELECT frag_id, y + 200 AS y, x + 200 AS x, coalesce(lead(y) OVER v, first(y) OVER v) + 200 AS y1, coalesce(lead(x) OVER v, first(x) OVER v) + 200 AS x1 FROM cp WINDOW v AS (PARTITION BY frag_id ORDER BY k))) WHERE (y <= r) <> (y1 <= r)) WINDOW w AS (PARTITION BY frag_id, r ORDER BY c)) WHERE i % 2 = 1) WHERE n > 0 GROUP BY frag_id"))
+def polygon_fill(spark, d):
+    rows = raster.filled(T.contour_point(spark, d), (400, 400), 200.0)
+    return rows.groupBy("frag_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
+
+
+@query(T.sql("px", body="SELECT status, count(*) AS n FROM (SELECT i.image_id, CASE WHEN max(e.image_id) IS NULL THEN 'skipped' ELSE 'processed' END AS status FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN (SELECT p.image_id FROM px p JOIN px q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY p.image_id, p.y, p.x HAVING min(q.alpha) > 250) e ON e.image_id = i.image_id GROUP BY i.image_id) GROUP BY status"))
+def crop_counts(spark, d):
+    px = T.raster_px(spark, d)
+    kept = raster.opaque_boxes(px).select("image_id", F.lit("processed").alias("status"))
+    return images.crop_counts(px.select("image_id").distinct().join(kept, "image_id", "left").withColumn("status", F.coalesce("status", F.lit("skipped"))))
+
+
+@query(T.sql("px", "cp", "cent", body="SELECT frag_id AS image_id, y0, x0, round(cy, 4) + 0 AS cy FROM cent JOIN (SELECT image_id, min(y) AS y0, min(x) AS x0 FROM px WHERE alpha > 250 GROUP BY image_id) b ON b.image_id = frag_id"))
+def image_parts(spark, d):
+    ids = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"))
+    boxes = raster.bounding_boxes(T.raster_px(spark, d), F.col("alpha") > 250).select("image_id", "y0", "x0")
+    centres = contour.centroids(T.contour_point(spark, d)).select(F.col("frag_id").alias("image_id"), r("cy").alias("cy"))
+    return images.with_parts(ids, masks=boxes, contours=centres).select("image_id", "y0", "x0", "cy")
+
+
+@query("SELECT vec_id AS image_id FROM embeddings WHERE label > 0 AND vec_id % 160 > 100")
+def usable_images(spark, d):
+    e = T.table(spark, d, "embeddings")
+    lists = F.when(F.col("label") > 0, F.array(F.sequence(F.lit(1), F.lit(3)), F.slice(F.sequence(F.lit(1), F.lit(200)), 1, (F.col("vec_id") % 160).cast("int")))).otherwise(F.array(F.sequence(F.lit(1), F.lit(200))))
+    return contour.usable_images(e.select(F.col("vec_id").alias("image_id"), lists.alias("contours"))).select("image_id")
+
+
+@query("SELECT part, label, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT 'pos' AS part, 1 AS label, n_nationkey AS id FROM nation UNION ALL SELECT 'neg', 0, r_regionkey FROM region) GROUP BY ALL")
+def labelled_union(spark, d):
+    parts = {"pos": (T.table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), 1), "neg": (T.table(spark, d, "region").select(F.col("r_regionkey").alias("id")), 0)}
+    return sampling.labelled(parts).groupBy("part", "label").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("SELECT p_partkey, replace(p_name, '/', '_') || CASE WHEN p_size % 2 = 0 THEN '_BACK' ELSE '' END AS stem, CASE WHEN p_size % 2 = 0 THEN 'verso' ELSE 'recto' END AS side FROM part")
+def path_parts(spark, d):
+    p = T.table(spark, d, "part")
+    path = F.concat(F.lit("/scans/"), "p_type", F.lit("/"), F.replace("p_name", F.lit("/"), F.lit("_")), F.when(F.col("p_size") % 2 == 0, "_BACK").otherwise(""), F.lit(".png"))
+    return p.select("p_partkey", path.alias("path")).select("p_partkey", pairs.stem(F.col("path")).alias("stem"), pairs.side_of(F.col("path")).alias("side"))
+
+
+@query(T.sql("cp", "cent", "arc", "sm", "pr", "cd", body="SELECT a, b, ia, ib, round(ty, 4) + 0 AS ty, round(tx, 4) + 0 AS tx FROM cd ORDER BY a, b, ia, ib LIMIT 100"))
+def candidate_limit(spark, d):
+    return sampling.first_candidates(_candidates(spark, d), ["a", "b", "ia", "ib"]).select("a", "b", "ia", "ib", r("ty").alias("ty"), r("tx").alias("tx"))
+
+
+@query(T.sql("ps", "tm", "bd", "cell", "tri", "ip", "mc", body="SELECT * FROM (SELECT iy, ix, round(gy, 4) + 0 AS gy, round(gx, 4) + 0 AS gx, round(s_sum, 4) + 0 AS s_sum, round(degrees(atan2(gx, gy)), 4) + 0 AS angle FROM mc WHERE pair_id = 3 ORDER BY s_sum DESC, iy * nx + ix DESC LIMIT 5)"))
+def top_of_pair(spark, d):
+    return merge.top_of_pair(_merged(spark, d), 3).select("iy", "ix", *[r(c).alias(c) for c in ("gy", "gx", "s_sum", "angle")])
+
+
+@query(T.sql("ps", "tm", body="SELECT p.idx AS i, q.idx AS j, round(s.score, 9) AS score FROM (WITH b AS (SELECT (pair_id // 5)::BIGINT AS a, (4 + pair_id % 5)::BIGINT AS b, max(score) AS score FROM tm GROUP BY pair_id), n AS (SELECT a AS name FROM b UNION SELECT b FROM b) SELECT a, b, score FROM b WHERE a <> b UNION ALL SELECT b, a, score FROM b WHERE a <> b UNION ALL SELECT name, name, 1.0::DOUBLE FROM n) s(a, b, score) JOIN (SELECT name, row_number() OVER (ORDER BY name) - 1 AS idx FROM (SELECT DISTINCT (pair_id // 5)::BIGINT AS name FROM tm UNION SELECT (4 + pair_id % 5)::BIGINT FROM tm)) p ON p.name = s.a JOIN (SELECT name, row_number() OVER (ORDER BY name) - 1 AS idx FROM (SELECT DISTINCT (pair_id // 5)::BIGINT AS name FROM tm UNION SELECT (4 + pair_id % 5)::BIGINT FROM tm)) q ON q.name = s.b"))
+def matrix_index(spark, d):
+    best = _means(spark, d).groupBy("pair_id").agg(F.max("score").alias("score"))
+    named = best.select(F.expr("pair_id div 5").alias("a"), (4 + F.col("pair_id") % 5).alias("b"), "score")
+    return report.indexed(report.score_matrix(named), report.name_index(report.fragment_names(named))).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("score", 9).alias("score"))
+
+
+_PATCHES = """c AS (SELECT e.vec_id AS a, e.vec_id + 1 AS b, t::INT AS translation_id, (t * 3 - 4 + e.vec_id % 3)::DOUBLE AS ty, (t * 2 - 3 - (e.vec_id + 1) % 2)::DOUBLE AS tx FROM embeddings e JOIN embeddings f ON f.vec_id = e.vec_id + 1, range(0, 4) r(t) WHERE e.vec_id % 13 <> 0 AND e.vec_id % 17 <> 0 AND (e.vec_id + 1) % 17 <> 0),
+put AS (SELECT a, b, translation_id, y + floor(-ty / 2)::INT AS y, x + floor(-tx / 2)::INT AS x, 0 AS z, v % 256 AS v FROM c JOIN px ON image_id = a AND alpha > 0 UNION ALL SELECT a, b, translation_id, y + floor(ty / 2)::INT, x + floor(tx / 2)::INT, 1, v % 256 FROM c JOIN px ON image_id = b AND alpha > 0),
+top AS (SELECT a, b, translation_id, y, x, arg_max(v, z) AS v FROM put WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 GROUP BY ALL), m AS (SELECT a, b, translation_id, count(*) / 64.0::DOUBLE AS n, sum(v) / 255.0::DOUBLE / 64 AS s FROM top GROUP BY ALL)"""
+
+
+@query(f"WITH {T.SQL['px']}, {_PATCHES} SELECT c.a, c.b, c.translation_id, round(1 / (1 + exp(-(4 * coalesce(n, 0) - 2 * coalesce(s, 0)))), 3) AS score FROM c LEFT JOIN m ON m.a = c.a AND m.translation_id = c.translation_id")
+def patch_scores(spark, d):
+    """Pictures and poses to patches to scores, by the model-free baseline."""
+    _, contacts = T.raster_contacts(spark, d)
+    scores = patches.scores_of(patches.scored(T.raster_images(spark, d), contacts, score.baseline, 8, 8))
+    return scores.select("a", "b", "translation_id", F.round(F.col("score").cast("double"), 3).alias("score"))
+
+
+@query("SELECT e.vec_id AS a, e.vec_id + 1 AS b, CASE WHEN e.vec_id % 13 = 0 THEN 'no pose' WHEN e.vec_id % 17 = 0 OR (e.vec_id + 1) % 17 = 0 THEN 'unreadable' ELSE 'done' END AS status FROM embeddings e JOIN embeddings f ON f.vec_id = e.vec_id + 1")
+def pair_status(spark, d):
+    every, contacts = T.raster_contacts(spark, d)
+    results = patches.scored(T.raster_images(spark, d), contacts, score.baseline, 8, 8)
+    return patches.status_of(every, results).select("a", "b", "status")
 
 
 @query("SELECT vec_id, round(1 / (1 + exp(-(4 * list_avg(embedding[49:64]) - 2 * abs(list_avg(embedding[1:48]))))), 3) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)")

@@ -13,4 +13,5 @@ POSE = "pair_id long, translation_id int, ay double, ax double, by double, bx do
 PATCH_SCORE = "pair_id long, side string, translation_id int, patch_idx int, score float, ty double, tx double, ay double, ax double, by double, bx double"
 MERGED_CELL = "pair_id long, iy int, ix int, gy double, gx double, s_recto double, s_verso double, s_sum double, tid_recto int, tid_verso int"
 MASK_PX = "image_id string, y int, x int, r smallint, g smallint, b smallint, a smallint"
-PAIR_STATUS = "pair_id long, side string, status string, error string"
+#: How a pair ended: done, no pose, unreadable or failed.
+PAIR_STATUS = "a string, b string, side string, status string, error string"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import warnings
 import zlib
 
 import numpy as np
@@ -115,21 +116,69 @@ def channel_masks(px: DataFrame) -> DataFrame:
     return t.groupBy("image_id", F.col("e.channel").alias("channel")).agg(*[f(v).alias(f"{v}{k}") for k, f in ((0, F.min), (1, F.max)) for v in "yx"])
 
 
+def channel_crops(px: DataFrame) -> DataFrame:
+    """(image_id, channel, y0, x0, png): the picture of each channel's selected pixels, cut to their box; what is not selected is transparent."""
+    from fragloom.functions.batches import whole_groups
+
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in "rgb"]))
+    rows = px.select("image_id", "y", "x", "r", "g", "b", each.alias("e")).where("e.v > 0").select("image_id", "e.channel", "y", "x", "r", "g", "b")
+
+    def run(batches):
+        for t, starts in whole_groups(batches, ["image_id", "channel"]):
+            y, x = t.column("y").to_numpy(), t.column("x").to_numpy()
+            bgr = np.column_stack([t.column(c).to_numpy() for c in "bgr"])
+            out, top, left = [], [], []
+            for i, j in zip(starts, np.append(starts[1:], t.num_rows)):
+                y0, x0 = y[i:j].min(), x[i:j].min()
+                picture = np.zeros((int(y[i:j].max() - y0) + 1, int(x[i:j].max() - x0) + 1, 4), np.uint8)
+                picture[y[i:j] - y0, x[i:j] - x0, :3] = bgr[i:j]
+                picture[y[i:j] - y0, x[i:j] - x0, 3] = 255
+                out.append(encode_png(picture))
+                top.append(int(y0))
+                left.append(int(x0))
+            of = pa.array(starts)
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(of) for c in ("image_id", "channel")] + [pa.array(top, pa.int32()), pa.array(left, pa.int32()), pa.array(out, pa.binary())], ["image_id", "channel", "y0", "x0", "png"])
+
+    rows = rows.repartition("image_id", "channel").sortWithinPartitions("image_id", "channel")
+    return rows.mapInArrow(run, f"image_id {dict(px.dtypes)['image_id']}, channel string, y0 int, x0 int, png binary")
+
+
+def crop_counts(crops: DataFrame) -> DataFrame:
+    """(status, n): how many pictures were processed and skipped."""
+    return crops.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def with_parts(ids: DataFrame, **parts: DataFrame) -> DataFrame:
+    """The ids (image_id) that have all parts (masks, pictures, contours; tables by image_id), with the parts' columns."""
+    out = ids
+    for part in parts.values():
+        out = out.join(part, "image_id")
+    return out
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     """Append patch scores, a folder for each side."""
     scores.write.mode("append").partitionBy("side").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """The patch scores under ``path``; none, with a warning, where nothing has been written."""
     from fragloom.schemas import PATCH_SCORE
 
+    if not exists(spark, path):
+        warnings.warn(f"no scores in {path}", stacklevel=2)
+        return spark.createDataFrame([], PATCH_SCORE)
     return spark.read.schema(PATCH_SCORE).parquet(path)
 
 
 def cached(path: str, compute, spark: SparkSession, force: bool = False) -> DataFrame:
     """The table at ``path`` (which names all parameters), computed and written if it is absent or ``force`` is set."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if force or not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if force or not exists(spark, f"{path}/_SUCCESS"):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

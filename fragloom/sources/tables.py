@@ -77,6 +77,32 @@ def colour_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("img"), F.col("l_quantity").cast("int").alias("colour"))
 
 
+def raster_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frag_id, side, data, height, width, n_channels, status): the pictures of ``raster_px`` in BGRA bytes, colour v mod 256; every 17th cannot be read."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            e = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, 64)
+            grey = (np.floor(np.abs(e) * 1000).astype(np.int64) % 256).astype(np.uint8)
+            data = np.stack([grey, grey, grey, np.where(e > 0, 255, 0).astype(np.uint8)], axis=2)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([p.tobytes() for p in data], pa.binary())], ["frag_id", "data"])
+
+    t = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "frag_id long, data binary")
+    size = {c: F.lit(n) for c, n in (("height", 8), ("width", 8), ("n_channels", 4))}
+    return t.withColumns({"side": F.lit("recto"), **size, "status": F.when(F.col("frag_id") % 17 == 0, "corrupt").otherwise("ok")})
+
+
+def raster_contacts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, side) of pictures that follow each other, and four poses of each with one contact; every 13th pair has no pose."""
+    ids = table(spark, sf_dir, "embeddings").select("vec_id")
+    pairs = ids.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b")).join(ids.select(F.col("vec_id").alias("b")), "b").select("a", "b", F.lit("recto").alias("side"))
+    t = pairs.where("a % 13 <> 0").withColumn("translation_id", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    moved = {"ty": (F.col("translation_id") * 3 - 4 + F.col("a") % 3).cast("double"), "tx": (F.col("translation_id") * 2 - 3 - F.col("b") % 2).cast("double")}
+    return pairs, t.withColumns({"patch_idx": F.lit(0), **moved, **{c: F.lit(4.0) for c in ("py", "px", "qy", "qx")}})
+
+
 SQL = {
     "cp": "cp AS (SELECT frag_id, image_id, k, round(100.0::DOUBLE * (1 + e) * sin(2 * pi() * k / 64), 6) AS y, round(100.0::DOUBLE * (1 + e) * cos(2 * pi() * k / 64), 6) AS x FROM (SELECT vec_id AS frag_id, label AS image_id, unnest(range(0, len(embedding)))::INT AS k, unnest(embedding)::DOUBLE AS e FROM embeddings))",
     "px": "px AS (SELECT image_id, (k // 8)::INT AS y, (k % 8)::INT AS x, CASE WHEN e > 0 THEN 255 ELSE 0 END AS alpha, floor(abs(e) * 1000)::INT AS v FROM (SELECT vec_id AS image_id, unnest(range(0, len(embedding))) AS k, unnest(embedding)::DOUBLE AS e FROM embeddings))",

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fragloom.operators import merge, metrics, report, sampling
+from fragloom.operators import merge, metrics, pairs, report, sampling
 from fragloom.plans import matching
 
 SCHEMA = "pair_id long, side string, translation_id int, patch_idx int, score double, ty double, tx double"
@@ -68,10 +68,30 @@ def test_mirror_is_an_involution(spark):
     assert {(r["iy"], r["ix"]): r["s_verso"] for r in again.collect()} == {(iy, ix): float(10 * iy + ix) for iy in range(2) for ix in range(4)}
 
 
-def test_moving_average_at_the_ends(spark):
-    t = spark.createDataFrame([(1, "recto", i, float(v), 1.0, float(i)) for i, v in enumerate((1, 2, 3))], "pair_id long, side string, translation_id int, score double, ty double, tx double")
-    got = [r["smooth"] for r in report.angle_profile(t, ["pair_id", "side"]).orderBy("angle").collect()]
-    assert got == pytest.approx([6 / 5, 6 / 5, 6 / 5])
+@pytest.mark.parametrize("values", [(1,), (1, 2), (1, 2, 3), (4, 1, 7, 2), (1, 2, 3, 4, 5), (3, 1, 4, 1, 5, 9, 2)])
+def test_moving_average_at_the_ends(spark, values):
+    """As numpy's convolution of the profile and the window, which has the length of the longer one."""
+    t = spark.createDataFrame([(1, "recto", i, float(v), 1.0, float(i)) for i, v in enumerate(values)], "pair_id long, side string, translation_id int, score double, ty double, tx double")
+    got = report.angle_profile(t, ["pair_id", "side"]).orderBy(F.col("angle").asc_nulls_last(), F.desc("smooth")).collect()
+    want = np.convolve(values, np.ones(5) / 5, mode="same").tolist()
+    assert [r["smooth"] for r in got[: len(values)]] == pytest.approx(want[: len(values)])
+    assert sorted(r["smooth"] for r in got) == pytest.approx(sorted(want))
+    if values == (1, 2, 3):
+        assert sorted(r["smooth"] for r in got) == pytest.approx([0.6, 1.0, 1.2, 1.2, 1.2])
+
+
+def test_side_names_by_prefix(spark):
+    recto = spark.createDataFrame([("1", "22"), ("10", "22"), ("x", "y")], "a string, b string")
+    verso = spark.createDataFrame([("1_back", "22_back"), ("10_back", "22_back"), ("10_back", "2_back"), (None, "y_back")], "a string, b string")
+    got = {(r["a"], r["b"]): (r["verso_a"], r["verso_b"]) for r in pairs.match_sides(recto, verso).collect()}
+    assert got == {("1", "22"): ("10_back", "22_back"), ("10", "22"): ("10_back", "22_back")}
+    assert pairs.match_sides(recto.limit(0), verso).count() == 0
+
+
+def test_all_pairs_of_one_large_group(spark):
+    t = spark.range(150).select(F.col("id").alias("frag_id"), F.lit("recto").alias("side"))
+    got = {(r["a"], r["b"]) for r in pairs.all_pairs(t, "side").collect()}
+    assert got == {(a, b) for b in range(150) for a in range(b)}
 
 
 def test_lookup(spark):
