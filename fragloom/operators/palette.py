@@ -45,9 +45,8 @@ def silhouettes(points: DataFrame, labels: list[str], features: list[str], sampl
     def run(batches):
         x, codes = held.value
         for b in batches:
-            start = b.column("start").to_numpy()
-            for i in start:
-                mine = slice(int(i), min(int(i) + 100, len(x)))
+            for i in (k for start in b.column("start").to_pylist() for k in range(start, min(start + 100, len(x)), 10)):
+                mine = slice(i, min(i + 10, len(x)))
                 d = np.sqrt(np.maximum(((x[mine, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
                 for name, code in zip(labels, codes):
                     n = np.bincount(code)
