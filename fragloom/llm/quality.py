@@ -29,12 +29,12 @@ class QualityModel:
     threshold: float = 0.3
 
 
-def gather(sample: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def gather(sample: DataFrame, kinds=features.KINDS) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Features and labels of a bounded sample (doc_id, text, y), in the order of doc_id; the features are made on the executors."""
 
     def run(batches):
         for b in tc.chunks(batches):
-            rows = features.sparse(b.column("text"))
+            rows = features.sparse(b.column("text"), kinds)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("y"), pa.array([c.astype("<i4").tobytes() for c, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary())],
                 ["doc_id", "y", "at", "value"],
