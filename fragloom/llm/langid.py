@@ -20,15 +20,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from . import textcols as tc
 
-#: Training bounds: labelled texts of each language, languages, landmarks, bytes of a text used for training.
+#: Training bounds: labelled texts of each language and of all languages together (every language keeps one at least), landmarks.
 SAMPLE_PER_LANG = 300
-MAX_LANGS = 200
+SAMPLE_ROWS = 10_000
 LANDMARKS = 256
-SAMPLE_CHARS = 30_000
 BITS = 13
 SPECTRUM = (1, 2, 3)
 ROWS = 256
@@ -62,45 +62,67 @@ def presence(texts: pa.Array) -> np.ndarray:
     return out.reshape(len(clean), 1 << BITS)
 
 
+def _kernel(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The kernel of each row of presences with each landmark (unit rows), a thousand rows at a time."""
+    out = np.empty((len(x), len(z)))
+    for k in range(0, len(x), 1000):
+        part = x[k : k + 1000].astype(np.float32)
+        out[k : k + 1000] = part @ z.T / np.maximum(np.sqrt(part.sum(axis=1, keepdims=True)), 1)
+    return out
+
+
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = 0.01, seed: int = 42) -> LangModel:
-    """One-versus-rest kernel ridge regression in the span of the landmarks."""
-    names = sorted(set(langs))
-    if not names:
+    """``fit_presence`` of texts."""
+    return fit_presence(presence(pa.array(texts, pa.string())), langs, landmarks, ridge, seed)
+
+
+def fit_presence(x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = 0.01, seed: int = 42) -> LangModel:
+    """One-versus-rest kernel ridge regression in the span of the landmarks, of rows of presences and their languages."""
+    names, code, count = np.unique(np.array(langs, dtype=object), return_inverse=True, return_counts=True)
+    if not len(names):
         return LangModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    x = presence(pa.array(texts, pa.string())).astype(np.float32)
-    x /= np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
-    y = np.array([[1.0 if a == b else -1.0 for b in names] for a in langs])
-    pick = np.sort(np.random.default_rng(seed).permutation(len(x))[:landmarks])
-    z = x[pick]
-    kmm, knm = (z @ z.T).astype(np.float64), (x @ z.T).astype(np.float64)
-    balance = np.sqrt(1 / np.array([langs.count(a) for a in langs]) * len(langs) / len(names))[:, None]
+    y = np.full((len(x), len(names)), -1.0)
+    y[np.arange(len(x)), code] = 1.0
+    pick = np.sort(np.random.default_rng(seed).permutation(len(x))[: max(landmarks, min(2 * len(names), 2048))])
+    z = x[pick].astype(np.float32)
+    z /= np.maximum(np.sqrt(z.sum(axis=1, keepdims=True)), 1)
+    kmm, knm = (z @ z.T).astype(np.float64), _kernel(x, z)
+    balance = np.sqrt(len(langs) / len(names) / count[code])[:, None]
     bias = y.mean(axis=0) if len(names) == 1 else np.zeros(len(names))
     a = (knm * balance).T @ (knm * balance) + ridge * len(x) / max(len(pick), 1) * kmm + 1e-6 * np.eye(len(pick))
     alpha = np.linalg.solve(a, (knm * balance).T @ ((y - bias) * balance))
-    return LangModel(names, (z.T.astype(np.float64) @ alpha).astype(np.float32), bias)
+    return LangModel([str(n) for n in names], (z.T.astype(np.float64) @ alpha).astype(np.float32), bias)
 
 
-def train(documents: DataFrame, usable, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CHARS) -> LangModel:
-    """Learn the values of ``lang`` from a bounded sample of the documents for which ``usable`` holds.
+def train(documents: DataFrame, usable, per_lang: int = SAMPLE_PER_LANG, rows: int = SAMPLE_ROWS) -> LangModel:
+    """Learn every value of ``lang`` from a bounded sample of the documents for which ``usable`` holds.
 
-    Languages are counted first (the MAX_LANGS most frequent are learnt). A text then belongs to the sample if a hash of its id falls under
-    its language's share, per_lang / count: one scan, no shuffle, and the same sample for any partitioning.
-    At most ``per_lang`` texts of a language, those with the smallest hashes, are kept of it.
+    Languages are counted first. A text then belongs to the sample if a hash of its id falls under its language's share, per_lang / count; of those the
+    ``per_lang`` with the smallest hashes are kept: the same sample for any partitioning. Texts are taken whole, and become rows of presences (one kilobyte each) on the executors.
     """
-    labelled = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & usable & F.octet_length("text").between(1, chars))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    spark = documents.sparkSession
+    labelled = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & usable & (F.octet_length("text") > 0))
+    counts = sorted((r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect())  # the model has a column for each
     if not counts:
         return fit([], [])
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 1.3 * per_lang / n))])
+    per_lang = max(1, min(per_lang, rows // len(counts)))
+    share = F.broadcast(spark.createDataFrame([(lang, min(1.0, (1.3 * per_lang + 10) / n)) for lang, n in counts], "lang string, share double"))
     h = F.xxhash64("doc_id")
-    chosen = labelled.where(F.pmod(h, F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    got = sorted(chosen.select(h.alias("h"), "lang", "text").take(2 * len(counts) * per_lang), key=lambda r: (r["h"] % (1 << 40), r["text"]))
-    kept, seen = [], dict.fromkeys(counts, 0)
-    for r in got:
-        if seen[r["lang"]] < per_lang:
-            seen[r["lang"]] += 1
-            kept.append(r)
-    return fit([r["text"] for r in kept], [r["lang"] for r in kept])
+    place = F.pmod(h, F.lit(1 << 40))
+    chosen = labelled.select("lang", "text", place.alias("place")).join(share, "lang").where(F.col("place") / F.lit(float(1 << 40)) < F.col("share"))
+    order = Window.partitionBy("lang").orderBy("place", F.xxhash64("text"), "text")
+    chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("place", "lang", "n", "text")
+
+    def run(batches):
+        for big in tc.chunks(batches):
+            for at in range(0, big.num_rows, ROWS):
+                b = big.slice(at, ROWS)
+                bits = np.packbits(presence(b.column("text")), axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("place"), b.column("lang"), b.column("n"), pa.array([r.tobytes() for r in bits], pa.binary())], ["place", "lang", "n", "bits"])
+
+    got = sorted(tc.map_arrow(chosen, run, "place long, lang string, n int, bits binary").collect(), key=lambda r: (r["place"], r["lang"], r["n"]))
+    x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1), axis=1)
+    return fit_presence(x, [r["lang"] for r in got])
 
 
 def identify(documents: DataFrame, model: LangModel) -> DataFrame:
