@@ -1,4 +1,4 @@
-"""Substring dedup: remove the words of every window of 35 words that also starts anywhere else. Level-wise doubling.
+"""Substring dedup: remove the words of every window of 35 words that also starts anywhere else, by levels of ever longer repeated windows.
 
 A window's hash is built by doubling: 1, 2, 4, 8, 16, 32 words, and two of 32 that overlap make 35. Candidates are
 narrowed level by level, and only windows repeated at one level are extended to the next:
@@ -10,7 +10,7 @@ runs      Runs with a repeated anchor are extended to all their words (35 to 62)
 level 35  The windows of the runs left over, and those of the representatives, are counted by hash.
 
 What moves between machines is runs and hashes, and the texts twice, compressed. Counts are pre-aggregated, and hot windows only meet in joins that Spark may split.
-Hashes have 64 bits.
+What is compared at the end has 128 bits (a whole run by its hash and its anchor's, a window by two hashes), so that of 1e13 windows no two unequal ones are expected to agree.
 
 Defined results: a null or empty text has no words; rows that are repeated are occurrences of their own, so all their windows go; rows may share an id or have none (they are then told apart by id and
 text); an empty table gives no rows; other columns are passed by. Very long texts are processed whole.
@@ -159,12 +159,12 @@ def _window_rows(batches):
         used = np.flatnonzero(np.isin(group, of))
         used = used[np.unique(group[used], return_index=True)[1]]  # texts of one key are alike
         h, at = word_hashes(pa.array([texts[i] for i in used], pa.string()))
-        full = window_hashes(h, WINDOW)
+        full, second = window_hashes(h, WINDOW), window_hashes(tc.mix(h ^ GOLDEN), WINDOW)
         slot = np.searchsorted(group[used], of)
         mark, w = _spread(first, n)
         key = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
         yield pa.RecordBatch.from_arrays(
-            [pa.array(full[at[slot[mark]] + w].view(np.int64)), key.take(pa.array(used[slot[mark]])), pa.array(w.astype(np.int32)), pa.array(kind[mark] == 2)], ["h", "key", "first", "known"]
+            [pa.array(full[at[slot[mark]] + w].view(np.int64)), pa.array(second[at[slot[mark]] + w].view(np.int64)), key.take(pa.array(used[slot[mark]])), pa.array(w.astype(np.int32)), pa.array(kind[mark] == 2)], ["h", "h2", "key", "first", "known"]
         )
 
 
@@ -193,16 +193,19 @@ def _kept_rows(batches):
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(key, first, n): runs of windows of ``docs`` (key, doc_id, text) that also start elsewhere."""
     found = tc.map_arrow(docs.select("key", "text"), _run_rows, "anchor long, whole long, key long, first int, n int")
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor", F.xxhash64("anchor").alias("again"))
-    level = common.written(found.withColumn("again", F.xxhash64("anchor")).join(anchors, ["anchor", "again"]).select("whole", "key", "first", "n"), "substring-runs")
-    wholes = level.groupBy("whole", "n").agg(F.count("*").alias("times"), F.min(F.struct("key", "first")).alias("one")).where("times > 1").withColumn("again", F.xxhash64("whole", "n")).drop("times")
-    runs_now = common.written(
-        level.withColumn("again", F.xxhash64("whole", "n")).join(wholes, ["whole", "n", "again"], "left").select("key", "first", "n", F.col("one").isNotNull().alias("known"), (F.col("one") == F.struct("key", "first")).alias("one")), "substring-settled"
-    )
-    windows = tc.map_arrow(_with_marks(docs, runs_now.where("NOT known OR one").select("key", "first", "n", "known")), _window_rows, "h long, key long, first int, known boolean")
+    found = common.written(found, "substring-found")  # read twice below; the texts are hashed once
+    again = lambda *c: F.xxhash64(*c).alias("again")
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor", again("anchor"))
+    level = common.written(found.withColumn("again", again("anchor")).join(anchors, ["anchor", "again"]).drop("again"), "substring-runs")
+    same = ["whole", "anchor", "n"]
+    wholes = level.groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("key", "first")).alias("one")).where("times > 1").select(*same, again(*same), "one")
+    runs_now = level.withColumn("again", again(*same)).join(wholes, [*same, "again"], "left")
+    runs_now = common.written(runs_now.select("key", "first", "n", F.col("one").isNotNull().alias("known"), (F.col("one") == F.struct("key", "first")).alias("one")), "substring-settled")
+    windows = tc.map_arrow(_with_marks(docs, runs_now.where("NOT known OR one").select("key", "first", "n", "known")), _window_rows, "h long, h2 long, key long, first int, known boolean")
     windows = common.written(windows, "substring-windows")
-    again = windows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h", F.xxhash64("h").alias("again"))
-    late = windows.where("NOT known").withColumn("again", F.xxhash64("h")).join(again, ["h", "again"]).select("key", "first", F.lit(1).alias("n"))
+    common.delete(found, level)
+    repeated = windows.groupBy("h", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h", "h2", again("h"))
+    late = windows.where("NOT known").withColumn("again", again("h")).join(repeated, ["h", "h2", "again"]).select("key", "first", F.lit(1).alias("n"))
     return runs_now.where("known").select("key", "first", "n").unionByName(late)
 
 
