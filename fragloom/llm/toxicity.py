@@ -182,7 +182,12 @@ def fit(texts: list[str], y: np.ndarray, threshold: float = 0.7, epochs: int = 5
             trans_g += gt * gt
             theta -= rate * g / np.sqrt(theta_g) * (g != 0)
             trans -= rate * gt / np.sqrt(trans_g)
-    x = _top_two(marginals(theta[where].sum(axis=1)[code], at, trans), at)
+    e, x = theta[where].sum(axis=1), []
+    for part in np.array_split(np.arange(len(y)), max(1, len(code) // 200_000)):  # the chain takes some three hundred bytes a word
+        i, j = (part[0], part[-1] + 1) if len(part) else (0, 0)
+        cut = at[i : j + 1] - at[i]
+        x.append(_top_two(marginals(e[code[at[i] : at[j]]], cut, trans), cut))
+    x = np.concatenate(x)
     if aside.any():
         return ToxicityModel(theta.astype(np.float32), trans, _curve(x[aside], y[aside]), threshold)
     # too few texts to set some aside: those that the chain has learnt look surer than others will, so the curve is kept flat
