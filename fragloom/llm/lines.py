@@ -380,27 +380,14 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 #: Beyond this length few edits are looked for along diagonals before all cells are gone through.
 LONG = 1000
-#: Beyond this length lines that share too few q-grams are told apart without a search.
-SHARED = 150
 #: How many edits that search goes up to.
 FEW = 48
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Edit distance, or some number over ``most`` if it is more: equal ends are cut off, then bit-parallel columns, or diagonals for few edits in long lines."""
-    x, y = (np.frombuffer(s.encode("utf-32-le"), "<u4") for s in (a, b))
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[:n] != y[:n])
-    head = int(differ[0]) if len(differ) else n
-    x, y = x[head:], y[head:]
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
-    tail = int(differ[0]) if len(differ) else n
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
+def edit_distance(x: np.ndarray, y: np.ndarray, most: int) -> int:
+    """Edit distance of two arrays of characters, or some number over ``most`` if it is more: bit-parallel columns, or diagonals for few edits in long lines."""
     if not len(x) or not len(y) or abs(len(x) - len(y)) > most:
         return max(len(x), len(y)) if abs(len(x) - len(y)) <= most else most + 1
-    if max(len(x), len(y)) > SHARED and not _shared(x, y, most):
-        return most + 1
     if max(len(x), len(y)) > LONG:
         d = _few_edits(x, y, min(most, FEW))
         if d <= min(most, FEW):
@@ -410,23 +397,6 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return _columns(x.tolist(), y.tolist())
 
 
-def _shared(x: np.ndarray, y: np.ndarray, most: int, q: int = 5) -> bool:
-    """Could the edits be at most ``most``? Each edit touches q of the q-grams, so the others must be shared."""
-
-    def grams(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = np.zeros(len(s) - q + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(q):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + s[k : len(s) - q + 1 + k].astype(np.uint64)
-        return np.unique(h, return_counts=True)
-
-    if min(len(x), len(y)) < q:
-        return True
-    (u, n), (v, m) = grams(x), grams(y)
-    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[j]).sum()) >= max(len(x), len(y)) - q + 1 - q * most
-
-
 def _columns(x: list[int], y: list[int]) -> int:
     """Edit distance by bit-parallel columns: one bit of a long integer for each character of x, one step for each of y."""
     places: dict[int, int] = {}
@@ -507,60 +477,37 @@ def _aligned(x: np.ndarray, xat: np.ndarray, y: np.ndarray, yat: np.ndarray, n:
     return same, np.bincount(row[hit], minlength=len(n))
 
 
-def _reached(x: np.ndarray, xat: np.ndarray, m: np.ndarray, y: np.ndarray, yat: np.ndarray, n: np.ndarray, slack: np.ndarray, codes: int, sign: int = 1) -> np.ndarray:
-    """For each pair the least edit distance of m characters of x and n - slack ... n characters of y, from xat and yat on (``sign`` -1: backwards). Codes are below ``codes``.
+#: Grams of the filter on pairs, and how many places its table has for each.
+LONG_GRAM = 6
+ROOM = 16
 
-    Bit-parallel columns, all pairs at once: a bit for each character of x in words of 64, a step for each character of y.
-    """
-    pairs, blocks = len(m), int(-(-m.max(initial=1) // 64))
-    order = np.argsort(-n, kind="stable")
-    xat, m, yat, n, slack = (v[order] for v in (xat, m, yat, n, slack))
-    row = np.repeat(np.arange(pairs), m)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
-    eq = np.zeros(pairs * codes * blocks, np.uint64)
-    np.bitwise_or.at(eq, (row * codes + x[xat[row] + sign * k]) * blocks + (k >> 6), np.uint64(1) << (k & 63).astype(np.uint64))
-    eq = eq.reshape(pairs, codes, blocks)
-    one, top = np.uint64(1), np.uint64(63)
-    up = np.full((blocks, pairs), ~np.uint64(0))
-    down = np.zeros((blocks, pairs), np.uint64)
-    last, bit = (m - 1) >> 6, ((m - 1) & 63).astype(np.uint64)
-    score, best = m.astype(np.int64), np.where(n - slack <= 0, m, 1 << 40)
-    live, at = pairs, np.arange(pairs)
-    for step in range(int(n[0]) if pairs else 0):
-        while live and n[live - 1] <= step:
-            live -= 1
-        masks = eq[at[:live], y[yat[:live] + sign * step]]
-        plus, minus = np.ones(live, np.uint64), np.zeros(live, np.uint64)  # the row above grows by one each step
-        for b in range(blocks):
-            e, u, d = masks[:, b], up[b, :live], down[b, :live]
-            v = e | d
-            e = e | minus
-            h = (((e & u) + u) ^ u) | e
-            p, q = d | ~(h | u), u & h
-            here = last[:live] == b
-            if here.any():
-                score[:live] += np.where(here, (p >> bit[:live] & one).astype(np.int64) - (q >> bit[:live] & one).astype(np.int64), 0)
-            p_out, q_out = p >> top, q >> top
-            p, q = p << one | plus, q << one | minus
-            up[b, :live] = q | ~(v | p)
-            down[b, :live] = p & v
-            plus, minus = p_out, q_out
-        best[:live] = np.where(step + 1 >= n[:live] - slack[:live], np.minimum(best[:live], score[:live]), best[:live])
-    out = np.empty(pairs, np.int64)
-    out[order] = best
-    return out
 
+def _shared_grams(x: np.ndarray, xat: np.ndarray, y: np.ndarray, yat: np.ndarray) -> np.ndarray:
+    """For each pair at least as many as there are places of x whose gram stands anywhere in y."""
+
+    def named(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = tc.row_of(at)
+        n = max(len(flat) - LONG_GRAM + 1, 0)
+        h = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(LONG_GRAM):
+                h = h * GOLDEN + flat[k : n + k] + np.uint64(1)
+            h = (h + row[:n].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        inside = row[:n] == row[LONG_GRAM - 1 :]
+        return h[inside] >> (np.uint64(64) - bits), row[:n][inside]
 
-#: Lines up to this length are compared many at once, so many bytes of tables at a time.
-TOGETHER = 3000
-TABLE_BYTES = 32 << 20
+    bits = np.uint64(max(int(ROOM * max(len(y), 1)).bit_length(), 10))
+    table = np.zeros(1 << int(bits), bool)
+    table[named(y, yat)[0]] = True
+    h, row = named(x, xat)
+    return np.bincount(row[table[h]], minlength=len(xat) - 1)
 
 
 def similar_enough(one: pa.Array, two: pa.Array, most: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most ``most``.
 
-    Pairs that differ in one short stretch, or only in single characters of equally long lines, are settled by comparing columns. Of the others, the first third of the one has to be
-    near the start of the other, and so for the last third; what is left is compared whole.
+    Pairs that differ in one short stretch, or only in single characters of equally long lines, are settled by comparing columns; pairs that share too few
+    grams for their edits (each touches LONG_GRAM of them) are not similar; the others are compared one by one.
     """
     (x, xat), (y, yat) = _codes(one), _codes(two)
     nx, ny = np.diff(xat), np.diff(yat)
@@ -568,33 +515,11 @@ def similar_enough(one: pa.Array, two: pa.Array, most: np.ndarray) -> np.ndarray
     head, differ = _aligned(x, xat, y, yat, n, False)
     tail = np.minimum(_aligned(x, xat, y, yat, n, True)[0], n - head)
     out = (np.maximum(nx, ny) - head - tail <= most) | ((nx == ny) & (differ <= most))
-    left = np.flatnonzero(~out & (np.abs(nx - ny) <= most) & (n > 0))
-    for k in left[np.maximum(nx, ny)[left] > TOGETHER]:
-        out[k] = edit_distance(one[int(k)].as_py(), two[int(k)].as_py(), int(most[k])) <= most[k]
-    left = left[np.maximum(nx, ny)[left] <= TOGETHER]
-    if not len(left):
-        return out
-    seen = np.zeros(int(max(x.max(), y.max())) + 1, bool)
-    seen[x] = seen[y] = True
-    number = np.cumsum(seen) - 1
-    x, y, codes = number[x], number[y], int(number[-1]) + 1
-
-    def near(k: np.ndarray, m: np.ndarray, steps: np.ndarray, slack: np.ndarray, back: bool) -> np.ndarray:
-        kept = []
-        k_order = np.argsort(nx[k], kind="stable")
-        k, m, steps, slack = k[k_order], m[k_order], steps[k_order], slack[k_order]
-        room = max(1, min(4096, TABLE_BYTES // (8 * codes * int(-(-m.max(initial=1) // 64)))))
-        for i in range(0, len(k), room):
-            c = slice(i, i + room)
-            start = (xat[1:][k[c]] - 1, yat[1:][k[c]] - 1, -1) if back else (xat[:-1][k[c]], yat[:-1][k[c]], 1)
-            d = _reached(x, start[0], m[c], y, start[1], steps[c], slack[c], codes, start[2])
-            kept.append(k[c][d <= most[k[c]]])
-        return np.concatenate(kept) if kept else k
-
-    for back in (False, True):
-        third = np.maximum(nx[left] // 3, 1)
-        left = near(left, third, np.minimum(third + most[left], ny[left]), 2 * most[left], back)
-    out[near(left, nx[left], ny[left], np.zeros(len(left), np.int64), False)] = True
+    left = ~out & (np.abs(nx - ny) <= most)
+    left[left] = (_shared_grams(x, xat, y, yat) >= nx - LONG_GRAM + 1 - LONG_GRAM * most)[left]
+    for k in np.flatnonzero(left):
+        i, j = int(xat[k]), int(yat[k])
+        out[k] = edit_distance(x[i + head[k] : xat[k + 1] - tail[k]], y[j + head[k] : yat[k + 1] - tail[k]], int(most[k])) <= most[k]
     return out
 
 
