@@ -202,19 +202,31 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     items = texts(2)
     docs, _ = table(spark, items)
     b = spark.createDataFrame([(0, items[14])], "item_id long, text string")
-    want = Counter((r["doc_id"], r["n_hit"]) for r in decontam.contamination(docs, b).collect())
+    rows = lambda: Counter(tuple(map(str, r)) for r in decontam.contamination(docs, b, within=9).collect())
+    want = rows()
     monkeypatch.setattr(decontam, "BROADCAST_WORDS", 0)
-    assert Counter((r["doc_id"], r["n_hit"]) for r in decontam.contamination(docs, b).collect()) == want
+    monkeypatch.setattr(decontam, "BROADCAST_PLACES", 0)
+    assert rows() == want
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "x beta y alpha z"), (2, "alpha " + "q " * 30 + "beta")], "doc_id long, text string")
-    corpus = decontam.keyed(docs)
-    wanted = decontam.phrases(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
-    anchors = decontam.anchored(wanted, decontam.term_counts(corpus, wanted.select(F.explode("phrase").alias("term")), True))
-    index = decontam.postings(corpus, anchors.select("term"), 10, True)
-    assert [r["key"]["doc_id"] for r in decontam.proximity_matches(index, anchors, True).collect()] == [1]
-    assert decontam.phrase_matches(index, anchors, True).count() == 0
+    """All terms of a window near its rarest one, in any order: against brute force."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choice(words, int(rng.integers(0, 60))))) for i in range(60)] + [(70, "x beta y alpha z"), (71, "alpha " + "q " * 30 + "beta"), (None, "beta alpha")]
+    bench = [(1, "alpha beta"), (2, "w1 w2 w1"), (3, "w3 w4 w5 w6"), (4, "w7"), (5, "w8 nowhere")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    times = Counter(w for _, t in docs for w in t.split())
+    want = []
+    for i, t in docs:
+        w, near = t.split(), 0
+        for _, phrase in bench:
+            terms = phrase.split()
+            lead = min(range(len(terms)), key=lambda k: (times[terms[k]], k))
+            near += any(x == terms[lead] and set(terms) <= set(w[max(0, k - 9) : k + 10]) for k, x in enumerate(w))
+        want.append((i, near))
+    assert sum(n for _, n in want) > 50
+    assert Counter((r["doc_id"], r["n_near"]) for r in decontam.contamination(d, b, within=9).collect()) == Counter(want)
 
 
 def test_token_records(spark, tmp_path):
@@ -429,7 +441,7 @@ def test_edit_distance(monkeypatch):
             b[k : k + int(rng.integers(2))] = rng.choice(list("abc"), int(rng.integers(2))).tolist()
         true = edits("".join(a), "".join(b))
         for most in (0, 2, 5, 40):
-            d = lines.edit_distance("".join(a), "".join(b), most)
+            d = lines.edit_distance(*(np.array([ord(c) for c in s], np.uint64) for s in (a, b)), most)
             assert d == true if true <= most else d > most
 
 
