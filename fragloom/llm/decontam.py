@@ -82,13 +82,14 @@ def ranked(wanted: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def _looked_up(index: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
-    """The rows of ``wanted`` whose place (``on``) is in the index. Few of them are broadcast; for many, the index is cut to their documents first."""
+    """The rows of ``wanted`` whose place (``on``) is in the index. Few of them are broadcast; for many, only the lists of their terms are read, or only their documents, and both sides are shuffled."""
     wanted = written(wanted, "decontam-places")
     if wanted.count() <= BROADCAST_PLACES:
         return index.join(F.broadcast(wanted), on)
-    docs = written(wanted.select(*KEY).distinct(), "decontam-documents")
-    docs = F.broadcast(docs) if docs.count() <= BROADCAST_PLACES else docs
-    return index.join(docs, KEY).join(wanted, on)
+    for keys in (["term"], KEY):
+        some = written(wanted.select(*keys).distinct(), "decontam-wanted")
+        index = index.join(F.broadcast(some) if some.count() <= BROADCAST_PLACES else some, keys, "left_semi")
+    return index.join(wanted, on)
 
 
 def rarest(index: DataFrame, lists: DataFrame, small: bool) -> DataFrame:
