@@ -220,15 +220,34 @@ def resize(picture: np.ndarray, side: int) -> np.ndarray:
     return np.einsum("ay,yxc,bx->cab", weights(out.shape[0]), out, weights(out.shape[1]), optimize=True)
 
 
-def shift_texture(picture: np.ndarray, dy: float, dx: float) -> np.ndarray:
-    """The picture moved by a fraction of pixels, bilinear, clamped at the border."""
+def eroded_mask(mask: np.ndarray, size: int) -> np.ndarray:
+    """The mask without what lies within ``size`` pixels of its border, by squares; the picture's own border does not count as one."""
+    out = mask.copy()
+    for axis in (0, 1):
+        held = out.copy()
+        for k in range(1, size + 1):
+            for step in (k, -k):
+                moved = np.roll(held, step, axis)
+                edge = [slice(None)] * 2
+                edge[axis] = slice(0, k) if step > 0 else slice(-k, None)
+                moved[tuple(edge)] = True
+                out &= moved
+    return out
+
+
+def shift_texture(picture: np.ndarray, dy: float, dx: float, fill: bool = False) -> np.ndarray:
+    """The picture moved by a fraction of pixels, bilinear, clamped at the border; with ``fill`` what comes in from outside is transparent black."""
     h, w = picture.shape[:2]
     y, x = np.clip(np.arange(h) - dy, 0, h - 1), np.clip(np.arange(w) - dx, 0, w - 1)
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
     y1, x1, fy, fx = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1), (y - y0)[:, None, None], (x - x0)[None, :, None]
     p = picture.astype(np.float32)
     mixed = p[y0][:, x0] * (1 - fy) * (1 - fx) + p[y0][:, x1] * (1 - fy) * fx + p[y1][:, x0] * fy * (1 - fx) + p[y1][:, x1] * fy * fx
-    return np.round(mixed).astype(picture.dtype)
+    out = np.round(mixed).astype(picture.dtype)
+    if fill:
+        out[(np.arange(h) - dy < 0) | (np.arange(h) - dy > h - 1)] = 0
+        out[:, (np.arange(w) - dx < 0) | (np.arange(w) - dx > w - 1)] = 0
+    return out
 
 
 def uniform(seed: str) -> float:

@@ -33,10 +33,11 @@ def patches(one: np.ndarray, two: np.ndarray, at: np.ndarray, side: int, net_sid
     return np.stack([raster.resize(raster.patch(one, two, (r[0], r[1]), (r[2], r[3]), side, soft, combine), net_side) for r in at])
 
 
-def scored(images: DataFrame, contacts: DataFrame, make_model: Callable[[], Model], side: int = 224, net_side: int = 224, soft: float | None = None, combine: str = "sum", batch: int = BATCH) -> DataFrame:
+def scored(images: DataFrame, contacts: DataFrame, make_model: Callable[[], Model], side: int = 224, net_side: int = 224, soft: float | None = None, combine: str = "sum", batch: int = BATCH, transform: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Patch scores (a, b, side, translation_id, patch_idx, score, ...) and, with null numbers, one row of status for each pair that has contacts.
 
     images: ``schemas.IMAGE``; contacts: (a, b, side, translation_id, patch_idx, ty, tx, py, px, qy, qx) as ``pose.neighbours`` gives them.
+    ``transform`` changes the tensors [n, 4, net_side, net_side] before the model sees them.
     """
     offsets = pose.centred(contacts, side)
     rows = offsets.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int" if c in NUMBERS[:2] else "double").alias(c) for c in NUMBERS]))).alias("contacts"))
@@ -48,7 +49,8 @@ def scored(images: DataFrame, contacts: DataFrame, make_model: Callable[[], Mode
     def one_pair(model: Model, a, b, contacts) -> tuple[np.ndarray, np.ndarray]:
         at = np.array([[c[n] for n in NUMBERS] for c in contacts])
         x, y = rgba(a["data"], a["height"], a["width"]), rgba(b["data"], b["height"], b["width"])
-        z = [np.asarray(model(patches(x, y, at[k : k + batch, 8:], side, net_side, soft, combine)), np.float64).reshape(-1) for k in range(0, len(at), batch)]
+        made = (patches(x, y, at[k : k + batch, 8:], side, net_side, soft, combine) for k in range(0, len(at), batch))
+        z = [np.asarray(model(transform(p) if transform else p), np.float64).reshape(-1) for p in made]
         return at, 1 / (1 + np.exp(-np.concatenate(z)))
 
     def run(batches):

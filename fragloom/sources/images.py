@@ -77,6 +77,29 @@ def mask_pixels(images: DataFrame) -> DataFrame:
     return images.select("frag_id", "data", "height", "width", "n_channels").mapInArrow(run, "image_id string, y int, x int, r smallint, g smallint, b smallint, a smallint")
 
 
+class ExplodePixels:
+    """The table function behind ``explode_pixels``."""
+
+    def eval(self, data: bytes, height: int, width: int, channels: int):
+        if data is None or height is None or height <= 0:
+            return
+        p = pixels(data, height, width, channels)
+        for y in range(height):
+            for x in range(width):
+                v = p[y, x].tolist()
+                yield y, x, v[2], v[1], v[0], v[3] if channels == 4 else 255
+
+
+def explode_pixels():
+    """The table function explode_pixels(data, height, width, channels) -> (y, x, r, g, b, a), for SQL: register it with ``spark.udtf.register``.
+
+    It makes one Python row a pixel; ``mask_pixels`` does the same in Arrow columns and is the way for whole folders.
+    """
+    from pyspark.sql.functions import udtf
+
+    return udtf(ExplodePixels, returnType="y int, x int, r int, g int, b int, a int")
+
+
 def cropped(images: DataFrame, least: int = 250) -> DataFrame:
     """(frag_id, path, status, png): each picture cut to its opaque pixels, encoded; status processed, or skipped for corrupt and empty ones."""
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fragloom.functions import raster as kernels
-from fragloom.operators import palette, patches, raster, score
+from fragloom.operators import datasets, palette, patches, raster, score
 from fragloom.plans import matching
 from fragloom.sources import images
 
@@ -130,3 +130,51 @@ def test_silhouettes_by_hand(spark):
         a, b = d[i][mine].mean(), min(d[i][code == c].mean() for c in set(code.tolist()) - {code[i]})
         s.append((b - a) / max(a, b))
     assert palette.silhouettes(t, ["k4"], ["f", "g", "h"]).first()["score"] == pytest.approx(np.mean(s))
+
+
+def row_of(picture):
+    h, w = picture.shape[:2]
+    return {"data": picture[..., [2, 1, 0, 3]].tobytes(), "height": h, "width": w}
+
+
+PICTURE = "struct<data:binary,height:int,width:int>"
+OUTLINE = "array<struct<y:double,x:double>>"
+
+
+def test_training_samples(spark):
+    """Each class by hand, at the network's own size so that nothing is resized."""
+    rng = np.random.default_rng(1)
+    one, two = (np.concatenate([rng.integers(1, 255, (20, 20, 3)), np.full((20, 20, 1), 255)], axis=2).astype(np.uint8) for _ in range(2))
+    left, right = ([{"y": float(y), "x": float(x)} for y, x in c] for c in (((0, 0), (0, 5), (12, 5), (12, 0)), ((0, 7), (0, 12), (12, 12), (12, 7))))
+    offsets = dict(tay=0.0, tax=0.0, tby=0.0, tbx=-1.0)
+    a, b = (kernels.fill_polygon(np.array([[p["y"], p["x"]] for p in c]) + [0, dx], (8, 8)) for c, dx in ((left, 0), (right, -1)))
+    tensor = lambda p: p.transpose(2, 0, 1).astype(np.float32) / 255
+    schema = f"id long, picture {PICTURE}, other {PICTURE}, mask {PICTURE}, contour_a {OUTLINE}, contour_b {OUTLINE}, tay double, tax double, tby double, tbx double, y0 int, x0 int, other_y0 int, other_x0 int, sy int, sx int, erosion int"
+    mask = np.zeros((20, 20, 4), np.uint8)
+    mask[:, :6] = (255, 0, 0, 255)
+    mask[:, 6:] = (0, 255, 0, 255)
+    mask[0, 0] = (0, 0, 0, 255)
+    row = dict(id=5, picture=row_of(one), other=row_of(two), mask=row_of(mask), contour_a=left, contour_b=right, **offsets, y0=2, x0=3, other_y0=1, other_x0=0, sy=1, sx=0, erosion=1)
+    rows = spark.createDataFrame([row], schema)
+    get = lambda kind, **more: np.array(datasets.tensors(rows, kind, 8, 8, **more).first()["tensor"]).reshape(4, 8, 8)
+    crop = np.zeros((8, 8, 4), np.uint8)
+    crop[a] = one[:8, :8][a]
+    crop[b] = one[:8, 1:9][b]
+    assert np.allclose(get("neg"), tensor(crop), atol=1e-6)
+    cut, moved = one[2:10, 3:11], np.zeros((8, 8, 4), np.uint8)
+    moved[1:] = cut[:-1]
+    assert np.allclose(get("pos_synth"), np.maximum(tensor(cut) * a, tensor(moved) * b), atol=1e-6)
+    assert np.allclose(get("neg_synth"), np.maximum(tensor(cut) * a, tensor(two[1:9, :8]) * b), atol=1e-6)
+    real = get("pos", post_transform=lambda x: x * 2) / 2
+    inside = np.ones((8, 8), bool)
+    inside[:, 2:4] = False  # columns 5 and 6 of the mask, next to the other colour
+    assert np.allclose(real, tensor(cut) * inside, atol=1e-6)
+    assert datasets.tensors(rows, "pos", 8, 8).select("part", "label").first() == ("pos", 1)
+
+
+def test_pixels_as_a_table_function(spark, scans):
+    spark.udtf.register("explode_pixels", images.explode_pixels())
+    images.scan(spark, scans).where("frag_id = 'a'").createOrReplaceTempView("scans_for_udtf")
+    got = spark.sql("SELECT p.* FROM scans_for_udtf, LATERAL explode_pixels(data, height, width, n_channels) p WHERE p.a > 0")
+    want = images.mask_pixels(images.scan(spark, scans).where("frag_id = 'a'")).where("a > 0").select("y", "x", *[F.col(c).cast("int").alias(c) for c in "rgba"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 1600
