@@ -13,8 +13,8 @@ Blocks of a 64-bit SimHash, which this takes the place of, would have to allow f
 Pairs that meet are candidates if their lengths allow the similarity and so do the counts of their characters (a lower bound of the edits, which loses nothing). In lines of
 LONG_WORDS words or more, whose characters say little, ALIKE of 16 slots have to hold the same block instead: the first of the random order in that slot.
 
-Candidates of one cell are first handed on as a spanning forest: they all are verified by edit distance on the normalised texts, and the links
-make groups. In a second pass the candidates that still lie in different groups are verified, every one. So each candidate is verified or joined
+Candidates of one cell are first handed on as a spanning forest. Of these each line's pair with the smallest one is verified by edit distance on the normalised texts, and the links
+make groups; then a forest of the candidates between groups; in a third pass the candidates that still lie in different groups, every one. So each candidate is verified or joined
 already, and no group's pairs are listed. One occurrence of each group is kept: the first by document and line.
 
 Cells that a sixteenth of the lines shows to be large are cut by length and into tiles whose pairs are tasks; that decides where lines meet, not whether they do.
@@ -298,18 +298,31 @@ def _cells(classes: DataFrame, similarity: float) -> DataFrame:
     return at.repartition("cell", "spot").sortWithinPartitions("cell", "spot", "size")
 
 
-def _candidates(batches, similarity: float, forest: bool):
+def _few_differ(t: pa.Table, length: np.ndarray, most: np.ndarray):
+    """Which pairs of the table's rows (the longer one second) may be similar by their counts of characters or, if both are long, by their slots."""
+    long = t.column("size").to_numpy() & 1
+    counts = np.column_stack([t.column("c0").to_numpy(), t.column("c1").to_numpy()]).view(np.uint8).astype(np.int16)
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        more = counts[y] - counts[x]
+        edits = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+        return np.where(long[x] == 0, (long[y] == 1) | (edits <= most[y]), (long[y] == 0) | (((more == 0) & (counts[x] > 0)).sum(axis=1) >= ALIKE))
+
+    return near
+
+
+def _candidates(batches, similarity: float, forest: bool, filter_: Callable | None = None):
     for t, starts in common.group_runs(batches, ["cell", "spot"]):
         n = np.diff(np.append(starts, t.num_rows))
         if n.max(initial=0) < 2:
             continue
         end = np.repeat(np.append(starts[1:], t.num_rows), n)
         size, h, mark, spot = (t.column(c).to_numpy() for c in ("size", "h", "mark", "spot"))
-        length, long, guest, higher = size >> 1, size & 1, mark & 1, mark >> 1
+        length, guest, higher = size >> 1, mark & 1, mark >> 1
         one_tile = (spot >> 25 & (1 << 25) - 1) == (spot & (1 << 25) - 1)
         group = t.column("group").to_numpy() if "group" in t.column_names else h
-        counts = np.column_stack([t.column("c0").to_numpy(), t.column("c1").to_numpy()]).view(np.uint8).astype(np.int16)
         most = allowed(length, similarity)
+        near = filter_(t) if filter_ else _few_differ(t, length, most)
         i = np.arange(t.num_rows)
         a, b = [], []
         for d in range(1, int(n.max())):
@@ -321,38 +334,40 @@ def _candidates(batches, similarity: float, forest: bool):
             ok = (group[i] != group[j]) & (guest[i] + guest[j] < 2) & (one_tile[i] | (higher[i] != higher[j]))
             x, y = i[ok], j[ok]
             for x, y in zip(np.array_split(x, len(x) // 100_000 + 1), np.array_split(y, len(y) // 100_000 + 1)):
-                more = counts[y] - counts[x]
-                edits = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
-                near = np.where(long[x] == 0, (long[y] == 1) | (edits <= most[y]), (long[y] == 0) | (((more == 0) & (counts[x] > 0)).sum(axis=1) >= ALIKE))
-                a.append(x[near])
-                b.append(y[near])
+                ok = near(x, y)
+                a.append(x[ok])
+                b.append(y[ok])
         if not sum(map(len, a)):
             continue
         a, b = np.concatenate(a), np.concatenate(b)
         if forest:
-            unique, code = np.unique(h, return_inverse=True)
-            x, y = _forest(code[a], code[b], len(unique))
-            first, second = unique[x], unique[y]
+            tree = _tree(np.unique(group, return_inverse=True)[1], a, b)
+            first, second = h[a[tree]], h[b[tree]]
         else:
             first, second = h[a], h[b]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second))], ["a", "b"])
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links a-b: in every round each group takes its link to the smallest other group (all of them links given)."""
-    label, x, y = np.arange(n), [], []
+    """A spanning forest of the links a-b between 0..n-1, all of them links given."""
+    tree = _tree(np.arange(n), a, b)
+    return a[tree], b[tree]
+
+
+def _tree(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links a-b make a spanning forest of the groups ``label``: in every round each group takes a link to the smallest other group."""
+    left, picked = np.arange(len(a)), [np.zeros(0, np.int64)]
     while True:
-        la, lb = label[a], label[b]
+        la, lb = label[a[left]], label[b[left]]
         cross = la != lb
-        a, b, la, lb = a[cross], b[cross], la[cross], lb[cross]
-        if not len(a):
-            return (np.concatenate(x), np.concatenate(y)) if x else (a, b)
+        left, la, lb = left[cross], la[cross], lb[cross]
+        if not len(left):
+            return np.concatenate(picked)
         high, low = np.maximum(la, lb), np.minimum(la, lb)
         order = np.lexsort((low, high))
         pick = order[np.unique(high[order], return_index=True)[1]]  # each larger group hangs itself under one smaller
-        x.append(a[pick])
-        y.append(b[pick])
-        parent = np.arange(n)
+        picked.append(left[pick])
+        parent = np.arange(label.max() + 1)
         parent[high[pick]] = low[pick]
         while (parent[parent] != parent).any():
             parent = parent[parent]
@@ -536,25 +551,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return tc.map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def groups_of(classes: DataFrame, similarity: float, texts_of: Callable[[DataFrame], DataFrame], verified: Callable = _verified) -> DataFrame:
-    """(node, component): classes linked with others, and a class that stands for all that they reach."""
+def groups_of(classes: DataFrame, similarity: float, texts_of: Callable[[DataFrame], DataFrame], verified: Callable = _verified, filter_: Callable | None = None) -> DataFrame:
+    """(node, component): classes linked with others, and a class that stands for all that they reach.
+
+    Verified are first the pair of each class with its smallest candidate, then a spanning forest of the candidates left between groups, then every one left.
+    """
     schema = "a long, b long"
     filed = ["h", "size", "c0", "c1", "blocks"]
-    pairs = tc.map_arrow(_cells(classes.select(*filed), similarity), lambda it: _candidates(it, similarity, True), schema)
-    pairs = common.written(pairs.distinct(), "lines-forest")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    met = lambda t, forest: tc.map_arrow(_cells(t, similarity), lambda it: _candidates(it, similarity, forest, filter_), schema).distinct()
+    found = common.written(met(classes.select(*filed), True), "lines-found")
+    pairs = common.written(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "lines-stars")
+    wanted = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     involved = common.written(classes.join(wanted, "h"), "lines-involved")
+    common.delete(found)
     texts = common.written(texts_of(involved), "lines-texts")
-    links = verified(pairs, texts, similarity)
-    reached = common.written(common.components(links, "lines-components"), "lines-groups")
-    grouped = involved.join(reached.select(F.col("node").alias("h"), "component"), "h", "left").select(*filed, F.coalesce("component", "h").alias("group"))
-    grouped = common.written(grouped, "lines-grouped")
-    rest = tc.map_arrow(_cells(grouped, similarity), lambda it: _candidates(it, similarity, False), schema).distinct()
-    rest = common.written(rest.join(pairs, ["a", "b"], "left_anti"), "lines-rest")  # those in both are known not to be similar
-    late = common.written(verified(rest, texts, similarity), "lines-late")
-    common.delete(pairs, involved, texts, rest)
+    links = common.written(verified(pairs, texts, similarity), "lines-links")
+
+    def grouped_by(links: DataFrame) -> DataFrame:
+        reached = common.components(links, "lines-components").select(F.col("node").alias("h"), "component")
+        return common.written(involved.join(reached, "h", "left").select(*filed, F.coalesce("component", "h").alias("group")), "lines-grouped")
+
+    for forest in (True, False):
+        grouped = grouped_by(links)
+        rest = common.written(met(grouped, forest).join(pairs, ["a", "b"], "left_anti"), "lines-rest")  # those in both are known not to be similar
+        late = common.written(verified(rest, texts, similarity), "lines-late")
+        if forest:
+            links, pairs = links.unionByName(late), pairs.unionByName(rest)
+            common.delete(grouped)
+    common.delete(involved, texts, pairs, rest, links)
     if late.isEmpty():
-        return reached
+        return grouped.where("h <> `group`").select(F.col("h").alias("node"), F.col("group").alias("component"))
     # the late links join groups; their own components are those of a small table
     of = lambda c: grouped.select(F.col("h").alias(c), F.col("group").alias(f"g{c}"))
     between = late.join(of("a"), "a").join(of("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))

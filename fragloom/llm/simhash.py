@@ -59,6 +59,12 @@ def _counts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The SimHash of each text's hashes: the bits that are set in over half of them."""
+    bits = (2 * _counts(h, at) > np.diff(at)[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
     """The fingerprint of each text."""
     words, at = tc.split_words(pc.ascii_lower(tc.as_text(texts)))
@@ -78,8 +84,7 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE, seed: int = 42) ->
     for k in range(0, len(first), 50_000):
         span = slice(k, k + 50_000)
         h[span] = [digest(flat[a:b], seed) for a, b in zip(begin[first[span]].tolist(), end[last[span]].tolist())]
-    bits = (2 * _counts(h, cut) > n[:, None]).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    return majority(h, cut)
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -254,7 +259,7 @@ def one_of_each(documents: DataFrame, radius: int = RADIUS, shingle: int = SHING
     """The documents, with all their columns, that stand first in their component, by doc_id. Of repeated rows one stays; rows without doc_id all stay.
 
     Only ids and fingerprints are written on the way; the texts are read again and lose the rows that go by an anti-join.
-    With ``similarity``, links are texts whose shingles have that Jaccard similarity (``similar``): no radius that blocks can serve catches most of those.
+    With ``similarity``, links are texts whose shingles have that Jaccard similarity: candidates by longer fingerprints in bands of bits, verified (``similar``).
     """
     if similarity is not None:
         from . import similar

@@ -158,11 +158,14 @@ def grams(h: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 #: Rows that Spark puts into one Arrow batch. Ten thousand whole texts, Spark's default, would take several times this memory outside the heap.
 ROWS_PER_BATCH = 1000
+#: Bytes of such a batch, where Spark knows that limit: a thousand pairs of long texts take as much as ten thousand texts.
+BYTES_PER_BATCH = 8 << 20
 
 
 def map_arrow(df, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema):
-    """``mapInArrow`` with batches of at most ROWS_PER_BATCH rows."""
+    """``mapInArrow`` with batches of at most ROWS_PER_BATCH rows and about BYTES_PER_BATCH bytes."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= ROWS_PER_BATCH:
         conf.set(key, ROWS_PER_BATCH)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
     return df.mapInArrow(fn, schema)

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from fragloom.llm import lines, textcols
+from fragloom.llm import lines, similar, textcols
 
 
 def test_quick_hashes_tell_words_apart():
@@ -62,3 +62,34 @@ def test_pipeline_drops_near_copies(spark):
     got = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in left.collect())
     assert 20 < sum(near.values()) < 60
     assert got == sorted([-1, *range(60), *(k for k, v in near.items() if not v), 2000, 2002])
+
+
+def test_near_copies_meet_by_simhash():
+    """Fingerprints are majorities of hashed shingles; sets with a similarity of 0.8 share a band and lie within the radius, other sets do not."""
+    rng = np.random.default_rng(23)
+    size, inter, h, at = 120, 107, [], [0]
+    for _ in range(300):  # a Jaccard similarity of 107 / 133
+        every = rng.integers(0, 1 << 64, 2 * size - inter, np.uint64, endpoint=False)
+        h += [every[:size], every[-size:]]
+        at += [at[-1] + size, at[-1] + 2 * size]
+    prints = similar.fingerprints_of(np.concatenate(h), np.array(at))
+    for k in range(prints.shape[1]):
+        with np.errstate(over="ignore"):
+            seeded = textcols.mix(h[0] + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))
+        assert int(prints[0, k]) == sum(1 << b for b in range(64) if 2 * int((seeded >> np.uint64(b) & np.uint64(1)).sum()) > size)
+    near = lambda x, y: np.bitwise_count(x[:, :2] ^ y[:, :2]).sum(axis=1) <= similar.RADIUS
+    for n in (1_000, 5_000_000):
+        names = similar.bands(prints, similar.plan(n))
+        assert ((names[0::2] == names[1::2]).any(axis=1) & near(prints[0::2], prints[1::2])).mean() > 0.985
+    assert not near(prints[0:-2:2], prints[2::2]).any()
+
+
+def test_batches_of_long_rows_are_small(spark):
+    """A thousand rows of large arrays do not come as one batch."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    wide = spark.range(0, 300, 1, 1).selectExpr("array_repeat(int(id), 50000) AS x")
+    assert max(r["n"] for r in textcols.map_arrow(wide, run, "n long").collect()) < 2 * textcols.BYTES_PER_BATCH
