@@ -10,7 +10,7 @@ from fragloom.sources import tables
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["contact_candidates", "candidate_limit", "pose_delta", "mutual_nearest", "neighbour_contacts"])
+@pytest.mark.parametrize("name", ["contact_candidates", "candidate_limit", "pose_delta", "mutual_nearest", "neighbour_contacts", "pose_overlap"])
 def test_no_pairs_are_shuffled(spark, name):
     assert "Join" not in entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
