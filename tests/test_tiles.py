@@ -1,5 +1,6 @@
 """Pairs made by tiles: the rows of the table operators, whatever the blocks, and no table of pairs on the way."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from fragloom.sources import tables
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["contact_candidates", "candidate_limit", "pose_delta", "mutual_nearest", "neighbour_contacts", "pose_overlap"])
+@pytest.mark.parametrize("name", ["contact_candidates", "candidate_limit", "pose_delta", "mutual_nearest", "neighbour_contacts", "pose_overlap", "patch_offsets"])
 def test_no_pairs_are_shuffled(spark, name):
     assert "Join" not in entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
@@ -35,3 +36,16 @@ def test_tiles_make_the_rows_of_the_operators(spark):
     for block in (3, 1000):
         for kernel, (schema, expected) in zip(kernels, want.items()):
             assert rows(tiles.dealt(fragments, kernel, f"a bigint, b bigint, {schema}", block)) == expected, (schema, block)
+
+
+def test_directions_are_those_of_sql(spark):
+    """Nearly along an axis, a hypotenuse and the root of the sum of squares differ in the last bit; multiplied and cut to integers they give other offsets."""
+    rng = np.random.default_rng(3)
+    uy, ux = rng.uniform(50, 200, 200_000), 10 ** rng.uniform(-7, -5, 200_000)
+    odd = np.flatnonzero(uy / np.hypot(uy, ux) != uy / np.sqrt(uy * uy + ux * ux))[:20]
+    assert len(odd) == 20
+    flat = spark.createDataFrame([(2 * i, 0.0, 0.0) for i in range(20)] + [(2 * i + 1, float(uy[k]), float(ux[k])) for i, k in enumerate(odd)], "frag_id long, cy double, cx double")
+    samples = flat.select("frag_id", F.lit(0).alias("m"), F.lit(0.0).alias("y"), F.lit(0.0).alias("x"))
+    both = spark.range(20).selectExpr("2 * id AS a", "2 * id + 1 AS b")
+    got = {r["a"] // 2: r["dy"] for r in pose.candidates(both, samples, flat).collect()}
+    assert [got[i] for i in range(20)] == (uy[odd] / np.sqrt(uy[odd] * uy[odd] + ux[odd] * ux[odd])).tolist()
