@@ -40,6 +40,45 @@ def available_windows(windows: DataFrame, available: DataFrame, black: DataFrame
     return t.where((F.col("area") / (side * side) > share) & (F.col("dark") == 0))
 
 
+def free_windows(px: DataFrame, available: Column, black: Column, side: int, stride: int = 1, share: float = 0.9) -> DataFrame:
+    """(image_id, y0, x0): ``available_windows`` of the ``lattice`` of whole pictures that start at (0, 0), without tables of windows and corners.
+
+    A picture's pixels go to one task (pictures are bounded), and prefix sums over all pictures of one size at once leave the windows that pass.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from fragloom.functions.batches import group_of, whole_groups
+
+    def run(batches):
+        for t, starts in whole_groups(batches, "image_id"):
+            y, x, of = t.column("y").to_numpy(), t.column("x").to_numpy(), group_of(starts, t.num_rows)
+            h, w = (np.maximum.reduceat(v, starts) + 1 for v in (y, x))
+            ids = t.column("image_id").combine_chunks().take(pa.array(starts))
+            for size in np.unique(np.column_stack([h, w]), axis=0):
+                if size.min() < side:
+                    continue
+                pictures = np.flatnonzero((h == size[0]) & (w == size[1]))
+                place = np.full(len(starts), -1)
+                place[pictures] = np.arange(len(pictures))
+                mine = np.flatnonzero(place[of] >= 0)
+                y0, x0 = (np.arange(0, n - side + 1, stride) for n in size)
+                sums = []
+                for flag in ("a", "b"):
+                    a = np.zeros((len(pictures), *size), np.int64)
+                    a[place[of[mine]], y[mine], x[mine]] = t.column(flag).to_numpy()[mine]
+                    a = a.cumsum(axis=1).cumsum(axis=2)
+                    low, high = (np.ix_(np.arange(len(pictures)), y0 + k, x0 + m) for k, m in ((0, 0), (side - 1, side - 1)))
+                    sums.append(a[high] - a[low[0], low[1], high[2]] - a[low[0], high[1], low[2]] + a[low])
+                k, i, j = np.nonzero((sums[0] / (side * side) > share) & (sums[1] == 0))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(pictures[k])), pa.array(y0[i].astype(np.int32)), pa.array(x0[j].astype(np.int32))], ["image_id", "y0", "x0"])
+
+    flag = lambda c: F.coalesce(c.cast("tinyint"), F.lit(0).cast("tinyint"))
+    rows = px.select("image_id", F.col("y").cast("int"), F.col("x").cast("int"), flag(available).alias("a"), flag(black).alias("b"))
+    rows = rows.repartition("image_id").sortWithinPartitions("image_id")
+    return rows.mapInArrow(run, f"image_id {dict(px.dtypes)['image_id']}, y0 int, x0 int")
+
+
 def touch_boxes(poses: DataFrame, point: str, sign: int, side: int, pad: float, height: Column, width: Column) -> DataFrame:
     """Boxes of ``side`` around the contact, moved by ``pad`` along the separation, clipped to the picture."""
     out = poses

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fragloom.operators import contour, pairs, pose, tiles
+from fragloom.operators import contour, pairs, pose, raster, tiles
 from fragloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +49,17 @@ def test_directions_are_those_of_sql(spark):
     both = spark.range(20).selectExpr("2 * id AS a", "2 * id + 1 AS b")
     got = {r["a"] // 2: r["dy"] for r in pose.candidates(both, samples, flat).collect()}
     assert [got[i] for i in range(20)] == (uy[odd] / np.sqrt(uy[odd] * uy[odd] + ux[odd] * ux[odd])).tolist()
+
+
+def test_free_windows_are_those_of_the_tables(spark):
+    """Pictures of several sizes, too small ones among them; nothing is joined or broadcast."""
+    rng = np.random.default_rng(8)
+    rows = [(i, y, x, int(rng.integers(0, 2)) * 255, int(rng.integers(0, 60))) for i in range(40) for y in range(3 + i % 5) for x in range(4 + i % 3)]
+    px = spark.createDataFrame(rows, "image_id long, y int, x int, alpha int, v int").repartition(3)
+    images = px.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    sums = lambda c: raster.integral(px.withColumn("n", c.cast("int")), "n")
+    for stride in (1, 2):
+        want = raster.available_windows(raster.lattice(images, 4, stride), sums(F.col("alpha") > 128), sums(F.col("v") < 2), 4, 0.3).select("image_id", "y0", "x0")
+        got = raster.free_windows(px, F.col("alpha") > 128, F.col("v") < 2, 4, stride, 0.3)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
+    assert "Join" not in entry.queries()["window_availability"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
