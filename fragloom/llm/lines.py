@@ -47,11 +47,15 @@ FEW_WORDS = 7
 GRAM = 5
 #: Characters are counted in so many groups; of longer lines, the first blocks of as many slots are kept.
 GROUPS = 16
+#: Groups of characters that the later passes count, a power of two.
+FINE = 64
 LONG_WORDS = 24
 #: Lines of at most so many words less or more are filed as shorter and as longer ones.
 BOTH = 4
 ALIKE = 3
 TILE = 2048
+#: How many of its nearest candidates of a cell a line is compared with before all that are then left between groups.
+NEAREST = 8
 #: Ids of documents are broadcast up to this number (8 bytes each).
 BROADCAST_KEYS = 500_000
 #: One line of so many tells which cells are large.
@@ -132,10 +136,10 @@ def _in_order(row: np.ndarray, block: np.ndarray, weight: np.ndarray, place: np.
 
 
 def _first_blocks(row: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, block): the first BLOCKS of each row, and some more of very long lines. Rows are in order."""
+    """(row, block): the first BLOCKS of each row, and some more of long lines. Rows are in order."""
     first = np.flatnonzero(np.diff(row, prepend=-1))
     n = np.diff(np.append(first, len(row)))
-    keep = np.arange(len(row)) - np.repeat(first, n) < np.repeat(BLOCKS + np.minimum(n // 40, 4), n)
+    keep = np.arange(len(row)) - np.repeat(first, n) < np.repeat(BLOCKS + np.minimum(n // 24, 4), n)
     return row[keep], block[keep]
 
 
@@ -221,6 +225,28 @@ def histograms(lines: pa.Array) -> np.ndarray:
     return np.minimum(np.bincount(slot, minlength=len(lines) * GROUPS), 255).astype(np.uint8).reshape(len(lines), GROUPS)
 
 
+def characters(lines: pa.Array) -> np.ndarray:
+    """How many characters of each of FINE groups a line has, up to 255."""
+    flat, at = _codes(lines)
+    with np.errstate(over="ignore"):
+        group = (flat + np.uint64(1)) * GOLDEN >> np.uint64(64 - FINE.bit_length() + 1)
+    slot = tc.row_of(at) * FINE + group.astype(np.int64)
+    return np.minimum(np.bincount(slot, minlength=len(lines) * FINE), 255).astype(np.uint8).reshape(len(lines), FINE)
+
+
+def fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as one binary value each."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def fine_of(t: pa.Table) -> np.ndarray | None:
+    """The bytes of the column ``fine``, a row each; None without it."""
+    if "fine" not in t.column_names or not t.num_rows:
+        return None
+    return np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+
+
 def packed(row: np.ndarray, block: np.ndarray, n: int) -> pa.Array:
     """Blocks by row as one binary value for each of n rows."""
     at = np.searchsorted(row, np.arange(n + 1)) * 8
@@ -278,7 +304,7 @@ def _cells(classes: DataFrame, similarity: float) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
     schema = ", ".join(["cell bigint", *(f"{c} {kinds[c]}" for c in names)])
     every = tc.map_arrow(classes.select(*names, "blocks"), lambda it: _filed(it, names), schema)
-    some = tc.map_arrow(classes.where(F.pmod("h", F.lit(SAMPLED)) == 0).select(*names, "blocks"), lambda it: _filed(it, names), schema)
+    some = tc.map_arrow(classes.where(F.pmod("h", F.lit(SAMPLED)) == 0).select("size", "blocks"), lambda it: _filed(it, ["size"]), "cell long, size long")
     step = F.floor(F.log(F.shiftright("size", 1).cast("double")) / F.lit(1.000001 * log(1 / similarity)))
     seen = some.select("cell", F.explode(F.array(step, step + 1)).alias("step")).groupBy("cell", "step").agg(F.count("*").alias("n"))
     tiles = F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("n") * SAMPLED / TILE))))
@@ -299,14 +325,24 @@ def _cells(classes: DataFrame, similarity: float) -> DataFrame:
 
 
 def _few_differ(t: pa.Table, length: np.ndarray, most: np.ndarray):
-    """Which pairs of the table's rows (the longer one second) may be similar by their counts of characters or, if both are long, by their slots."""
+    """How far apart pairs of the table's rows (the longer one second) are at least, as a share of the edits allowed by the counts of ``fine`` if it is there; infinite for pairs that
+    cannot be similar by those, or by their counts of characters or, if both are long, by their slots."""
+    fine = fine_of(t)
     long = t.column("size").to_numpy() & 1
     counts = np.column_stack([t.column("c0").to_numpy(), t.column("c1").to_numpy()]).view(np.uint8).astype(np.int16)
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         more = counts[y] - counts[x]
         edits = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
-        return np.where(long[x] == 0, (long[y] == 1) | (edits <= most[y]), (long[y] == 0) | (((more == 0) & (counts[x] > 0)).sum(axis=1) >= ALIKE))
+        ok = np.where(long[x] == 0, (long[y] == 1) | (edits <= most[y]), (long[y] == 0) | (((more == 0) & (counts[x] > 0)).sum(axis=1) >= ALIKE))
+        far = np.where(ok, np.float32(0), np.float32(np.inf))
+        if fine is not None:
+            left = np.flatnonzero(ok)
+            more = fine[y[left]].astype(np.int16) - fine[x[left]]
+            up, net = np.maximum(more, 0).sum(axis=1), more.sum(axis=1, dtype=np.int64)
+            edits, room = np.maximum(up, up - net), most[y[left]]
+            far[left] = np.where(edits <= room, edits / np.maximum(room, 1), np.inf)
+        return far
 
     return near
 
@@ -324,7 +360,7 @@ def _candidates(batches, similarity: float, forest: bool, filter_: Callable | No
         most = allowed(length, similarity)
         near = filter_(t) if filter_ else _few_differ(t, length, most)
         i = np.arange(t.num_rows)
-        a, b = [], []
+        a, b, far = [], [], []
         for d in range(1, int(n.max())):
             i = i[i + d < end[i]]
             i = i[length[i + d] - length[i] <= most[i + d]]  # sorted by length: what is too short for one is so for the next
@@ -334,14 +370,17 @@ def _candidates(batches, similarity: float, forest: bool, filter_: Callable | No
             ok = (group[i] != group[j]) & (guest[i] + guest[j] < 2) & (one_tile[i] | (higher[i] != higher[j]))
             x, y = i[ok], j[ok]
             for x, y in zip(np.array_split(x, len(x) // 100_000 + 1), np.array_split(y, len(y) // 100_000 + 1)):
-                ok = near(x, y)
+                each = near(x, y)
+                ok = np.isfinite(each)
                 a.append(x[ok])
                 b.append(y[ok])
+                far.append(each[ok])
         if not sum(map(len, a)):
             continue
         a, b = np.concatenate(a), np.concatenate(b)
         if forest:
-            tree = _tree(np.unique(group, return_inverse=True)[1], a, b)
+            label = np.unique(group, return_inverse=True)[1]
+            tree = _nearest(label, a, b, np.concatenate(far)) if "fine" in t.column_names else _tree(label, a, b)
             first, second = h[a[tree]], h[b[tree]]
         else:
             first, second = h[a], h[b]
@@ -374,8 +413,18 @@ def _tree(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = parent[label]
 
 
+def _nearest(label: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the links a-b are among the NEAREST shortest ones (by ``far``) of either end, or in a spanning forest of the groups ``label``."""
+    links = np.arange(len(a))
+    end, link = np.concatenate([a, b]), np.concatenate([links, links])
+    order = np.lexsort((far[link], end))
+    start = np.flatnonzero(np.diff(end[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return np.union1d(link[order[rank < NEAREST]], _tree(label, a, b))
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, norm): the normalised texts of the wanted classes (h, first), from their first occurrences. Only documents that hold one are dealt out."""
+    """(h, norm, fine): the normalised texts of the wanted classes (h, first), from their first occurrences, and their ``characters``. Only documents that hold one are dealt out."""
     marks = wanted.select(F.col("first.key").alias("key"), F.col("first.line").alias("first"), F.lit(1).alias("n"), F.lit(False).alias("known"))
     keys = common.written(marks.select("key").distinct(), "lines-keys")
     holding = docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
@@ -388,15 +437,18 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             lines, at = lines_of(pa.array([texts[i] for i in once], pa.string()))
             slot = np.searchsorted(group[once], of)
             norm = normalised(lines.take(pa.array(at[slot] + first)))
-            yield pa.RecordBatch.from_arrays([pa.array(tc.hashed(norm).view(np.int64)), norm], ["h", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(tc.hashed(norm).view(np.int64)), norm, fixed(characters(norm))], ["h", "norm", "fine"])
 
-    return tc.map_arrow(substring._with_marks(holding, marks), run, "h long, norm string")
+    return tc.map_arrow(substring._with_marks(holding, marks), run, "h long, norm string, fine binary")
 
 
 #: Beyond this length few edits are looked for along diagonals before all cells are gone through.
 LONG = 1000
 #: How many edits that search goes up to.
 FEW = 48
+#: Lines of so few allowed edits are compared many pairs at a time, so many.
+BAND = 63
+PAIRS = 2048
 
 
 def edit_distance(x: np.ndarray, y: np.ndarray, most: int) -> int:
@@ -433,6 +485,49 @@ def _columns(x: list[int], y: list[int]) -> int:
     return d
 
 
+def _banded(x: np.ndarray, xat: np.ndarray, nx: np.ndarray, y: np.ndarray, yat: np.ndarray, ny: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most ``most`` (BAND at the most); the pair k is the nx[k] characters of x from xat[k] on, and the ny[k] >= nx[k] of y from yat[k] on.
+
+    Bit-parallel columns over all pairs at once. A path of so few edits stays on as many diagonals and one more, around that of the last cell and of the first: these are the
+    bits of a word, which moves down a row with each column. The distance is followed along the last cell's diagonal, on which it never falls: pairs beyond their edits are dropped.
+    """
+    out = np.zeros(len(nx), bool)
+    order = np.argsort(ny, kind="stable")
+    kind = np.uint16 if max(x.max(initial=0), y.max(initial=0)) < 65_000 else np.uint32
+    for k in range(0, len(order), PAIRS):
+        left = order[k : k + PAIRS]
+        n, m = ny[left], nx[left]
+        side = (most[left] - (n - m)) // 2
+        lead = n - m + side
+        wide = int(n.max(initial=0))
+        rows, columns = np.zeros((len(left), wide + 2 * BAND + 2), kind), np.zeros((len(left), wide), kind)
+        for into, of, at, size, shift in ((rows, x, xat[left], m, lead), (columns, y, yat[left], n, np.zeros(len(left), np.int64))):
+            pair = np.repeat(np.arange(len(left)), size)
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+            into[pair, shift[pair] + place] = of[at[pair] + place] + np.uint64(1)  # 0 is none
+        every = np.uint64(0xFFFFFFFFFFFFFFFF)
+        up, down = every << lead.astype(np.uint64), np.zeros(len(left), np.uint64)
+        follow, one, d, limit = side.astype(np.uint64), np.uint64(1), n - m, most[left]
+        width = 32 if int(lead.max(initial=0) + side.max(initial=0)) < 32 else 64
+        with np.errstate(over="ignore"):
+            for j in range(wide):
+                same = np.packbits(rows[:, j : j + width] == columns[:, j, None], axis=1, bitorder="little").view(f"<u{width // 8}")[:, 0].astype(np.uint64)
+                zero = (((same & up) + up) ^ up) | same | down
+                plus, minus = down | ~(zero | up), zero & up
+                d = d + ((j >= n - m) & (zero >> follow & one == 0) & (j < n))
+                down = zero >> one
+                up, down = minus | ~(down | plus), down & plus
+                if j % 16 == 15 or j + 1 == wide:
+                    ended = j + 1 >= n
+                    out[left[ended & (d <= limit)]] = True
+                    stay = np.flatnonzero(~ended & (d <= limit))
+                    if not len(stay):
+                        break
+                    if len(stay) < 0.8 * len(left):
+                        left, n, m, d, limit, up, down, follow, rows, columns = (v[stay] for v in (left, n, m, d, limit, up, down, follow, rows, columns))
+    return out
+
+
 def _few_edits(x: np.ndarray, y: np.ndarray, most: int) -> int:
     """Edit distance, or most + 1 if it is more.
 
@@ -521,8 +616,8 @@ def _shared_grams(x: np.ndarray, xat: np.ndarray, y: np.ndarray, yat: np.ndarray
 def similar_enough(one: pa.Array, two: pa.Array, most: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most ``most``.
 
-    Pairs that differ in one short stretch, or only in single characters of equally long lines, are settled by comparing columns; pairs that share too few
-    grams for their edits (each touches LONG_GRAM of them) are not similar; the others are compared one by one.
+    Pairs that differ in one short stretch, or only in single characters of equally long lines, are settled by comparing columns; those of up to BAND edits are compared in bands of
+    diagonals, many at once. Of the longer ones, those that share too few grams for their edits (each touches LONG_GRAM of them) are not similar; the others are compared one by one.
     """
     (x, xat), (y, yat) = _codes(one), _codes(two)
     nx, ny = np.diff(xat), np.diff(yat)
@@ -531,6 +626,18 @@ def similar_enough(one: pa.Array, two: pa.Array, most: np.ndarray) -> np.ndarray
     tail = np.minimum(_aligned(x, xat, y, yat, n, True)[0], n - head)
     out = (np.maximum(nx, ny) - head - tail <= most) | ((nx == ny) & (differ <= most))
     left = ~out & (np.abs(nx - ny) <= most)
+    banded = left & (most <= BAND) & (np.maximum(nx, ny) <= LONG)
+    few = np.flatnonzero(banded)
+    if len(few):
+        begin, size = [at[:-1][few] + head[few] for at in (xat, yat)], [n[few] - head[few] - tail[few] for n in (nx, ny)]
+        swap = size[0] > size[1]
+        flat = np.concatenate([x, y])
+        begin[1] = begin[1] + len(x)
+        at, n = [np.where(swap, v[1], v[0]) for v in (begin, size)], [np.where(swap, v[0], v[1]) for v in (begin, size)]
+        out[few] = _banded(flat, at[0], at[1], flat, n[0], n[1], most[few])
+    left &= ~banded
+    if not left.any():
+        return out
     left[left] = (_shared_grams(x, xat, y, yat) >= nx - LONG_GRAM + 1 - LONG_GRAM * most)[left]
     for k in np.flatnonzero(left):
         i, j = int(xat[k]), int(yat[k])
@@ -554,7 +661,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def groups_of(classes: DataFrame, similarity: float, texts_of: Callable[[DataFrame], DataFrame], verified: Callable = _verified, filter_: Callable | None = None) -> DataFrame:
     """(node, component): classes linked with others, and a class that stands for all that they reach.
 
-    Verified are first the pair of each class with its smallest candidate, then a spanning forest of the candidates left between groups, then every one left.
+    Verified are first the pair of each class with its smallest candidate, then a spanning forest of the candidates left between groups and the nearest ones by ``fine``, then every one left.
+    ``texts_of`` also gives a value ``fine`` to each class: the later passes tell pairs apart by it where they meet, so that only near ones are joined with their texts.
     """
     schema = "a long, b long"
     filed = ["h", "size", "c0", "c1", "blocks"]
@@ -566,10 +674,11 @@ def groups_of(classes: DataFrame, similarity: float, texts_of: Callable[[DataFra
     common.delete(found)
     texts = common.written(texts_of(involved), "lines-texts")
     links = common.written(verified(pairs, texts, similarity), "lines-links")
+    finer = involved.join(texts.select("h", "fine"), "h")
 
     def grouped_by(links: DataFrame) -> DataFrame:
         reached = common.components(links, "lines-components").select(F.col("node").alias("h"), "component")
-        return common.written(involved.join(reached, "h", "left").select(*filed, F.coalesce("component", "h").alias("group")), "lines-grouped")
+        return common.written(finer.join(reached, "h", "left").select(*filed, "fine", F.coalesce("component", "h").alias("group")), "lines-grouped")
 
     for forest in (True, False):
         grouped = grouped_by(links)
