@@ -26,8 +26,8 @@ from .common import delete, fresh, written
 WINDOW = 10
 #: Phrase tables up to this many words are broadcast; beyond it they are joined by a shuffle on the term.
 BROADCAST_WORDS = 4_000_000
-#: Places looked up are broadcast up to this number (some 50 bytes each); beyond it both sides are shuffled.
-BROADCAST_PLACES = 400_000
+#: Places looked up are broadcast up to this number (some 200 bytes each); beyond it both sides are shuffled.
+BROADCAST_PLACES = 100_000
 #: How far other terms may stand from the rarest one in a proximity match.
 WITHIN = 9
 #: What tells documents apart; a null doc_id has a hash of its own.

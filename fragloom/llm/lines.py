@@ -347,7 +347,7 @@ def _few_differ(t: pa.Table, length: np.ndarray, most: np.ndarray):
     return near
 
 
-def _candidates(batches, similarity: float, forest: bool, filter_: Callable | None = None):
+def _candidates(batches, similarity: float, forest: bool, filter_: Callable | None = None, nearest: int = 0):
     for t, starts in common.group_runs(batches, ["cell", "spot"]):
         n = np.diff(np.append(starts, t.num_rows))
         if n.max(initial=0) < 2:
@@ -380,7 +380,9 @@ def _candidates(batches, similarity: float, forest: bool, filter_: Callable | No
         a, b = np.concatenate(a), np.concatenate(b)
         if forest:
             label = np.unique(group, return_inverse=True)[1]
-            tree = _nearest(label, a, b, np.concatenate(far)) if "fine" in t.column_names else _tree(label, a, b)
+            tree = _tree(label, a, b)
+            if nearest and "fine" in t.column_names:
+                tree = np.union1d(tree, _nearest(a, b, np.concatenate(far), nearest))
             first, second = h[a[tree]], h[b[tree]]
         else:
             first, second = h[a], h[b]
@@ -413,21 +415,21 @@ def _tree(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = parent[label]
 
 
-def _nearest(label: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Which of the links a-b are among the NEAREST shortest ones (by ``far``) of either end, or in a spanning forest of the groups ``label``."""
+def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links a-b are among the n shortest ones (by ``far``) of either end."""
     links = np.arange(len(a))
     end, link = np.concatenate([a, b]), np.concatenate([links, links])
     order = np.lexsort((far[link], end))
     start = np.flatnonzero(np.diff(end[order], prepend=-1))
     rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-    return np.union1d(link[order[rank < NEAREST]], _tree(label, a, b))
+    return np.unique(link[order[rank < n]])
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, norm, fine): the normalised texts of the wanted classes (h, first), from their first occurrences, and their ``characters``. Only documents that hold one are dealt out."""
     marks = wanted.select(F.col("first.key").alias("key"), F.col("first.line").alias("first"), F.lit(1).alias("n"), F.lit(False).alias("known"))
     keys = common.written(marks.select("key").distinct(), "lines-keys")
-    holding = docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+    holding = docs.join(few(keys), "key", "left_semi")
 
     def run(batches):
         for texts, _, _, group, of, first, _, _ in substring._by_text(batches):
@@ -658,20 +660,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return tc.map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def groups_of(classes: DataFrame, similarity: float, texts_of: Callable[[DataFrame], DataFrame], verified: Callable = _verified, filter_: Callable | None = None) -> DataFrame:
+def few(keys: DataFrame) -> DataFrame:
+    """Keys that were written, to be broadcast if they are few: what they are joined with is then not shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def groups_of(classes: DataFrame, similarity: float, texts_of: Callable[[DataFrame], DataFrame], verified: Callable = _verified, filter_: Callable | None = None, nearest: int = 0) -> DataFrame:
     """(node, component): classes linked with others, and a class that stands for all that they reach.
 
-    Verified are first the pair of each class with its smallest candidate, then a spanning forest of the candidates left between groups and the nearest ones by ``fine``, then every one left.
+    Verified are first the pair of each class with its smallest candidate, then a spanning forest of the candidates left between groups (and the ``nearest`` ones of each class in a cell), then every one left.
     ``texts_of`` also gives a value ``fine`` to each class: the later passes tell pairs apart by it where they meet, so that only near ones are joined with their texts.
     """
     schema = "a long, b long"
     filed = ["h", "size", "c0", "c1", "blocks"]
-    met = lambda t, forest: tc.map_arrow(_cells(t, similarity), lambda it: _candidates(it, similarity, forest, filter_), schema).distinct()
+    met = lambda t, forest: tc.map_arrow(_cells(t, similarity), lambda it: _candidates(it, similarity, forest, filter_, nearest), schema).distinct()
     found = common.written(met(classes.select(*filed), True), "lines-found")
     pairs = common.written(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "lines-stars")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    involved = common.written(classes.join(wanted, "h"), "lines-involved")
-    common.delete(found)
+    wanted = common.written(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines-wanted")
+    involved = common.written(classes.join(few(wanted), "h"), "lines-involved")
+    common.delete(found, wanted)
     texts = common.written(texts_of(involved), "lines-texts")
     links = common.written(verified(pairs, texts, similarity), "lines-links")
     finer = involved.join(texts.select("h", "fine"), "h")
@@ -716,7 +723,7 @@ def deduplicated(documents: DataFrame, similarity: float = SIMILARITY) -> DataFr
     """(doc_id, n_lines, n_removed, text) of every document; text: the lines kept."""
     docs = substring.keyed(documents)
     classes = common.written(classes_of(docs), "lines-classes")
-    groups = groups_of(classes, similarity, lambda involved: _texts(docs, involved))
+    groups = groups_of(classes, similarity, lambda involved: _texts(docs, involved), nearest=NEAREST)
     named = classes.select("h", "first").join(groups.select(F.col("node").alias("h"), "component"), "h", "left").select(F.coalesce("component", "h").alias("g"), "first")
     kept = named.groupBy("g").agg(F.min("first").alias("first"))
     marks = kept.select(F.col("first.key").alias("key"), F.col("first.line").alias("first"), F.lit(1).alias("n"), F.lit(True).alias("known"))

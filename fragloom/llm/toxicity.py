@@ -210,7 +210,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str, usable, per_class
     labelled = labels.where(usable).select("doc_id", F.col(label).cast("int").alias("y"))
     sample = common.labelled_sample(documents, labelled, list(per_class), most_bytes)
     got = sorted(sample.select("doc_id", "y", "text").collect(), key=lambda r: (r[0], r[1], r[2]))
-    return fit([r["text"] for r in got], np.array([r["y"] for r in got], np.int64), threshold)
+    model = fit([r["text"] for r in got], np.array([r["y"] for r in got], np.int64), threshold)
+    del got
+    common.release()
+    return model
 
 
 def scores(texts: pa.Array, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
