@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from fragloom.llm import lines, similar, textcols
+from fragloom.llm import common, decontam, lines, similar, textcols
 
 
 def test_quick_hashes_tell_words_apart():
@@ -67,6 +67,12 @@ def test_bands_of_diagonals_give_the_edit_distance():
     assert (far[np.array(wanted)] <= most[np.array(wanted)]).all()
 
 
+def test_the_driver_holds_little():
+    """Places that are broadcast take some 184 bytes each (69 MB for 375,387); freed memory is given back where the system can."""
+    assert decontam.BROADCAST_PLACES * 184 <= 20 << 20
+    common.release()
+
+
 def test_lines_are_told_apart_where_they_meet(spark):
     """Lines of one alphabet that share a passage, or half of their words, are not joined with their texts pair by pair."""
     rng = np.random.default_rng(32)
