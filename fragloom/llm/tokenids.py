@@ -36,6 +36,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text whose distinct words are encoded together.
 CHUNK_BYTES = 16 << 20
+#: Words whose ids an encoder keeps from one chunk to the next, at most so many and of so many bytes each; the others are encoded again.
+KNOWN_WORDS, KNOWN_BYTES = 1 << 18, 32
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 META = struct.Struct("<qBB")
@@ -82,11 +84,38 @@ def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
 WORD_AND_SIGNS = r"^(?P<core>\p{L}+)(?P<signs>[^\s\p{L}\p{N}\p{M}\p{Z}\p{C}']+)$"
 
 
+#: Signs that most words end in, and the first byte of a character beyond the Latin letters.
+USUAL_SIGNS, BEYOND_LATIN = ".,;:!?", 0xCA
+
+
+def word_and_signs(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words cut by WORD_AND_SIGNS; those that it does not match are whole, with no signs. Latin words with no sign or one usual one are known without it."""
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = np.flatnonzero(size)
+    latin = np.zeros(len(words), bool)
+    if len(full):
+        latin[full] = np.maximum.reduceat(tc.joined(words), (np.cumsum(size) - size)[full]) < BEYOND_LATIN
+    bare = pc.utf8_rtrim(words, characters=USUAL_SIGNS)
+    n = pc.binary_length(bare).to_numpy(zero_copy_only=False).astype(np.int64)
+    letters = pc.utf8_is_alpha(bare).to_numpy(zero_copy_only=False)
+    known = latin & letters & (size - n <= 1)
+    end = np.where(known & (size > n), 1, 0)
+    last = tc.joined(words)[np.cumsum(size)[end > 0] - 1] if end.any() else np.zeros(0, np.uint8)
+    sign = np.zeros(len(words), np.int32)
+    sign[end > 0] = 1 + np.searchsorted(np.sort(np.frombuffer(USUAL_SIGNS.encode(), np.uint8)), last)
+    signs = pa.array(["", *sorted(USUAL_SIGNS)], pa.string()).take(pa.array(sign))
+    other = pa.array(~known)
+    split = pc.extract_regex(words.filter(other), WORD_AND_SIGNS)
+    core = pc.replace_with_mask(bare, other, pc.coalesce(pc.struct_field(split, "core"), words.filter(other)))
+    return core, pc.replace_with_mask(signs, other, pc.fill_null(pc.struct_field(split, "signs"), ""))
+
+
 class Encoder:
     """Ids of texts, those of the library's own settings. A text without odd white space and added tokens is cut before each space, and words from the signs after them: no token of a byte-level
     vocabulary spans these places. So the distinct parts of many texts are encoded once, and put together by array operations.
 
-    The parts are encoded many in one string; as every token stands for a known number of bytes, its ids fall apart again at the parts' ends.
+    The parts are encoded many in one string; as every token stands for a known number of bytes, its ids fall apart again at the parts' ends. A worker's encoder
+    knows the words that it met first, so that they are not encoded again for each chunk.
     """
 
     def __init__(self, path: str):
@@ -100,6 +129,7 @@ class Encoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
+        self.known, self.known_ids, self.known_count = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str], at_once: int = 16) -> list[np.ndarray]:
         """A few texts at a time: the library's results take a hundred bytes a token."""
@@ -122,6 +152,26 @@ class Encoder:
             counts.append(np.diff(cut, prepend=0))
         return ids_of, counts
 
+    def _cores(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids of the words, each with a space before it, in blocks; where each word's begin in these, and how many there are. Only words that are not known are encoded."""
+        met = pc.index_in(words, value_set=self.known)
+        new = met.is_null().to_numpy(zero_copy_only=False)
+        begin, count = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        at = met.drop_null().to_numpy()
+        count[~new] = self.known_count[at]
+        begin[~new] = (np.cumsum(self.known_count) - self.known_count)[at]
+        fresh = words.filter(pa.array(new))
+        ids, counts = (np.concatenate([*x, np.zeros(0, x[0].dtype if x else np.int64)]) for x in self._spaced(fresh))
+        count[new], begin[new] = counts, len(self.known_ids) + np.cumsum(counts) - counts
+        blocks = [self.known_ids, ids.astype(np.uint32)]
+        keep = pc.less_equal(pc.binary_length(fresh), KNOWN_BYTES).to_numpy(zero_copy_only=False)
+        keep &= np.cumsum(keep) <= KNOWN_WORDS - len(self.known)
+        if keep.any():
+            self.known = pa.concat_arrays([self.known, fresh.filter(pa.array(keep))])
+            self.known_ids = np.concatenate([self.known_ids, blocks[1][np.repeat(keep, counts)]])
+            self.known_count = np.concatenate([self.known_count, counts[keep]])
+        return blocks, begin, count
+
     def column(self, texts: pa.Array, step: int = 256):
         """(first text, ids, offsets) for ``step`` texts after the other."""
         texts = tc.as_text(texts)
@@ -130,26 +180,23 @@ class Encoder:
         at = lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         word, distinct = tc.coded(lists.flatten())
-        split = pc.extract_regex(distinct, WORD_AND_SIGNS)
-        core = pc.struct_field(split, "core")
-        signs = pc.fill_null(pc.struct_field(split, "signs"), "")
-        core_code, cores = tc.coded(pc.coalesce(core, distinct))
+        core, signs = word_and_signs(distinct)
+        core_code, cores = tc.coded(core)
         sign_code, sign_words = tc.coded(signs)
         # a text's first word has no space before it
         first = at[:-1][np.diff(at) > 0]
         starts, alike = np.unique(core_code[word[first]], return_inverse=True)
-        pool, count = self._spaced(cores)
+        pool, begin, count = self._cores(cores)
         for some in (sign_words, cores.take(pa.array(starts))):
             each = self.encode(some.to_pylist())
-            pool += each
-            count.append(np.array([len(x) for x in each], np.int64))
-        pool, count = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (pool, count))
-        begin = np.cumsum(count) - count
+            n = np.array([len(x) for x in each], np.int64)
+            begin, count = np.concatenate([begin, sum(map(len, pool)) + np.cumsum(n) - n]), np.concatenate([count, n])
+            pool = [np.concatenate([*pool, *each])]
+        pool = np.concatenate(pool)
         slots = np.empty((len(word), 2), np.int32)
         slots[:, 0] = core_code[word] if len(word) else 0
         slots[:, 1] = len(cores) + sign_code[word] if len(word) else 0
         slots[first, 0] = len(cores) + len(sign_words) + alike
-        pool = pool.astype(np.uint32)
         place = np.concatenate([[0], np.cumsum(~odd)])
         for i in range(0, len(texts), step):
             j = min(i + step, len(texts))

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 import corpus_pipeline
-from fragloom.llm import common, decontam, lines, similar, textcols
+from fragloom.llm import common, decontam, lines, similar, textcols, tokenids
 
 
 def test_quick_hashes_tell_words_apart():
@@ -172,3 +173,24 @@ def test_batches_of_long_rows_are_small(spark):
 
     wide = spark.range(0, 300, 1, 1).selectExpr("array_repeat(int(id), 50000) AS x")
     assert max(r["n"] for r in textcols.map_arrow(wide, run, "n long").collect()) < 2 * textcols.BYTES_PER_BATCH
+
+
+def test_words_met_before_are_not_encoded_again():
+    """The ids are the library's, and a second chunk has only its new words encoded."""
+    enc = tokenids.Encoder(tokenids.vocabulary_path())
+    text = pa.array(["plain words, some signs!? é.\nB it's x1. …", "", "words plain, ok.", None])
+    for part in (text, text, pa.array(["ok words new."])):
+        got = [ids[a:b].tolist() for _, ids, at in enc.column(part) for a, b in zip(at, at[1:])]
+        assert got == [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in part.to_pylist()]
+    seen, spaced = [], enc._spaced
+    enc._spaced = lambda words: seen.extend(words.to_pylist()) or spaced(words)
+    for _ in enc.column(pa.array(["plain words, other signs"])):
+        pass
+    assert seen == ["other"]
+
+
+def test_words_are_cut_from_signs_as_by_the_pattern():
+    words = pa.array(["", "a", "a.", "a..", ".", "...", "éß!", "a'b,", "x1.", "日本.", "ʰ;", "ª,", "o\n", "o.\nA", "(a)", "á?", "ab…"])
+    split = pc.extract_regex(words, tokenids.WORD_AND_SIGNS)
+    core, signs = tokenids.word_and_signs(words)
+    assert core.equals(pc.coalesce(pc.struct_field(split, "core"), words)) and signs.equals(pc.fill_null(pc.struct_field(split, "signs"), ""))
