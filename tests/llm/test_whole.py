@@ -194,3 +194,18 @@ def test_words_are_cut_from_signs_as_by_the_pattern():
     split = pc.extract_regex(words, tokenids.WORD_AND_SIGNS)
     core, signs = tokenids.word_and_signs(words)
     assert core.equals(pc.coalesce(pc.struct_field(split, "core"), words)) and signs.equals(pc.fill_null(pc.struct_field(split, "signs"), ""))
+
+
+def test_few_copies_go_without_a_shuffle_of_texts(spark):
+    """The documents lose their near copies by keys that are broadcast, whatever Spark would broadcast by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = " ".join(f"word{k}" for k in range(60))
+        docs = spark.createDataFrame([(1, words), (2, words + " more"), (3, "nothing of the kind")], "doc_id long, text string")
+        left = similar.one_of_each(docs)
+        assert sorted(r["doc_id"] for r in left.collect()) == [1, 3]
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
