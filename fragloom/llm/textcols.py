@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from . import common
+
 #: Bytes of text that one step of a kernel takes at most (one text may be longer). A kernel takes up to fifty times that for a moment.
 CHUNK_BYTES = 4 << 20
 
@@ -163,9 +165,16 @@ BYTES_PER_BATCH = 8 << 20
 
 
 def map_arrow(df, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema):
-    """``mapInArrow`` with batches of at most ROWS_PER_BATCH rows and about BYTES_PER_BATCH bytes."""
+    """``mapInArrow`` with batches of at most ROWS_PER_BATCH rows and about BYTES_PER_BATCH bytes. After each task its worker, which waits for others, gives freed memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            common.release()
+
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= ROWS_PER_BATCH:
         conf.set(key, ROWS_PER_BATCH)
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)

@@ -209,3 +209,31 @@ def test_few_copies_go_without_a_shuffle_of_texts(spark):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_workers_give_freed_memory_back(spark):
+    """What a task has freed does not stay with its worker, which waits for others beside the executor's heap."""
+
+    def hold(batches):
+        import os
+        import sys
+
+        pieces = [bytes(1000) for _ in range(200_000)]
+        sys.modules["piece_that_stays"] = pieces[-1]  # the last one, so that the heap cannot just end earlier
+        del pieces
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()])], ["x"])
+
+    def held(batches):
+        import os
+        import re
+        from pathlib import Path
+
+        for _ in batches:
+            anon = int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1])
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([anon])], ["x", "anon"])
+
+    one = spark.range(1).coalesce(1)
+    worker = textcols.map_arrow(one, hold, "x long").collect()[0]["x"]
+    seen = dict(tuple(textcols.map_arrow(one, held, "x long, anon long").collect()[0]) for _ in range(12))
+    assert seen[worker] < 150_000
