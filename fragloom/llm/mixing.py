@@ -35,6 +35,8 @@ from . import textcols as tc
 #: Domains of the labels table and the share of all tokens that each shall have.
 DOMAINS = ("clean", "low", "toxic")
 TARGET = (0.95, 0.04, 0.01)
+#: Bytes of text whose posteriors are made together: the numbers of their words take many times that, beside those of earlier stages.
+CHUNK_BYTES = 2 << 20
 #: At most so many labelled documents of each domain, of common.SAMPLE_BYTES in all, are used for training.
 SAMPLE_PER_CLASS = 1200
 ROUNDS = 200
@@ -109,7 +111,7 @@ def posteriors(documents: DataFrame, model: DomainModel, keep: list[str]) -> Dat
 
     def run(batches):
         weights, bias = held.value
-        for b in tc.chunks(batches):
+        for b in tc.chunks(batches, limit=CHUNK_BYTES):
             p, words = _posterior(b.column("text"), weights, bias)
             post = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(words), post], [*keep, "tokens", "posterior"])
@@ -216,7 +218,7 @@ def taken(documents: DataFrame, labels: DataFrame, target: tuple[float, ...] = T
 
     def run(batches):
         weights, bias = held.value
-        for b in tc.chunks(batches):
+        for b in tc.chunks(batches, limit=CHUNK_BYTES):
             r, _ = rates_after(_posterior(b.column("text"), weights, bias)[0], steps, floor, L2)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], [*names, rate])
 
