@@ -132,8 +132,8 @@ def _join_low(rows: DataFrame, low: DataFrame) -> DataFrame:
     return rows.withColumn("again", again).join(low.withColumn("again", again), ["u", "again"])
 
 
-def group_runs(batches, keys: list[str], least: int = 50_000):
-    """Record batches sorted by ``keys`` -> tables that hold whole groups, about ``least`` rows or one group in each.
+def group_runs(batches, keys: list[str], least: int = 50_000, weight=lambda b: b.num_rows):
+    """Record batches sorted by ``keys`` -> tables that hold whole groups, about ``least`` rows (or what ``weight`` counts) or one group in each.
 
     Returns (table, starts): starts are the rows at which groups begin.
     """
@@ -143,7 +143,7 @@ def group_runs(batches, keys: list[str], least: int = 50_000):
         if not b.num_rows:
             continue
         kept.append(b)
-        rows += b.num_rows
+        rows += weight(b)
         if rows < wanted:
             continue
         t = pa.Table.from_batches(kept).combine_chunks()
@@ -151,7 +151,7 @@ def group_runs(batches, keys: list[str], least: int = 50_000):
         if len(starts) > 1:
             yield t.slice(0, int(starts[-1])), starts[:-1]
         kept = t.slice(int(starts[-1])).combine_chunks().to_batches()
-        rows = t.num_rows - int(starts[-1])
+        rows = sum(map(weight, kept))
         wanted = rows + least  # a group longer than that is not looked through again for each batch
     if kept:
         t = pa.Table.from_batches(kept).combine_chunks()

@@ -348,34 +348,40 @@ def _few_differ(t: pa.Table, length: np.ndarray, most: np.ndarray):
     return near
 
 
+def _meeting(t: pa.Table, starts: np.ndarray, similarity: float):
+    """(x, y) rows of a table of ``_cells`` that meet in a cell and may be similar by their lengths, some at a time: x is no longer than y."""
+    n = np.diff(np.append(starts, t.num_rows))
+    end = np.repeat(np.append(starts[1:], t.num_rows), n)
+    size, mark, spot = (t.column(c).to_numpy() for c in ("size", "mark", "spot"))
+    length, guest, higher = size >> 1, mark & 1, mark >> 1
+    one_tile = (spot >> 25 & (1 << 25) - 1) == (spot & (1 << 25) - 1)
+    most = allowed(length, similarity)
+    i = np.arange(t.num_rows)
+    for d in range(1, int(n.max(initial=0))):
+        i = i[i + d < end[i]]
+        i = i[length[i + d] - length[i] <= most[i + d]]  # sorted by length: what is too short for one is so for the next
+        if not len(i):
+            break
+        j = i + d
+        ok = (guest[i] + guest[j] < 2) & (one_tile[i] | (higher[i] != higher[j]))
+        x, y = i[ok], j[ok]
+        yield from zip(np.array_split(x, len(x) // 100_000 + 1), np.array_split(y, len(y) // 100_000 + 1))
+
+
 def _candidates(batches, similarity: float, forest: bool, filter_: Callable | None = None, nearest: int = 0):
     for t, starts in common.group_runs(batches, ["cell", "spot"]):
-        n = np.diff(np.append(starts, t.num_rows))
-        if n.max(initial=0) < 2:
-            continue
-        end = np.repeat(np.append(starts[1:], t.num_rows), n)
-        size, h, mark, spot = (t.column(c).to_numpy() for c in ("size", "h", "mark", "spot"))
-        length, guest, higher = size >> 1, mark & 1, mark >> 1
-        one_tile = (spot >> 25 & (1 << 25) - 1) == (spot & (1 << 25) - 1)
+        h = t.column("h").to_numpy()
         group = t.column("group").to_numpy() if "group" in t.column_names else h
-        most = allowed(length, similarity)
-        near = filter_(t) if filter_ else _few_differ(t, length, most)
-        i = np.arange(t.num_rows)
+        near = filter_(t) if filter_ else _few_differ(t, t.column("size").to_numpy() >> 1, allowed(t.column("size").to_numpy() >> 1, similarity))
         a, b, far = [], [], []
-        for d in range(1, int(n.max())):
-            i = i[i + d < end[i]]
-            i = i[length[i + d] - length[i] <= most[i + d]]  # sorted by length: what is too short for one is so for the next
-            if not len(i):
-                break
-            j = i + d
-            ok = (group[i] != group[j]) & (guest[i] + guest[j] < 2) & (one_tile[i] | (higher[i] != higher[j]))
-            x, y = i[ok], j[ok]
-            for x, y in zip(np.array_split(x, len(x) // 100_000 + 1), np.array_split(y, len(y) // 100_000 + 1)):
-                each = near(x, y)
-                ok = np.isfinite(each)
-                a.append(x[ok])
-                b.append(y[ok])
-                far.append(each[ok])
+        for x, y in _meeting(t, starts, similarity):
+            ok = group[x] != group[y]
+            x, y = x[ok], y[ok]
+            each = near(x, y)
+            ok = np.isfinite(each)
+            a.append(x[ok])
+            b.append(y[ok])
+            far.append(each[ok])
         if not sum(map(len, a)):
             continue
         a, b = np.concatenate(a), np.concatenate(b)
@@ -390,6 +396,90 @@ def _candidates(batches, similarity: float, forest: bool, filter_: Callable | No
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second))], ["a", "b"])
 
 
+def _meeting_rows(batches, similarity: float):
+    """The rows of ``_cells`` that have a candidate in their cell."""
+    for t, starts in common.group_runs(batches, ["cell", "spot"]):
+        length, h = t.column("size").to_numpy() >> 1, t.column("h").to_numpy()
+        near, met = _few_differ(t, length, allowed(length, similarity)), np.zeros(t.num_rows, bool)
+        for x, y in _meeting(t, starts, similarity):
+            ok = ~(met[x] & met[y]) & (h[x] != h[y])
+            x, y = x[ok], y[ok]
+            ok = np.isfinite(near(x, y))
+            met[x[ok]] = met[y[ok]] = True
+        if met.any():
+            yield from t.filter(pa.array(met)).to_batches()
+
+
+def _own(t: pa.Table) -> Callable:
+    """Which pairs of the table's rows meet in this cell first: it is the smallest of the blocks that both have. So no pair is compared in two cells."""
+    cell, packed_ = t.column("cell").to_numpy(), t.column("blocks").combine_chunks()
+    n = pc.binary_length(packed_).to_numpy().astype(np.int64) // 8
+    flat = np.frombuffer(b"".join(packed_.to_pylist()), "<i8")
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    lower = flat < cell[row]
+    blocks = np.repeat(cell[:, None], max(int(n.max(initial=0)), 1), axis=1)  # blocks that are not lower than the cell don't count
+    blocks[row[lower], place[lower]] = flat[lower]
+
+    def own(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(x), bool)
+        for k in range(0, len(x), 20_000):
+            one, two = blocks[x[k : k + 20_000]], blocks[y[k : k + 20_000]]
+            shared, here = np.zeros(len(one), bool), cell[x[k : k + 20_000]]
+            for c in one.T:
+                shared |= ((two == c[:, None]).any(axis=1)) & (c != here)
+            ok[k : k + 20_000] = ~shared
+        return ok
+
+    return own
+
+
+#: Bytes of rows that are compared at a time, and of the texts of their pairs.
+COMPARED, PAIR_BYTES = 8 << 20, 4 << 20
+
+
+def _linked_rows(batches, similarity: float):
+    """(a, b): links between similar lines that meet in a cell, enough of them to join what they join.
+
+    Every pair is compared, or its lines are joined already by others: first a spanning forest of the pairs, twice, then all that are left, the nearest ones first.
+    """
+    for t, starts in common.group_runs(batches, ["cell", "spot"], COMPARED, lambda b: b.nbytes):
+        h, code = np.unique(t.column("h").to_numpy(), return_inverse=True)
+        length, norm = t.column("size").to_numpy() >> 1, t.column("norm").combine_chunks()
+        near, own = _few_differ(t, length, allowed(length, similarity)), _own(t)
+        a, b, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for x, y in _meeting(t, starts, similarity):
+            ok = code[x] != code[y]
+            x, y = x[ok], y[ok]
+            each = near(x, y)
+            ok = np.flatnonzero(np.isfinite(each))
+            ok = ok[own(x[ok], y[ok])]
+            a.append(x[ok])
+            b.append(y[ok])
+            far.append(each[ok])
+        a, b, far = np.concatenate(a), np.concatenate(b), np.concatenate(far)
+        label, left, links = np.arange(len(h)), np.argsort(far, kind="stable"), []
+        turn = 0
+        while len(left):
+            if turn < 2:
+                now = left[_tree(label, code[a[left]], code[b[left]])]
+            else:
+                now = left[: max(int(np.searchsorted(np.cumsum(2 * length[b[left]]), PAIR_BYTES)), 1)]
+            for part in np.split(now, np.flatnonzero(np.diff(np.cumsum(2 * length[b[now]]) // PAIR_BYTES)) + 1):
+                hit = part[similar_enough(norm.take(pa.array(a[part])), norm.take(pa.array(b[part])), allowed(length[b[part]], similarity))]
+                links.append(hit)
+            seen = np.zeros(len(a), bool)
+            seen[now] = True
+            joined = np.concatenate(links)
+            label = common.local_labels(code[a[joined]], code[b[joined]], len(h))
+            left = left[~seen[left]]
+            left = left[label[code[a[left]]] != label[code[b[left]]]]
+            turn += 1
+        if links and len(joined := np.concatenate(links)):
+            one, two = _forest(code[a[joined]], code[b[joined]], len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(h[np.minimum(one, two)]), pa.array(h[np.maximum(one, two)])], ["a", "b"])
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links a-b between 0..n-1, all of them links given."""
     tree = _tree(np.arange(n), a, b)
@@ -449,9 +539,10 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 LONG = 1000
 #: How many edits that search goes up to.
 FEW = 48
-#: Lines of so few allowed edits are compared many pairs at a time, so many.
+#: The edits that a word has bits for; pairs are compared so many at a time, with up to WORDS words each. There have to be ENOUGH of them if they take more than one.
 BAND = 63
 PAIRS = 2048
+WORDS, ENOUGH = 4, 24
 
 
 def edit_distance(x: np.ndarray, y: np.ndarray, most: int) -> int:
@@ -489,48 +580,77 @@ def _columns(x: list[int], y: list[int]) -> int:
 
 
 def _banded(x: np.ndarray, xat: np.ndarray, nx: np.ndarray, y: np.ndarray, yat: np.ndarray, ny: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Whether the edit distance of each pair is at most ``most`` (BAND at the most); the pair k is the nx[k] characters of x from xat[k] on, and the ny[k] >= nx[k] of y from yat[k] on.
+    """Whether the edit distance of each pair is at most ``most``; the pair k is the nx[k] characters of x from xat[k] on, and the ny[k] >= nx[k] of y from yat[k] on.
 
     Bit-parallel columns over all pairs at once. A path of so few edits stays on as many diagonals and one more, around that of the last cell and of the first: these are the
-    bits of a word, which moves down a row with each column. The distance is followed along the last cell's diagonal, on which it never falls: pairs beyond their edits are dropped.
+    bits of a word, or of some words (the lowest first) if there are over BAND, which move down a row with each column. The distance is followed along the last cell's diagonal,
+    on which it never falls: pairs beyond their edits are dropped.
     """
     out = np.zeros(len(nx), bool)
-    order = np.argsort(ny, kind="stable")
     kind = np.uint16 if max(x.max(initial=0), y.max(initial=0)) < 65_000 else np.uint32
-    for k in range(0, len(order), PAIRS):
-        left = order[k : k + PAIRS]
-        n, m = ny[left], nx[left]
-        side = (most[left] - (n - m)) // 2
-        lead = n - m + side
-        wide = int(n.max(initial=0))
-        rows, columns = np.zeros((len(left), wide + 2 * BAND + 2), kind), np.zeros((len(left), wide), kind)
-        for into, of, at, size, shift in ((rows, x, xat[left], m, lead), (columns, y, yat[left], n, np.zeros(len(left), np.int64))):
-            pair = np.repeat(np.arange(len(left)), size)
-            place = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
-            into[pair, shift[pair] + place] = of[at[pair] + place] + np.uint64(1)  # 0 is none
-        every = np.uint64(0xFFFFFFFFFFFFFFFF)
-        up, down = every << lead.astype(np.uint64), np.zeros(len(left), np.uint64)
-        follow, one, d, limit = side.astype(np.uint64), np.uint64(1), n - m, most[left]
-        width = 32 if int(lead.max(initial=0) + side.max(initial=0)) < 32 else 64
-        with np.errstate(over="ignore"):
-            for j in range(wide):
-                same = np.packbits(rows[:, j : j + width] == columns[:, j, None], axis=1, bitorder="little").view(f"<u{width // 8}")[:, 0].astype(np.uint64)
-                zero = (((same & up) + up) ^ up) | same | down
-                plus, minus = down | ~(zero | up), zero & up
-                d = d + ((j >= n - m) & (zero >> follow & one == 0) & (j < n))
-                down = zero >> one
-                up, down = minus | ~(down | plus), down & plus
-                if j % 16 == 15 or j + 1 == wide:
-                    ended = j + 1 >= n
-                    out[left[ended & (d <= limit)]] = True
-                    stay = np.flatnonzero(~ended & (d <= limit))
-                    if not len(stay):
-                        break
-                    if len(stay) < 0.8 * len(left):
-                        left, n, m, d, limit, up, down, follow, rows, columns = (v[stay] for v in (left, n, m, d, limit, up, down, follow, rows, columns))
+    words = most // (BAND + 1) + 1
+    for n_words in np.unique(words):
+        order = np.flatnonzero(words == n_words)
+        order = order[np.argsort(ny[order], kind="stable")]
+        step = max(PAIRS // int(n_words), 1)
+        for k in range(0, len(order), step):
+            _band(order[k : k + step], int(n_words), kind, out, x, xat, nx, y, yat, ny, most)
     return out
 
 
+def _band(left: np.ndarray, words: int, kind, out: np.ndarray, x: np.ndarray, xat: np.ndarray, nx: np.ndarray, y: np.ndarray, yat: np.ndarray, ny: np.ndarray, most: np.ndarray) -> None:
+    """The pairs ``left`` of ``_banded``, whose bands take so many words: ``out`` is set where they are similar."""
+    n, m = ny[left], nx[left]
+    side = (most[left] - (n - m)) // 2
+    lead = n - m + side
+    wide, bits = int(n.max(initial=0)), (BAND + 1) * words
+    rows, columns = np.zeros((len(left), wide + 2 * bits), kind), np.zeros((len(left), wide), kind)
+    for into, of, at, size, shift in ((rows, x, xat[left], m, lead), (columns, y, yat[left], n, np.zeros(len(left), np.int64))):
+        pair = np.repeat(np.arange(len(left)), size)
+        place = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+        into[pair, shift[pair] + place] = of[at[pair] + place] + np.uint64(1)  # 0 is none
+    every, one, last = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1), np.uint64(BAND)
+    low = [np.clip(lead - (BAND + 1) * w, 0, BAND + 1) for w in range(words)]
+    up, down = [np.where(v > BAND, np.uint64(0), every << np.minimum(v, BAND).astype(np.uint64)) for v in low], [np.zeros(len(left), np.uint64)] * words
+    at_word, follow, d, limit = side // (BAND + 1), (side % (BAND + 1)).astype(np.uint64), n - m, most[left]
+    width = 32 if int(lead.max(initial=0) + side.max(initial=0)) < 32 else bits
+    with np.errstate(over="ignore"):
+        for j in range(wide):
+            same = np.packbits(rows[:, j : j + width] == columns[:, j, None], axis=1, bitorder="little").view("<u4" if width == 32 else "<u8").astype(np.uint64)
+            zero, carry = [], None
+            for w in range(words):
+                part = same[:, w]
+                both = part & up[w]
+                total = both + up[w]
+                if words > 1:
+                    over = total < both
+                    if carry is not None:
+                        total = total + carry
+                        over |= total < carry
+                    carry = over
+                zero.append((total ^ up[w]) | part | down[w])
+            if words == 1:
+                followed = zero[0]
+            else:
+                followed = np.choose(at_word, zero)
+            d = d + ((j >= n - m) & (followed >> follow & one == 0) & (j < n))
+            for w in range(words):
+                plus, minus = down[w] | ~(zero[w] | up[w]), zero[w] & up[w]
+                moved = zero[w] >> one
+                if w + 1 < words:
+                    moved = moved | zero[w + 1] << last
+                up[w], down[w] = minus | ~(moved | plus), moved & plus
+            if j % 16 == 15 or j + 1 == wide:
+                ended = j + 1 >= n
+                out[left[ended & (d <= limit)]] = True
+                stay = np.flatnonzero(~ended & (d <= limit))
+                if not len(stay):
+                    break
+                if len(stay) < 0.8 * len(left):
+                    left, n, m, d, limit, at_word, follow, rows, columns = (v[stay] for v in (left, n, m, d, limit, at_word, follow, rows, columns))
+                    up, down = [v[stay] for v in up], [v[stay] for v in down]
+
+
 def _few_edits(x: np.ndarray, y: np.ndarray, most: int) -> int:
     """Edit distance, or most + 1 if it is more.
 
@@ -619,8 +739,8 @@ def _shared_grams(x: np.ndarray, xat: np.ndarray, y: np.ndarray, yat: np.ndarray
 def similar_enough(one: pa.Array, two: pa.Array, most: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most ``most``.
 
-    Pairs that differ in one short stretch, or only in single characters of equally long lines, are settled by comparing columns; those of up to BAND edits are compared in bands of
-    diagonals, many at once. Of the longer ones, those that share too few grams for their edits (each touches LONG_GRAM of them) are not similar; the others are compared one by one.
+    Pairs that differ in one short stretch, or only in single characters of equally long lines, are settled by comparing columns. Of those of over BAND edits, the ones that share too few
+    grams for them (each touches LONG_GRAM of them) are not similar. The others are compared in bands of diagonals, many at once, and one by one where the bands are too wide or the pairs too few.
     """
     (x, xat), (y, yat) = _codes(one), _codes(two)
     nx, ny = np.diff(xat), np.diff(yat)
@@ -629,7 +749,9 @@ def similar_enough(one: pa.Array, two: pa.Array, most: np.ndarray) -> np.ndarray
     tail = np.minimum(_aligned(x, xat, y, yat, n, True)[0], n - head)
     out = (np.maximum(nx, ny) - head - tail <= most) | ((nx == ny) & (differ <= most))
     left = ~out & (np.abs(nx - ny) <= most)
-    banded = left & (most <= BAND) & (np.maximum(nx, ny) <= LONG)
+    words = most // (BAND + 1) + 1
+    left[left] = (words[left] == 1) | (_shared_grams(x, xat, y, yat) >= nx - LONG_GRAM + 1 - LONG_GRAM * most)[left] if (left & (words > 1)).any() else True
+    banded = left & ((words == 1) & (np.maximum(nx, ny) <= LONG) | (words > 1) & (np.bincount(words[left], minlength=int(words.max(initial=1)) + 1)[words] >= ENOUGH) & (words <= WORDS))
     few = np.flatnonzero(banded)
     if len(few):
         begin, size = [at[:-1][few] + head[few] for at in (xat, yat)], [n[few] - head[few] - tail[few] for n in (nx, ny)]
@@ -639,9 +761,6 @@ def similar_enough(one: pa.Array, two: pa.Array, most: np.ndarray) -> np.ndarray
         at, n = [np.where(swap, v[1], v[0]) for v in (begin, size)], [np.where(swap, v[0], v[1]) for v in (begin, size)]
         out[few] = _banded(flat, at[0], at[1], flat, n[0], n[1], most[few])
     left &= ~banded
-    if not left.any():
-        return out
-    left[left] = (_shared_grams(x, xat, y, yat) >= nx - LONG_GRAM + 1 - LONG_GRAM * most)[left]
     for k in np.flatnonzero(left):
         i, j = int(xat[k]), int(yat[k])
         out[k] = edit_distance(x[i + head[k] : xat[k + 1] - tail[k]], y[j + head[k] : yat[k + 1] - tail[k]], int(most[k])) <= most[k]
@@ -705,6 +824,20 @@ def groups_of(classes: DataFrame, similarity: float, texts_of: Callable[[DataFra
     return grouped.join(higher, "group", "left").select(F.col("h").alias("node"), F.coalesce("component", "group").alias("component"))
 
 
+def linked(classes: DataFrame, similarity: float, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) as of ``groups_of``: classes are compared in the cells where they meet, where their texts come to; no pair of classes is a row before it is a link."""
+    cells = _cells(classes.select("h", "size", "c0", "c1", "blocks"), similarity)
+    met = common.written(tc.map_arrow(cells, lambda it: _meeting_rows(it, similarity), cells.schema), "lines-met")
+    wanted = common.written(met.select("h").distinct(), "lines-wanted")
+    involved = common.written(classes.join(few(wanted), "h"), "lines-involved")
+    texts = common.written(texts_of(involved), "lines-texts")
+    told = involved.select("h", "blocks").join(texts, "h")
+    rows = met.join(told, "h").repartition("cell", "spot").sortWithinPartitions("cell", "spot", "size")
+    links = common.written(tc.map_arrow(rows, lambda it: _linked_rows(it, similarity), "a long, b long"), "lines-links")
+    common.delete(met, wanted, involved, texts)
+    return common.components(links, "lines-components")
+
+
 def _kept_rows(batches):
     for texts, _, ids, group, of, first, _, _ in substring._by_text(batches):
         every, at = lines_of(pa.array(texts, pa.string()))
@@ -724,7 +857,7 @@ def deduplicated(documents: DataFrame, similarity: float = SIMILARITY) -> DataFr
     """(doc_id, n_lines, n_removed, text) of every document; text: the lines kept."""
     docs = substring.keyed(documents)
     classes = common.written(classes_of(docs), "lines-classes")
-    groups = groups_of(classes, similarity, lambda involved: _texts(docs, involved), nearest=NEAREST)
+    groups = linked(classes, similarity, lambda involved: _texts(docs, involved))
     named = classes.select("h", "first").join(groups.select(F.col("node").alias("h"), "component"), "h", "left").select(F.coalesce("component", "h").alias("g"), "first")
     kept = named.groupBy("g").agg(F.min("first").alias("first"))
     marks = kept.select(F.col("first.key").alias("key"), F.col("first.line").alias("first"), F.lit(1).alias("n"), F.lit(True).alias("known"))

@@ -253,3 +253,53 @@ def test_long_fuzzy_lines_have_blocks_enough():
     for i, k in zip(row.tolist(), block.tolist()):
         cells[i].add(k)
     assert np.mean([bool(cells[k] & cells[600 + k]) for k in range(600)]) >= 0.96
+
+
+def test_lines_that_meet_are_not_listed_as_pairs(spark, monkeypatch):
+    """A large group of near copies, few of them similar enough: no table grows with the square of the group, and the groups are those of all pairs."""
+    rng = np.random.default_rng(51)
+    made = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5))
+    base, texts = [made() for _ in range(40)], []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.choice(40, int(rng.integers(2, 5)), replace=False):
+            words[at] = made()
+        texts.append(" ".join(words))
+    rows = []
+
+    def written(df, what):
+        out = common_written(df, what)
+        rows.append(out.count())
+        return out
+
+    common_written = common.written
+    monkeypatch.setattr(common, "written", written)
+    got = {r["doc_id"]: r["n_removed"] for r in lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    label, pairs = list(range(120)), 0
+    codes = [[ord(c) for c in t] for t in texts]
+    for b in range(120):
+        for a in range(b):
+            if label[a] != label[b] and lines._columns(codes[a], codes[b]) <= int(0.1 * max(len(codes[a]), len(codes[b])) + 1e-9):
+                label, pairs = [min(label[a], label[b]) if k in (label[a], label[b]) else k for k in label], pairs + 1
+    assert 0 < pairs < 119 and got == {k: int(label[k] != k) for k in range(120)}
+    assert max(rows) < 120 * 119 / 4
+
+
+def test_long_lines_are_compared_in_bands_of_several_words():
+    rng = np.random.default_rng(52)
+    one, two, most, wanted = [], [], [], []
+    for _ in range(160):
+        a = rng.choice(list("abcé"), int(rng.integers(500, 1500))).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(0, 150))):
+            i = int(rng.integers(0, len(b)))
+            b[i : i + int(rng.integers(3))] = rng.choice(list("abx"), int(rng.integers(3))).tolist()
+        d = lines._columns([ord(c) for c in a], [ord(c) for c in b])
+        most.append(min(max(0, d + int(rng.integers(-1, 2))), 255))
+        one, two, wanted = [*one, "".join(a)], [*two, "".join(b)], [*wanted, d <= most[-1]]
+    (x, xat), (y, yat) = lines._codes(pa.array(one)), lines._codes(pa.array(two))
+    nx, ny, most = np.diff(xat), np.diff(yat), np.array(most)
+    ok = np.flatnonzero((nx <= ny) & (ny - nx <= most))
+    got = lines._banded(x, xat[:-1][ok], nx[ok], y, yat[:-1][ok], ny[ok], most[ok])
+    assert (most[ok] > lines.BAND).sum() > 20 and got.tolist() == [wanted[k] for k in ok]
+    assert lines.similar_enough(pa.array(one), pa.array(two), most).tolist() == wanted
