@@ -13,10 +13,10 @@ Blocks of a 64-bit SimHash, which this takes the place of, would have to allow f
 Pairs that meet are candidates if their lengths allow the similarity and so do the counts of their characters (a lower bound of the edits, which loses nothing). In lines of
 LONG_WORDS words or more, whose characters say little, ALIKE of 16 slots have to hold the same block instead: the first of the random order in that slot.
 
-Candidates of one cell are first handed on as a spanning forest. Of these each line's pair with the smallest one is verified by edit distance on the normalised texts, and the links
-make groups; then a forest of the candidates between groups and the NEAREST ones of each line; in a third pass the candidates that still lie in different groups, every one.
-The later passes know the counts of FINE groups of characters, which rule out pairs where they meet and lose nothing. So each candidate is verified or joined
-already, and no group's pairs are listed. One occurrence of each group is kept: the first by document and line.
+Classes with a candidate meet again in their cells with their texts and the counts of FINE groups of characters, which rule out more pairs and lose nothing. There a spanning forest
+of the candidates is verified by edit distance, twice, and then all that still lie between different groups, the nearest ones first. A pair is compared in one cell alone, that of the
+smallest block that both lines have. So each candidate is verified or joined already, and no pair is a row before it is a link. One occurrence of each group is kept: the first
+by document and line.
 
 Cells that a sixteenth of the lines shows to be large are cut by length and into tiles whose pairs are tasks; that decides where lines meet, not whether they do.
 
