@@ -72,7 +72,49 @@ def lines_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def normalised(lines: pa.Array) -> pa.Array:
-    return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{M}\p{N}]+", " "))
+    """Lower case, and one space for each run of anything but letters, marks and digits."""
+    lower = pc.utf8_lower(lines)
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(lower).to_numpy().astype(np.int64))])
+    flat = ASCII[tc.joined(lower)]
+    lead = np.flatnonzero(flat >= 0xC0)
+    if len(lead):
+        size = 2 + (flat[lead] >= 0xE0) + (flat[lead] >= 0xF0)
+        point = flat[lead].astype(np.int32) & (0x7F >> size)
+        for k in (1, 2, 3):
+            more = np.flatnonzero(size > k)
+            point[more] = point[more] << 6 | flat[lead[more] + k] & 0x3F
+        other = ~_in_words(point)
+        lead, size = lead[other], size[other]
+        for k in range(4):
+            flat[lead[size > k] + k] = 32
+    full = flat != 32
+    start = full.copy()  # of words
+    start[1:] &= ~full[:-1]
+    begin = at[:-1][at[:-1] < at[1:]]
+    start[begin] = full[begin]
+    start = np.flatnonzero(start)
+    first = np.searchsorted(start, begin)
+    first = start[first[first < len(start)]]  # no space before those
+    keep = np.append(full, False)  # the last one stands before the first byte too
+    keep[start - 1] = True
+    keep[first - 1] = np.append(full, False)[first - 1]
+    keep = keep[:-1]
+    upto = np.zeros(len(flat) + 1, np.int32)
+    np.cumsum(keep, out=upto[1:])
+    return pa.Array.from_buffers(pa.string(), len(lines), [None, pa.py_buffer(upto[at]), pa.py_buffer(flat[keep])])
+
+
+#: Each byte, but a space for ASCII that is no small letter or digit.
+ASCII = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
+#: Whether characters are letters, marks or digits: 2 if not looked up yet.
+_KINDS = np.full(0x110000, 2, np.uint8)
+
+
+def _in_words(point: np.ndarray) -> np.ndarray:
+    new = np.unique(point[_KINDS[point] == 2])
+    if len(new):
+        _KINDS[new] = pc.match_substring_regex(pa.array([chr(c) for c in new]), r"^[\p{L}\p{M}\p{N}]").to_numpy(zero_copy_only=False)
+    return _KINDS[point] == 1
 
 
 def allowed(length, similarity: float = SIMILARITY):
@@ -189,7 +231,8 @@ def filed_under(lines: pa.Array, similarity: float = SIMILARITY) -> tuple[np.nda
     at = lists.offsets.to_numpy().astype(np.int64)
     words, at = lists.flatten(), at - at[0]
     n_words = np.diff(at)
-    counts, long = histograms(lines), n_words >= LONG_WORDS
+    counts, long = np.zeros((len(lines), GROUPS), np.uint8), n_words >= LONG_WORDS
+    counts[~long] = histograms(lines.filter(pa.array(~long)))
     found = list(_short_blocks(lines, np.where(size * similarity < SHORT, size, 0), similarity))
     some = np.flatnonzero((size >= SHORT) & (n_words >= 4))
     if len(some):
@@ -435,7 +478,7 @@ def _own(t: pa.Table) -> Callable:
 
 
 #: Bytes of rows that are compared at a time, and of the texts of their pairs.
-COMPARED, PAIR_BYTES = 8 << 20, 4 << 20
+COMPARED, PAIR_BYTES = 24 << 20, 4 << 20
 
 
 def _linked_rows(batches, similarity: float):
@@ -463,6 +506,7 @@ def _linked_rows(batches, similarity: float):
         while len(left):
             if turn < 2:
                 now = left[_tree(label, code[a[left]], code[b[left]])]
+                now = now[np.argsort(length[b[now]], kind="stable")]  # long ones together, as they are compared many at once
             else:
                 now = left[: max(int(np.searchsorted(np.cumsum(2 * length[b[left]]), PAIR_BYTES)), 1)]
             for part in np.split(now, np.flatnonzero(np.diff(np.cumsum(2 * length[b[now]]) // PAIR_BYTES)) + 1):

@@ -303,3 +303,39 @@ def test_long_lines_are_compared_in_bands_of_several_words():
     got = lines._banded(x, xat[:-1][ok], nx[ok], y, yat[:-1][ok], ny[ok], most[ok])
     assert (most[ok] > lines.BAND).sum() > 20 and got.tolist() == [wanted[k] for k in ok]
     assert lines.similar_enough(pa.array(one), pa.array(two), most).tolist() == wanted
+
+
+def test_lines_are_normalised_as_by_the_pattern():
+    by_pattern = lambda x: pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(x), r"[^\p{L}\p{M}\p{N}]+", " "))
+    rng = np.random.default_rng(53)
+    some = list("aZ09 \t\r-_.é中\u0301\u00a0٣ßİ\x00\x1f\x7f😀𝔘Ⅷ")
+    made = ["".join(rng.choice(some, int(rng.integers(0, 9)))) for _ in range(20_000)]
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for texts in (made, every, [], [""], ["-"], ["a", "b"], ["", "a", "-", ""]):
+        x = pa.array(texts, pa.string())
+        assert lines.normalised(x).equals(by_pattern(x))
+        assert lines.normalised(x[3:9]).equals(by_pattern(x[3:9]))
+
+
+def test_lines_are_counted_or_compared_only_where_it_is_used(monkeypatch):
+    """Characters are counted in lines that are not long alone; long lines of many small cells are compared in one go."""
+    rng = np.random.default_rng(54)
+    made = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n))
+    counted, compared = [], []
+    histograms, similar_enough = lines.histograms, lines.similar_enough
+    monkeypatch.setattr(lines, "histograms", lambda x: counted.extend(x.to_pylist()) or histograms(x))
+    monkeypatch.setattr(lines, "similar_enough", lambda x, y, most: compared.append(len(x)) or similar_enough(x, y, most))
+    short = [made(9) for _ in range(20)]
+    counts = lines.filed_under(pa.array([*short, *(made(40) for _ in range(20))]))[2]
+    assert counted == short and counts[20:].any(axis=1).all() and (counts[:20] == histograms(pa.array(short))).all()
+    texts = []
+    for _ in range(3000):
+        a = made(250)
+        texts += [a, a[:500] + "zz" + a[503:]]
+    norm, n = pa.array(texts), len(texts)
+    fine = lines.fixed(lines.characters(norm))
+    t = pa.table({"cell": np.arange(n) // 2, "spot": np.zeros(n, np.int64), "mark": np.zeros(n, np.int8), "h": np.arange(n), "size": 2 * np.array([len(x) for x in texts]),
+                  "c0": np.zeros(n, np.int64), "c1": np.zeros(n, np.int64), "blocks": lines.packed(np.arange(n), np.arange(n) // 2, n), "norm": norm, "fine": fine})
+    got = pa.Table.from_batches(lines._linked_rows(t.to_batches(500), 0.9))
+    assert sorted(got.column("a").to_pylist()) == list(range(0, n, 2)) and sum(compared) == n // 2
+    assert len(compared) <= 5  # cut by the bytes of their texts alone, and the rest of the last cells
