@@ -1,6 +1,9 @@
 """Pairs made by tiles: the rows of the table operators, whatever the blocks, and no table of pairs on the way."""
 
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +66,62 @@ def test_free_windows_are_those_of_the_tables(spark):
         got = raster.free_windows(px, F.col("alpha") > 128, F.col("v") < 2, 4, stride, 0.3)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
     assert "Join" not in entry.queries()["window_availability"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def tile(shapes, own=None, samples=None):
+    """A tile of outlines as points (y, x), of two blocks if ``own`` says which is of which."""
+    lists = lambda v: pa.array([list(map(float, p)) for p in v], pa.list_(pa.float64()))
+    own = np.zeros(len(shapes), np.int64) if own is None else np.asarray(own)
+    y, x = ([p[:, c] for p in shapes] for c in (0, 1))
+    sy, sx = ([p[:, c] for p in samples or shapes] for c in (0, 1))
+    centre = [np.array([p[:, c].mean() for p in shapes]) for c in (0, 1)]
+    zero = np.zeros(len(shapes), np.int64)
+    return tiles.Tile(pa.table({"frag_id": np.arange(len(shapes)) * 3 + 5, "image_id": zero, "own": own, "low": zero, "high": zero + own.max(), "cy": centre[0], "cx": centre[1], "sy": lists(sy), "sx": lists(sx), "py": lists(y), "px": lists(x)}))
+
+
+def ring(rng, n=64):
+    r, turn = 100 * (1 + rng.normal(0, 0.125, n)), 2 * np.pi * np.arange(n) / n
+    return np.column_stack([r * np.sin(turn), r * np.cos(turn)])
+
+
+def collected(kernel, t):
+    """The kernel's rows, sorted."""
+    return sorted(row for c in kernel(t) for row in zip(*(np.asarray(v).tolist() for v in c.values())))
+
+
+def nearest_one_by_one(t, shapes, tolerance):
+    rows = set()
+    for i, p in enumerate(shapes):
+        for j, q in enumerate(shapes):
+            if not (i < j and (not t.across or t.own[i] != t.own[j])):
+                continue
+            with np.errstate(all="ignore"):
+                d = np.sqrt((p[:, None, 0] - q[None, :, 0]) ** 2 + (p[:, None, 1] - q[None, :, 1]) ** 2)
+            d[~(d < tolerance)] = np.inf
+            best = {(k, int(r.argmin())) for k, r in enumerate(d) if r.min() < np.inf} | {(int(c.argmin()), k) for k, c in enumerate(d.T) if c.min() < np.inf}
+            rows |= {(int(t.ids[i]), int(t.ids[j]), *(int(np.floor((p[ka, v] + q[kb, v]) / 2)) for v in (0, 1))) for ka, kb in best}
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("tolerance", [0.5, 5.0, 40.0])
+@pytest.mark.parametrize("across", [False, True])
+def test_nearest_like_one_by_one(tolerance, across):
+    """Ties, points at just the tolerance, copies, sparse and dense outlines, far and missing points."""
+    rng = np.random.default_rng(4)
+    grid = np.array([[y, x] for y in range(-10, 11, 5) for x in range(-10, 11, 5)], float)
+    odd = ring(rng)
+    odd[::7] = [[1e22, 3], [np.nan, 0], [np.inf, 1], [-1e15, -1e15], [5, np.nan], [0, -np.inf], [1e9, 0], [0, 1e9], [0, 0], [1e9 + 2, 0]]
+    shapes = [ring(rng), odd, grid, grid + 2.5, grid + (5, 0), ring(rng, 7), ring(rng, 200), rng.uniform(-20, 20, (90, 2)), odd.copy(), grid * 1000]
+    t = tile(shapes, [0, 1, 1, 0, 1, 0, 0, 1, 0, 1] if across else None)
+    few = lambda rows: [r for r in rows if max(map(abs, r)) < 2**31]  # noqa: E731 beyond, there is no integer
+    got = collected(tiles.nearest(tolerance), t)
+    assert few(got) == few(nearest_one_by_one(t, shapes, tolerance)) and got
+
+
+def test_nearest_looks_at_near_points_only():
+    """All 64 x 64 distances of 180,000 pairs take 10 CPU seconds."""
+    rng = np.random.default_rng(2)
+    t = tile([ring(rng) for _ in range(600)])
+    began = time.process_time()
+    assert sum(len(c["a"]) for c in tiles.nearest(5.0)(t)) > 1_000_000
+    assert time.process_time() - began < 4
