@@ -125,3 +125,47 @@ def test_nearest_looks_at_near_points_only():
     began = time.process_time()
     assert sum(len(c["a"]) for c in tiles.nearest(5.0)(t)) > 1_000_000
     assert time.process_time() - began < 4
+
+
+def near_one_by_one(t, shapes, radius, pad=20.0):
+    rows = []
+    for i, p in enumerate(shapes):
+        for j, q in enumerate(shapes):
+            if i >= j:
+                continue
+            with np.errstate(all="ignore"):
+                between = p[:, None] - q[None]
+                u = np.stack([t.centre[c][j] + p[:, None, c] - q[None, :, c] - t.centre[c][i] for c in (0, 1)], axis=2)
+                far = np.sqrt(u[..., 0] * u[..., 0] + u[..., 1] * u[..., 1])[..., None]
+                moves = (between + pad * (u / far))[far[..., 0] > 0]
+                d = between.reshape(1, -1, 2) - moves[:, None]
+                near = np.sqrt(d[..., 0] ** 2 + d[..., 1] ** 2) < radius
+            if near.any():
+                rows.append((int(t.ids[i]), int(t.ids[j]), int(near.sum()), int(near.any(axis=1).sum())))
+    return rows
+
+
+@pytest.mark.parametrize("radius", [5.0, 20.0, 60.0, 100.0])
+def test_near_contacts_like_one_by_one(radius):
+    """Distances of just the radius, few and many samples, points that are missing, very far or all the same, centres that coincide."""
+    rng = np.random.default_rng(7)
+    grid = np.array([[y, x] for y in (0, 20, 60, 100) for x in (0, 100)], float)
+    odd = ring(rng, 9)
+    odd[::4] = [[np.nan, 1], [1e9, 0], [np.inf, 0]]
+    shapes = [ring(rng, 8), ring(rng, 7), ring(rng, 1), ring(rng, 16), ring(rng, 19)[:19], grid, grid + (0, 100), grid * 0, odd, ring(rng, 8) * 1e6, ring(rng, 8) * 50]
+    for some in (slice(0, 8), slice(2, 4), slice(0, 11), slice(5, 11)):  # what is far is met by all of a batch
+        t = tile(shapes[some])
+        t.centre = [np.where(np.isfinite(c), c, 3.0) for c in t.centre]
+        # a missing sample is none, as in ``Tile``
+        want = near_one_by_one(t, [np.column_stack([s[k] for s in t.sample]) for k in range(len(t.ids))], radius)
+        assert collected(tiles.neighbours(radius), t) == want, some
+
+
+def test_near_contacts_are_not_tried_one_by_one(monkeypatch):
+    """All distances of a pair in double precision take 15 CPU microseconds; only those of pairs with one at just the radius are needed."""
+    rng = np.random.default_rng(8)
+    t = tile([ring(rng, 8) for _ in range(120)])
+    tried, count = [], np.count_nonzero
+    monkeypatch.setattr(np, "count_nonzero", lambda v, *args, **named: tried.append(np.size(v)) or count(v, *args, **named))
+    assert sum(len(c["a"]) for c in tiles.neighbours(100.0)(t)) == 120 * 119 // 2
+    assert sum(tried) < 0.1 * 64 * 64 * 120 * 119 / 2
